@@ -112,22 +112,8 @@ def jobs_registered(jobs: DataFrame, registry: DataFrame, key: str = "job_nm") -
     )
 
 
-def route_jobs(jobs: DataFrame, configs: Mapping[str, DataFrame], key: str = "job_nm",
-               flag: str = "actv_flag") -> DataFrame:
-    """R1 + J1: job -> (zone, title_nm, route_error).
-
-    ``configs`` maps a prefix (``pi``, ``pt``, ``po``) to its configuration
-    table.  Rules:
-
-    * ``pi``/``pt``: zone ``ingt``/``curated``; title is the active row's
-      target table ('' when NULL).  A missing, inactive-only or duplicate
-      configuration leaves title '' and fills ``route_error``.
-    * ``po``: zone ``outbnd``; title is the container name from the JSON
-      properties when the export type is ``cosmos_db``, else the file-name
-      format ('' when NULL).  Any failure (bad configuration, malformed JSON,
-      missing key) gives zone ``skip`` and title ''.
-    * any other prefix: zone '' and title ''.
-    """
+def _route_config(configs: Mapping[str, DataFrame], key: str, flag: str) -> DataFrame:
+    """One row per (job, prefix) over the configuration tables of the prefixes."""
     fields = {
         "pi": ["trgt_tbl_nm"],
         "pt": ["trgt_tbl_nm"],
@@ -143,11 +129,34 @@ def route_jobs(jobs: DataFrame, configs: Mapping[str, DataFrame], key: str = "jo
                 agg = agg.withColumn(f, F.lit(None).cast("string"))
         parts.append(agg.withColumn("_kind", F.lit(prefix)).select(
             key, "_kind", "n_active", "n_inactive", *all_fields))
-    cfg_all = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        cfg_all = cfg_all.unionByName(p)
+        out = out.unionByName(p)
+    return out
+
+
+def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "job_nm",
+                  flag: str = "actv_flag") -> DataFrame:
+    """R1 + J1: add ``zone``, ``title_nm`` and ``route_error`` to every row.
 
-    j = jobs.select(key).distinct().withColumn("_kind", F.substring(F.col(key), 1, 2))
+    ``configs`` maps a prefix (``pi``, ``pt``, ``po``) to its configuration
+    table.  Rules:
+
+    * ``pi``/``pt``: zone ``ingt``/``curated``; title is the active row's
+      target table ('' when NULL).  A missing, inactive-only or duplicate
+      configuration leaves title '' and fills ``route_error``.
+    * ``po``: zone ``outbnd``; title is the container name from the JSON
+      properties when the export type is ``cosmos_db``, else the file-name
+      format ('' when NULL).  Any failure (bad configuration, malformed JSON,
+      missing key) gives zone ``skip`` and title ''.
+    * any other prefix: zone '' and title ''.
+
+    The configuration side is one row per (job, prefix), so the left join
+    never multiplies rows; it is small next to a run table, and AQE turns it
+    into a broadcast join when its measured size allows.
+    """
+    cfg_all = _route_config(configs, key, flag)
+    j = df.withColumn("_kind", F.substring(F.col(key), 1, 2))
     r = j.join(cfg_all, [key, "_kind"], "left")
     status = status_of(F.coalesce(F.col("n_active"), F.lit(0)),
                        F.coalesce(F.col("n_inactive"), F.lit(0)))
@@ -168,4 +177,11 @@ def route_jobs(jobs: DataFrame, configs: Mapping[str, DataFrame], key: str = "jo
         .otherwise("")
     )
     err = F.when(kind.isin("pi", "pt") & ~ok, message_of(status))
-    return r.select(key, zone.alias("zone"), title.alias("title_nm"), err.alias("route_error"))
+    return r.select(*[F.col(c) for c in df.columns], zone.alias("zone"), title.alias("title_nm"),
+                    err.alias("route_error"))
+
+
+def route_jobs(jobs: DataFrame, configs: Mapping[str, DataFrame], key: str = "job_nm",
+               flag: str = "actv_flag") -> DataFrame:
+    """One routing row per distinct job name of ``jobs``."""
+    return attach_routes(jobs.select(key).distinct(), configs, key, flag)

@@ -34,14 +34,15 @@ from runledger.operators.config import ZONE_SKIP
 from runledger.operators.ledger import STS_SUCCESS
 
 
-def success_markers(runs: DataFrame, routes: DataFrame, root: str, ts_text: Column,
-                    tenant: Column, key: str = "job_nm", date_col: str = "dl_data_dt",
+def success_markers(routed_runs: DataFrame, root: str, ts_text: Column, tenant: Column,
+                    key: str = "job_nm", date_col: str = "dl_data_dt",
                     status_col: str = "job_sts") -> DataFrame:
     """D10 + D13: one marker per run that reached SUCCESS and routes to a
-    zone other than '' and ``skip`` with a non-empty title."""
-    r = routes.select(key, "zone", "title_nm")
-    ok = runs.where(F.col(status_col) == STS_SUCCESS).join(r, key, "inner").where(
-        (F.col("zone") != "") & (F.col("zone") != ZONE_SKIP) & (F.col("title_nm") != "")
+    zone other than '' and ``skip`` with a non-empty title.  ``routed_runs``
+    carries ``zone`` and ``title_nm`` (``config.attach_routes``)."""
+    ok = routed_runs.where(
+        (F.col(status_col) == STS_SUCCESS)
+        & (F.col("zone") != "") & (F.col("zone") != ZONE_SKIP) & (F.col("title_nm") != "")
     )
     name = marker_file_name(F.col("title_nm"), F.col(key), F.col(date_col), ts_text)
     folder = marker_folder(F.lit(root), tenant, F.col("zone"), F.col(date_col))
@@ -53,19 +54,18 @@ def success_markers(runs: DataFrame, routes: DataFrame, root: str, ts_text: Colu
     )
 
 
-def invalidation_keys(new_runs: DataFrame, routes: DataFrame, key: str = "job_nm",
+def invalidation_keys(routed_new_runs: DataFrame, key: str = "job_nm",
                       date_col: str = "dl_data_dt") -> DataFrame:
     """A new run invalidates its job's earlier markers of that date.
 
     Zone must be neither '' nor ``skip``; the title may be empty (then the key
     starts with ``.`` and matches any title of the job and date).  Routes
-    with an error are left out.
+    with an error are left out.  One row per distinct key.
     """
-    r = routes.where(
+    r = routed_new_runs.where(
         (F.col("zone") != "") & (F.col("zone") != ZONE_SKIP) & F.col("route_error").isNull()
-    ).select(key, "zone", "title_nm")
-    k = new_runs.select(key, date_col).distinct().join(r, key, "inner")
-    return k.select(
+    )
+    return r.select(
         "zone",
         compact_date(F.col(date_col)).alias("folder_dt"),
         F.substring_index(F.col(key), ".", -1).alias("_seg"),

@@ -222,14 +222,14 @@ from job_log l left join (select distinct dt_en from hldy) h on l.dl_data_dt = h
 
 
 # ===================================================================== R1, J1, R2, J6
-def _routes(spark, sf):
+def _configs(spark, sf):
     cfg = fx.job_config(spark, sf)
-    return config.route_jobs(fx.job_log(spark, sf), {"pi": cfg, "pt": cfg, "po": cfg})
+    return {"pi": cfg, "pt": cfg, "po": cfg}
 
 
 @query("route_jobs")
 def q_route_jobs(spark, sf):
-    return _routes(spark, sf)
+    return config.route_jobs(fx.job_log(spark, sf), _configs(spark, sf))
 
 
 _ACTIVE = "upper(actv_flag) = 'Y'"
@@ -517,14 +517,17 @@ where not coalesce(job_sts = 'TRIGGER-RUNNING', false)
 
 
 # ===================================================================== D10-D13, X9
-def _markers(spark, sf):
-    return markers.success_markers(fx.job_log(spark, sf), _routes(spark, sf), MARKER_ROOT,
-                                   F.lit(MARKER_TS), F.col("monoline"))
+def _routed_log(spark, sf):
+    return config.attach_routes(fx.job_log(spark, sf), _configs(spark, sf))
+
+
+def _markers(routed):
+    return markers.success_markers(routed, MARKER_ROOT, F.lit(MARKER_TS), F.col("monoline"))
 
 
 @query("success_markers")
 def q_success_markers(spark, sf):
-    return _markers(spark, sf)
+    return _markers(_routed_log(spark, sf))
 
 
 _D8 = "replace(l.dl_data_dt, '-', '')"
@@ -540,12 +543,10 @@ SQL["success_markers"] = W(_MARKERS_SQL, "job_log", "job_config", extra={"route"
 
 @query("stale_markers")
 def q_stale_markers(spark, sf):
-    routes = _routes(spark, sf)
-    existing = _markers(spark, sf).select("zone", "folder_dt", "file_nm").distinct()
-    log = fx.job_log(spark, sf)
-    new_runs = log.where(~F.col("job_sts").eqNullSafe(ledger.STS_SUCCESS))
-    keys = markers.invalidation_keys(new_runs, routes)
-    return markers.stale_markers(existing, keys)
+    routed = _routed_log(spark, sf)
+    existing = _markers(routed).select("zone", "folder_dt", "file_nm").distinct()
+    new_runs = routed.where(~F.col("job_sts").eqNullSafe(ledger.STS_SUCCESS))
+    return markers.stale_markers(existing, markers.invalidation_keys(new_runs))
 
 
 SQL["stale_markers"] = W("""
@@ -691,7 +692,7 @@ from events"""
 # ===================================================================== X8
 @query("base64_roundtrip")
 def q_base64_roundtrip(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = read_table(spark, sf, "documents", spread_by=["doc_id"])
     b64 = X.b64_encode("text")
     return d.select("doc_id", b64.alias("b64"),
                     F.octet_length("text").cast("bigint").alias("n_bytes"),

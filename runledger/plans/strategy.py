@@ -15,6 +15,8 @@ Broadcasting is only ever done behind a size check.  Two forms:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,20 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def ensure_parallelism(df: DataFrame, keys: Sequence[str] = (),
+                       min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A large input already splits into many scan tasks, and then this is a
+    no-op; it only matters for small files written as one row group, where
+    CPU-heavy per-row work (JSON parsing, encoding) would otherwise run in a
+    single task.  With ``keys`` the rows are hash-partitioned on them, so a
+    following aggregate or join on the same keys needs no second shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

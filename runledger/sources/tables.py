@@ -6,8 +6,11 @@ reach the parquet scan (``PushedFilters`` / ``ReadSchema`` in the plan).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from runledger.plans.strategy import ensure_parallelism
 from runledger.session import table_path
 
 BASE_TABLES = (
@@ -16,9 +19,16 @@ BASE_TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               spread_by: Sequence[str] | None = None) -> DataFrame:
+    """One of the driver's parquet tables.
+
+    ``spread_by`` (for CPU-heavy per-row work) spreads a scan that yields too
+    few partitions, hash-partitioned on those columns; a no-op for inputs
+    that already split into many tasks.
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return df if spread_by is None else ensure_parallelism(df, spread_by)
 
 
 def scan(spark: SparkSession, name: str, where: Column | None = None) -> DataFrame:
