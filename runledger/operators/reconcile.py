@@ -14,21 +14,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# The shape of one activity in a copy service's run report.
-ACTIVITY_SCHEMA = T.StructType([
-    T.StructField("activityType", T.StringType()),
-    T.StructField("activityName", T.StringType()),
-    T.StructField("output", T.StructType([
-        T.StructField("filesRead", T.LongType()),
-        T.StructField("filesWritten", T.LongType()),
-        T.StructField("dataRead", T.LongType()),
-        T.StructField("dataWritten", T.LongType()),
-        T.StructField("itemName", T.StringType()),
-        T.StructField("size", T.LongType()),
-    ])),
-])
+
+# The fields of one activity in a copy service's run report.
+ACTIVITY_FIELDS = ["activityType", "activityName", "output"]
+OUTPUT_FIELDS = ["filesRead", "filesWritten", "dataRead", "dataWritten", "itemName", "size"]
+OUTPUT_COLUMNS = ["files_read", "files_written", "data_read", "data_written", "item_name", "item_size"]
+OUTPUT_NUMERIC = {"files_read", "files_written", "data_read", "data_written", "item_size"}
 
 # Activity types and file statuses.
 COPY = "Copy"
@@ -39,20 +30,22 @@ DUPLICATE = "DUPLICATE"
 
 
 def parse_activities(df: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """Flatten each JSON activity document; malformed text -> NULL fields."""
-    a = F.from_json(F.col(doc_col), ACTIVITY_SCHEMA)
+    """Flatten each JSON activity document; malformed text -> NULL fields.
+
+    ``json_tuple`` parses each document once (and its ``output`` object once),
+    and as a generator it keeps later filters on the parsed fields above the
+    parse.  A ``from_json`` struct would be split by the optimizer into one
+    parse per field used, and filters on it pushed down and parsed again.
+    """
     keep = [c for c in df.columns if c != doc_col]
-    return df.select(
-        *keep,
-        a["activityType"].alias("activity_type"),
-        a["activityName"].alias("activity_name"),
-        a["output"]["filesRead"].alias("files_read"),
-        a["output"]["filesWritten"].alias("files_written"),
-        a["output"]["dataRead"].alias("data_read"),
-        a["output"]["dataWritten"].alias("data_written"),
-        a["output"]["itemName"].alias("item_name"),
-        a["output"]["size"].alias("item_size"),
-    )
+    top = df.select(*keep, F.json_tuple(F.col(doc_col), *ACTIVITY_FIELDS)
+                    .alias("activity_type", "activity_name", "_output"))
+    out = top.select(*keep, "activity_type", "activity_name",
+                     F.json_tuple(F.col("_output"), *OUTPUT_FIELDS).alias(*OUTPUT_COLUMNS))
+    return out.select(*keep, "activity_type", "activity_name", *[
+        F.col(c).try_cast("bigint").alias(c) if c in OUTPUT_NUMERIC else F.col(c)
+        for c in OUTPUT_COLUMNS
+    ])
 
 
 def _copy_is_bad(with_data: bool) -> Column:
