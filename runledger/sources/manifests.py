@@ -3,6 +3,9 @@
 ``binaryFile`` lists files in parallel; selecting only ``path`` and
 ``length`` keeps ``content`` out of the scan (``ReadSchema`` shows no
 content), so no file is read.
+
+Limit: Spark's file scan skips zero-byte files, so a file emptied by a
+failed copy is reported as missing rather than as a size mismatch.
 """
 
 from __future__ import annotations
