@@ -773,3 +773,27 @@ def q_rewrap_roundtrip(spark, sf):
 
 
 SQL["rewrap_roundtrip"] = "select c_custkey, c_name from customer"
+
+
+# ===================================================================== A2 + A3 as a stream
+@query("stream_run_status")
+def q_stream_run_status(spark, sf):
+    from runledger.streaming import ledger_stream as ls
+
+    orders_path = os.path.join(sf, "orders.parquet")
+    schema = spark.read.parquet(orders_path).schema
+    # A glob, because a file stream source lists a folder or a pattern.
+    events = fx.job_log_of(ls.read_event_stream(spark, orders_path[:-1] + "[t]", schema))
+    out = ls.stream_location(spark, "run-status-snapshot")
+    ls.write_snapshot(ls.run_status_stream(events), out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+SQL["stream_run_status"] = W("""
+select job_nm, n_running, n_trigger, n_other, n_running > 0 as is_duplicate,
+       n_trigger = 1 and n_other = 0 as trigger_ok
+from (select job_nm,
+             count(*) filter (where job_sts = 'RUNNING') as n_running,
+             count(*) filter (where job_sts = 'TRIGGER-RUNNING') as n_trigger,
+             count(*) filter (where job_sts <> 'TRIGGER-RUNNING') as n_other
+      from job_log group by job_nm) t""", "job_log")

@@ -32,7 +32,11 @@ def _date_text(ts):
 
 
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return job_log_of(read_table(spark, sf_dir, "orders"))
+
+
+def job_log_of(o: DataFrame) -> DataFrame:
+    """The job log from an orders DataFrame (batch or streaming)."""
     ck, ok = F.col("o_custkey"), F.col("o_orderkey")
     return o.select(
         ok.alias("log_no"),
