@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.columns import container_name, none_to_empty
+from runledger.plans.strategy import bounded_broadcast
+
+# Configuration is one row per configured job: small next to any run table.
+CONFIG_MAX_BROADCAST_ROWS = 2_000_000
 
 # The status messages of the configuration lookup.
 MSG_NOT_FOUND = "Configuration not found"
@@ -105,6 +109,7 @@ def area_config_status(config: DataFrame, requested: DataFrame,
 def jobs_registered(jobs: DataFrame, registry: DataFrame, key: str = "job_nm") -> DataFrame:
     """Does each job name exist in the registry (flag form of a semi join)."""
     names = registry.select(key).distinct().withColumn("_hit", F.lit(True))
+    names = bounded_broadcast(names, CONFIG_MAX_BROADCAST_ROWS)
     return (
         jobs.select(key).distinct()
         .join(names, key, "left")
@@ -152,10 +157,12 @@ def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "j
     * any other prefix: zone '' and title ''.
 
     The configuration side is one row per (job, prefix), so the left join
-    never multiplies rows; it is small next to a run table, and AQE turns it
-    into a broadcast join when its measured size allows.
+    never multiplies rows.  It is broadcast when a bounded count shows it
+    small (the run table is then never shuffled, and a hot job costs
+    nothing); beyond the bound it is a shuffle join whose skewed partitions
+    AQE splits.
     """
-    cfg_all = _route_config(configs, key, flag)
+    cfg_all = bounded_broadcast(_route_config(configs, key, flag), CONFIG_MAX_BROADCAST_ROWS)
     j = df.withColumn("_kind", F.substring(F.col(key), 1, 2))
     r = j.join(cfg_all, [key, "_kind"], "left")
     status = status_of(F.coalesce(F.col("n_active"), F.lit(0)),

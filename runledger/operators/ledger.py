@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runledger.plans.strategy import bounded_broadcast
 from runledger.session import configure, cut_lineage
 
 # Job statuses the checks look for, and the ledger layout.
@@ -130,9 +131,12 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.where(~F.coalesce(predicate, F.lit(False)))
 
 
-def delete_keys(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("job_nm",)) -> DataFrame:
-    """Drop every row of the given jobs (anti join against the key set)."""
-    return df.join(keys.select(*on).distinct(), list(on), "left_anti")
+def delete_keys(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("job_nm",),
+                max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Drop every row of the given jobs (anti join against the key set;
+    the key set is broadcast when a bounded count shows it small)."""
+    k = bounded_broadcast(keys.select(*on).distinct(), max_broadcast_rows)
+    return df.join(k, list(on), "left_anti")
 
 
 def unique_rows(df: DataFrame) -> DataFrame:
@@ -176,7 +180,7 @@ def rewrite_partitions(spark: SparkSession, name: str, touched: Column, change,
     table = spark.table(name)
     keys = table.where(F.coalesce(touched, F.lit(False))).select(*parts).distinct()
     keys = cut_lineage(keys)
-    scope = table.join(keys, parts, "left_semi")
+    scope = table.join(bounded_broadcast(keys, 2_000_000), parts, "left_semi")
     new = cut_lineage(change(scope).select(*table.columns))
     new.write.insertInto(name, overwrite=True)
     emptied = keys.join(new.select(*parts).distinct(), parts, "left_anti")

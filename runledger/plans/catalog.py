@@ -692,7 +692,7 @@ from events"""
 # ===================================================================== X8
 @query("base64_roundtrip")
 def q_base64_roundtrip(spark, sf):
-    d = read_table(spark, sf, "documents", spread_by=["doc_id"])
+    d = read_table(spark, sf, "documents", spread_by=[])
     b64 = X.b64_encode("text")
     return d.select("doc_id", b64.alias("b64"),
                     F.octet_length("text").cast("bigint").alias("n_bytes"),
