@@ -43,7 +43,7 @@ def with_calendar(df: DataFrame, date_col: str, calendar: DataFrame,
         calendar.select(F.col(calendar_col).alias("_cal_dt")).distinct()
         .withColumn("_in_cal", F.lit(True))
     )
-    cal = bounded_broadcast(cal, CALENDAR_MAX_ROWS)
+    cal = bounded_broadcast(cal, CALENDAR_MAX_ROWS, bound_by=[calendar])
     return (
         df.join(cal, df[date_col] == cal["_cal_dt"], "left")
         .withColumn("in_calendar", F.coalesce(F.col("_in_cal"), F.lit(False)))

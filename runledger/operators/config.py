@@ -109,7 +109,7 @@ def area_config_status(config: DataFrame, requested: DataFrame,
 def jobs_registered(jobs: DataFrame, registry: DataFrame, key: str = "job_nm") -> DataFrame:
     """Does each job name exist in the registry (flag form of a semi join)."""
     names = registry.select(key).distinct().withColumn("_hit", F.lit(True))
-    names = bounded_broadcast(names, CONFIG_MAX_BROADCAST_ROWS)
+    names = bounded_broadcast(names, CONFIG_MAX_BROADCAST_ROWS, bound_by=[registry])
     return (
         jobs.select(key).distinct()
         .join(names, key, "left")
@@ -129,11 +129,10 @@ def _route_config(configs: Mapping[str, DataFrame], key: str, flag: str) -> Data
     for prefix, cfg in configs.items():
         mine = cfg.where(F.col(key).startswith(prefix))
         agg = config_counts(mine, [key], flag, fields[prefix])
-        for f in all_fields:
-            if f not in fields[prefix]:
-                agg = agg.withColumn(f, F.lit(None).cast("string"))
-        parts.append(agg.withColumn("_kind", F.lit(prefix)).select(
-            key, "_kind", "n_active", "n_inactive", *all_fields))
+        parts.append(agg.select(
+            key, F.lit(prefix).alias("_kind"), "n_active", "n_inactive",
+            *[F.col(f) if f in fields[prefix] else F.lit(None).cast("string").alias(f)
+              for f in all_fields]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -162,7 +161,11 @@ def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "j
     nothing); beyond the bound it is a shuffle join whose skewed partitions
     AQE splits.
     """
-    cfg_all = bounded_broadcast(_route_config(configs, key, flag), CONFIG_MAX_BROADCAST_ROWS)
+    # Each prefix keeps a disjoint part of its table, so a table shared by
+    # several prefixes bounds the aggregate once.
+    inputs = list({id(c): c for c in configs.values()}.values())
+    cfg_all = bounded_broadcast(_route_config(configs, key, flag), CONFIG_MAX_BROADCAST_ROWS,
+                                bound_by=inputs)
     j = df.withColumn("_kind", F.substring(F.col(key), 1, 2))
     r = j.join(cfg_all, [key, "_kind"], "left")
     status = status_of(F.coalesce(F.col("n_active"), F.lit(0)),

@@ -135,7 +135,7 @@ def delete_keys(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("job_nm",),
                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Drop every row of the given jobs (anti join against the key set;
     the key set is broadcast when a bounded count shows it small)."""
-    k = bounded_broadcast(keys.select(*on).distinct(), max_broadcast_rows)
+    k = bounded_broadcast(keys.select(*on).distinct(), max_broadcast_rows, bound_by=[keys])
     return df.join(k, list(on), "left_anti")
 
 

@@ -32,11 +32,6 @@ from runledger.functions.columns import (
 )
 from runledger.operators.config import ZONE_SKIP
 from runledger.operators.ledger import STS_SUCCESS
-from runledger.plans.strategy import bounded_broadcast
-
-# New runs are few next to the marker table; beyond this many distinct keys
-# the semi join is a shuffle join (AQE splits a hot folder's partition).
-KEYS_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def success_markers(routed_runs: DataFrame, root: str, ts_text: Column, tenant: Column,
@@ -94,7 +89,10 @@ def stale_markers(markers: DataFrame, keys: DataFrame) -> DataFrame:
     cand = markers.withColumn(
         "_seg", F.explode(_candidate_segments(F.col("file_nm"), F.col("folder_dt")))
     )
-    k = bounded_broadcast(keys.select("zone", "folder_dt", "_seg", "match_key"), KEYS_MAX_BROADCAST_ROWS)
+    # The keys are derived from runs (not a stored dimension), so no count is
+    # spent on them up front: AQE broadcasts them when their measured size is
+    # small, else keeps the shuffle join and splits a hot folder's partition.
+    k = keys.select("zone", "folder_dt", "_seg", "match_key")
     cond = (
         (cand["zone"] == k["zone"]) & (cand["folder_dt"] == k["folder_dt"])
         & (cand["_seg"] == k["_seg"]) & cand["file_nm"].contains(k["match_key"])

@@ -23,9 +23,22 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      bound_by: Sequence[DataFrame] | None = None) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+
+    The proof is a count that stops after ``max_rows + 1`` rows, either of
+    ``df`` itself or, with ``bound_by``, of inputs whose rows bound ``df``'s
+    (an aggregate has no more rows than its input), which avoids computing
+    ``df`` twice.
+    """
+    sources = [df] if bound_by is None else list(bound_by)
+    total = 0
+    for src in sources:
+        total += src.limit(max_rows + 1 - total).count()
+        if total > max_rows:
+            return df
+    return F.broadcast(df)
 
 
 def ensure_parallelism(df: DataFrame, keys: Sequence[str] = (),
