@@ -25,6 +25,7 @@ STS_SUCCESS = "SUCCESS"
 LEDGER_PARTITIONS = ("monoline", "dl_data_dt", "job_nm")
 DSR_PARTITIONS = ("dl_data_dt", "job_nm")
 ARCHIVE_DEFAULTS = {"expt_sts": "NOT STARTED"}
+DROP_BATCH = 500
 
 
 # ------------------------------------------------------------------ A2-A4
@@ -184,11 +185,17 @@ def rewrite_partitions(spark: SparkSession, name: str, touched: Column, change,
     new = cut_lineage(change(scope).select(*table.columns))
     new.write.insertInto(name, overwrite=True)
     emptied = keys.join(new.select(*parts).distinct(), parts, "left_anti")
-    # Each emptied partition needs one catalog call; the list is bounded by
-    # the partitions this change touched.
+    # Emptied partitions are catalog entries: one DROP statement per batch of
+    # specs, streamed from the (checkpointed) key set, bounded by what the
+    # change touched.
+    batch: list[str] = []
     for row in emptied.toLocalIterator():
-        spec = ", ".join(f"{p} = '{_sql_text(row[p])}'" for p in parts)
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+        batch.append("PARTITION (" + ", ".join(f"{p} = '{_sql_text(row[p])}'" for p in parts) + ")")
+        if len(batch) == DROP_BATCH:
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(batch)}")
+            batch = []
+    if batch:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(batch)}")
 
 
 def _sql_text(v) -> str:

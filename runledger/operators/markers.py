@@ -54,6 +54,19 @@ def success_markers(routed_runs: DataFrame, root: str, ts_text: Column, tenant:
     )
 
 
+def markers_after_update(routed_runs: DataFrame, predicate: Column, assignments: dict,
+                         root: str, ts_text: Column, tenant: Column, **kw) -> DataFrame:
+    """D13 as a hook on an update: when the update sets ``job_sts`` to
+    SUCCESS, every run it touches gets its marker.  (The original pulled one
+    job and date out of the predicate text; here the touched rows say it.)"""
+    if assignments.get("job_sts") != STS_SUCCESS:
+        return routed_runs.limit(0).select(
+            *[F.lit(None).cast("string").alias(c) for c in
+              ("job_nm", "dl_data_dt", "zone", "folder_dt", "file_nm", "marker_path")])
+    hit = routed_runs.where(F.coalesce(predicate, F.lit(False)))
+    return success_markers(hit.withColumn("job_sts", F.lit(STS_SUCCESS)), root, ts_text, tenant, **kw)
+
+
 def invalidation_keys(routed_new_runs: DataFrame, key: str = "job_nm",
                       date_col: str = "dl_data_dt") -> DataFrame:
     """A new run invalidates its job's earlier markers of that date.

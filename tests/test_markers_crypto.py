@@ -132,3 +132,15 @@ def test_key_not_in_plan(spark, capsys):
 def test_bad_key_length(spark):
     with pytest.raises(ValueError):
         encrypt_columns(spark.createDataFrame([(1, "x")], "id int, v string"), ["v"], b"short")
+
+
+def test_markers_after_update_only_for_success(spark):
+    routed = spark.createDataFrame([
+        ("pi_1", "2024-01-02", "RUNNING", "ingt", "Tbl"),
+        ("pi_2", "2024-01-02", "RUNNING", "ingt", "Tbl"),
+    ], "job_nm string, dl_data_dt string, job_sts string, zone string, title_nm string")
+    pred = F.col("job_nm") == "pi_1"
+    out = markers.markers_after_update(routed, pred, {"job_sts": "SUCCESS"}, "/r", F.lit("TS"), F.lit("m"))
+    assert [r.file_nm for r in out.collect()] == ["tbl.pi_1.20240102.TS.success"]
+    none = markers.markers_after_update(routed, pred, {"job_sts": "FAILED"}, "/r", F.lit("TS"), F.lit("m"))
+    assert none.count() == 0

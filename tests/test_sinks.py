@@ -87,3 +87,31 @@ def test_partition_filter_reaches_scan(spark, table, capsys):
     spark.table(table).where((F.col("job_nm") == "pi_1") & (F.col("dl_data_dt") == "2024-01-01")).explain()
     plan = capsys.readouterr().out
     assert "PartitionFilters: [" in plan and "job_nm" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_dsr_layout_without_tenant(spark):
+    name = f"dsr_{uuid.uuid4().hex[:8]}"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["log_no", "job_sts", "dl_data_dt", "job_nm"]])
+    ledger.create_ledger(spark, name, schema, ledger.DSR_PARTITIONS)
+    rows = spark.createDataFrame([("1", "RUNNING", "2024-01-01", "pi_1"), ("2", "RUNNING", "2024-01-02", "pi_1")],
+                                 "log_no string, job_sts string, dl_data_dt string, job_nm string")
+    ledger.write_append(spark, name, rows)
+    ledger.write_update(spark, name, F.col("log_no") == "1", {"job_sts": "SUCCESS"},
+                        partitions=ledger.DSR_PARTITIONS)
+    ledger.write_delete(spark, name, F.col("log_no") == "2", partitions=ledger.DSR_PARTITIONS)
+    got = [tuple(r) for r in spark.table(name).select("log_no", "job_sts", "dl_data_dt", "job_nm").collect()]
+    assert got == [("1", "SUCCESS", "2024-01-01", "pi_1")]
+    assert len(spark.sql(f"SHOW PARTITIONS {name}").collect()) == 1
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_delete_many_emptied_partitions_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "DROP_BATCH", 2)
+    name = f"many_{uuid.uuid4().hex[:8]}"
+    ledger.create_ledger(spark, name, SCHEMA)
+    rows = spark.createDataFrame([(str(i), "X", "r", "M", f"2024-01-0{i}", "j") for i in range(1, 6)], SCHEMA)
+    ledger.write_append(spark, name, rows)
+    ledger.write_delete(spark, name, F.col("dl_data_dt") >= "2024-01-02")
+    assert [r.log_no for r in spark.table(name).collect()] == ["1"]
+    assert len(spark.sql(f"SHOW PARTITIONS {name}").collect()) == 1
+    spark.sql(f"DROP TABLE {name}")
