@@ -83,7 +83,7 @@ def active_config_status(config: DataFrame, keys: Sequence[str] = ("job_nm",),
     if requested is not None:
         counts = (
             requested.select(*keys).distinct()
-            .join(counts, keys, "left")
+            .join(bounded_broadcast(counts, CONFIG_MAX_BROADCAST_ROWS, bound_by=[config]), keys, "left")
             .select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c)
                              for c in ("n_active", "n_inactive", "n_rows")])
         )
@@ -96,6 +96,7 @@ def area_config_status(config: DataFrame, requested: DataFrame,
     """A1, area mode: only 'not found' when a requested key has no row."""
     keys = list(keys)
     counts = config.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = bounded_broadcast(counts, CONFIG_MAX_BROADCAST_ROWS, bound_by=[config])
     out = requested.select(*keys).distinct().join(counts, keys, "left")
     n = F.coalesce(F.col("n_rows"), F.lit(0))
     return out.select(
@@ -148,7 +149,9 @@ def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "j
 
     * ``pi``/``pt``: zone ``ingt``/``curated``; title is the active row's
       target table ('' when NULL).  A missing, inactive-only or duplicate
-      configuration leaves title '' and fills ``route_error``.
+      configuration leaves title '' and fills ``route_error``.  (The
+      original read the fields from the first of *all* the job's rows, in no
+      order, which may be an inactive one; the active row is meant.)
     * ``po``: zone ``outbnd``; title is the container name from the JSON
       properties when the export type is ``cosmos_db``, else the file-name
       format ('' when NULL).  Any failure (bad configuration, malformed JSON,

@@ -121,17 +121,22 @@ def path_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def value_reason(c: ColumnOrName, allowed: Sequence[str]) -> Column:
-    """Exact member -> NULL; member once upper-cased -> upper case; else not in list.
+    """Allowed-value rule.  The list holds the upper-case spellings:
 
-    NULL is 'not in list'.  The allowed lists are configuration-sized, so
-    they stay literal ``IN`` lists inside the generated code.
+    * upper-cased value not in the list -> 'is not in list' (so with a
+      lower-case list even an exact value is reported; NULL is not in list);
+    * upper-cased value in the list but the value itself not -> 'format
+      should be upper case';
+    * otherwise fine.
+
+    The lists are configuration-sized, so they stay literal ``IN`` lists
+    inside the generated code.
     """
     v = _c(c).cast("string")
     allowed = list(allowed)
     return (
-        F.when(v.isin(*allowed), F.lit(None).cast("string"))
-        .when(F.upper(v).isin(*allowed), REASON_UPPER)
-        .otherwise(REASON_NOT_IN_LIST)
+        F.when(~F.coalesce(F.upper(v).isin(*allowed), F.lit(False)), REASON_NOT_IN_LIST)
+        .when(~v.isin(*allowed), REASON_UPPER)
     )
 
 

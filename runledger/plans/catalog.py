@@ -35,7 +35,7 @@ ARCHIVE_PREFIX = "EXPT"
 REQUIRED_COLUMNS = ["trgt_tbl_nm", "expt_file_nm_fmt", "src_path", "hldy_type"]
 FLAG_COLUMNS = ["actv_flag", "hldy_type"]
 PATH_COLUMNS = ["src_path"]
-ALLOWED = {"hldy_type": ["WEEKEND", "HOLIDAY"], "expt_data_type": ["file", "cosmos_db"]}
+ALLOWED = {"hldy_type": ["WEEKEND", "HOLIDAY"], "expt_data_type": ["FILE", "COSMOS_DB"]}
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -182,9 +182,8 @@ def _in_list(vals):
 
 
 SQL["value_violations"] = W(_report_sql([
-    (c, f"""case when {c} in ({_in_list(v)}) then null
-          when upper({c}) in ({_in_list(v)}) then '{quality.REASON_UPPER}'
-          else '{quality.REASON_NOT_IN_LIST}' end""")
+    (c, f"""case when not coalesce(upper({c}) in ({_in_list(v)}), false) then '{quality.REASON_NOT_IN_LIST}'
+          when {c} not in ({_in_list(v)}) then '{quality.REASON_UPPER}' end""")
     for c, v in ALLOWED.items()]), "job_config")
 
 

@@ -54,6 +54,12 @@ def test_path_rules(spark):
     assert got == [("/a", quality.REASON_PATH)]
 
 
+def test_value_rules_lower_case_list_rejects_exact_values(spark):
+    df = spark.createDataFrame([("file",), ("FILE",)], "t string")
+    got = rows(quality.value_violations(df, {"t": ["file"]}), "bad_value", "reason")
+    assert got == [("FILE", quality.REASON_NOT_IN_LIST), ("file", quality.REASON_NOT_IN_LIST)]
+
+
 def test_value_rules_null_is_not_in_list(spark):
     df = spark.createDataFrame([("WEEKEND",), ("holiday",), ("other",), (None,)], "t string")
     got = rows(quality.value_violations(df, {"t": ["WEEKEND", "HOLIDAY"]}), "bad_value", "reason")
