@@ -25,8 +25,12 @@ def _with_keys(df: DataFrame, keys: Mapping[str, bytes]) -> DataFrame:
             raise ValueError(f"{name}: AES keys are 16, 24 or 32 bytes")
     schema = T.StructType(list(_KEY_SCHEMA.fields) + [T.StructField(n, T.BinaryType()) for n in keys])
     key_row = spark.createDataFrame([(1, *[bytearray(k) for k in keys.values()])], schema)
+    # The tag must not be a literal: the optimizer would move ``tag = 1`` into
+    # the key side and plan a join without keys (nested loop).  A value the
+    # optimizer cannot fold keeps it a broadcast hash join on the tag.
+    tag = F.spark_partition_id() * 0 + 1
     return (
-        df.withColumn("_key_tag", F.lit(1))
+        df.withColumn("_key_tag", tag)
         .join(F.broadcast(key_row), "_key_tag", "inner")
         .drop("_key_tag")
     )
