@@ -69,3 +69,9 @@ def test_no_python_udfs_in_catalogue(spark, sf, capsys):
     for name, q in catalog.Q.items():
         p = plan(q(spark, sf), capsys, "simple")
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_no_cross_joins_in_catalogue(spark, sf, capsys):
+    for name, q in catalog.Q.items():
+        p = plan(q(spark, sf), capsys, "simple")
+        assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, name
