@@ -43,8 +43,8 @@ def main() -> None:
         t = tree(df)
         final = t.split("+- == Initial Plan ==")[0]
         scans = final.count("Scan parquet") + final.count("Scan binaryFile") + final.count("Scan json")
-        shuffles = len(re.findall(r"\bExchange\b", final)) - final.count("BroadcastExchange") \
-            - final.count("ReusedExchange")
+        # \bExchange\b matches neither BroadcastExchange nor ReusedExchange.
+        shuffles = len(re.findall(r"\bExchange\b", final))
         bcast = final.count("BroadcastExchange")
         joins = ", ".join(f"{j.replace('Join', '')} {final.count(j)}" for j in JOINS if j in final) or "-"
         aggs = ", ".join(f"{a} {final.count(a + ' ')}" for a in
