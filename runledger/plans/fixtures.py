@@ -217,7 +217,7 @@ select o_orderkey as log_no,
             else 'TRIGGER-RUNNING' end as job_sts,
        o_orderpriority as rmrk
 from orders""",
-    "job_config": f"""
+    "job_config": "\nunion all\n".join(f"""
 select concat({_PREFIX_SQL.format(k='c_custkey')}, '_', cast(c_custkey as string)) as job_nm,
        case when c_custkey % 15 = 0 then null else c_mktsegment end as trgt_tbl_nm,
        case c_custkey % 10 when 7 then 'N' when 8 then 'y' when 9 then null else 'Y' end as actv_flag,
@@ -233,9 +233,7 @@ select concat({_PREFIX_SQL.format(k='c_custkey')}, '_', cast(c_custkey as string
                           when 3 then '' else 'HOLIDAY' end as hldy_type,
        concat(case c_custkey % 5 when 0 then 'CardX' when 1 then 'card2' when 2 then 'AUTOX'
                                  when 3 then 'dl' else 'misc' end, '_db') as db_nm
-from customer
-cross join (select 1 as copy_no union all select 2) k
-where copy_no = 1 or c_custkey % 100 = 0""",
+from customer{where}""" for where in ("", "\nwhere c_custkey % 100 = 0")),
     "hldy": """
 select distinct cast(cast(o_orderdate as date) as string) as dt_en
 from orders where o_orderkey % 40 = 0""",
