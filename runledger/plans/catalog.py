@@ -796,3 +796,34 @@ from (select job_nm,
              count(*) filter (where job_sts = 'TRIGGER-RUNNING') as n_trigger,
              count(*) filter (where job_sts <> 'TRIGGER-RUNNING') as n_other
       from job_log group by job_nm) t""", "job_log")
+
+
+# ===================================================================== J4 count check (L2)
+@query("activity_last_copy_count")
+def q_activity_last_copy_count(spark, sf):
+    """Per run: files written by the last Copy (by sequence) against the
+    number of files listed for the run; no Copy reporting counts -> NULL."""
+    last = reconcile.copy_totals(_activities(spark, sf), ["run_id"], MAX_MISMATCH, with_data=False,
+                                 order=["activity_seq", "activity_id"]).select(
+        "run_id", "last_files_written", "failed")
+    blob = reconcile.listing_totals(_blob_by_run(spark, sf), ["run_id"], tag="blob").select(
+        "run_id", "blob_files")
+    j = last.join(blob, "run_id", "full_outer")
+    return j.select("run_id", "last_files_written", F.coalesce("blob_files", F.lit(0)).alias("blob_files"),
+                    (F.col("last_files_written") == F.coalesce("blob_files", F.lit(0))).alias("count_match"),
+                    "failed")
+
+
+SQL["activity_last_copy_count"] = W(f"""
+select coalesce(l.run_id, b.run_id) as run_id, l.last_files_written,
+       coalesce(b.blob_files, 0) as blob_files,
+       l.last_files_written = coalesce(b.blob_files, 0) as count_match, l.failed
+from (select run_id,
+             arg_max(fw, struct_pack(s := activity_seq, i := activity_id, w := fw))
+               filter (where t = 'Copy' and fr is not null and fw is not null) as last_files_written,
+             count(*) filter (where t = 'Copy' and not coalesce(fr = fw, false)) > {MAX_MISMATCH} as failed
+      from a group by run_id) l
+full outer join (select cast(regexp_extract(file_nm, '^f_([0-9]+)\\.dat$', 1) as bigint) as run_id,
+                        count(*) as blob_files
+                 from manifest_sent group by 1) b
+on l.run_id = b.run_id""", "activity_run", "manifest_sent", extra={"a": _ACT_SQL})
