@@ -162,8 +162,9 @@ def manifest_recv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_once
 def activity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     # JSON text is built and parsed per row: spread a scan that has too few
-    # splits (round robin, so one hot run cannot land in one task).
-    li = read_table(spark, sf_dir, "lineitem", spread_by=[])
+    # splits, hashed on the row's identity (unique), so one hot run cannot
+    # land in one task.
+    li = read_table(spark, sf_dir, "lineitem", spread_by=["l_orderkey", "l_linenumber"])
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
     price = F.floor("l_extendedprice").cast("bigint")
     qty = F.col("l_quantity").cast("bigint")

@@ -48,8 +48,11 @@ def ensure_parallelism(df: DataFrame, keys: Sequence[str] = (),
     A large input already splits into many scan tasks, and then this is a
     no-op; it only matters for small files written as one row group, where
     CPU-heavy per-row work (JSON parsing, encoding) would otherwise run in a
-    single task.  With ``keys`` the rows are hash-partitioned on them, so a
-    following aggregate or join on the same keys needs no second shuffle.
+    single task.  ``keys`` should identify rows (unique or nearly so): hashing
+    on them spreads evenly whatever the data, without the sort a round-robin
+    repartition needs to stay deterministic on retry.  Never pass a grouping
+    key here: a hot group would land in one task.  Without keys the spread
+    is round robin.
     """
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism

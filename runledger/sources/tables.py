@@ -24,8 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     """One of the driver's parquet tables.
 
     ``spread_by`` (for CPU-heavy per-row work) spreads a scan that yields too
-    few partitions: round robin when empty (skew-proof), else hash-partitioned
-    on those columns; a no-op for inputs that already split into many tasks.
+    few partitions, hashed on those row-identity columns (round robin when
+    empty); a no-op for inputs that already split into many tasks.
     """
     df = spark.read.parquet(table_path(sf_dir, name))
     return df if spread_by is None else ensure_parallelism(df, spread_by)
