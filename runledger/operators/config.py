@@ -119,25 +119,22 @@ def jobs_registered(jobs: DataFrame, registry: DataFrame, key: str = "job_nm") -
 
 
 def _route_config(configs: Mapping[str, DataFrame], key: str, flag: str) -> DataFrame:
-    """One row per (job, prefix) over the configuration tables of the prefixes."""
+    """One row per (job, prefix): the prefix-tagged rows of every
+    configuration table in one union, then one aggregate (one shuffle)."""
     fields = {
         "pi": ["trgt_tbl_nm"],
         "pt": ["trgt_tbl_nm"],
         "po": ["expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"],
     }
     all_fields = ["trgt_tbl_nm", "expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"]
-    parts = []
+    tagged = None
     for prefix, cfg in configs.items():
-        mine = cfg.where(F.col(key).startswith(prefix))
-        agg = config_counts(mine, [key], flag, fields[prefix])
-        parts.append(agg.select(
-            key, F.lit(prefix).alias("_kind"), "n_active", "n_inactive",
+        part = cfg.where(F.col(key).startswith(prefix)).select(
+            key, F.lit(prefix).alias("_kind"), flag,
             *[F.col(f) if f in fields[prefix] else F.lit(None).cast("string").alias(f)
-              for f in all_fields]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+              for f in all_fields])
+        tagged = part if tagged is None else tagged.unionByName(part)
+    return config_counts(tagged, [key, "_kind"], flag, all_fields).drop("n_rows")
 
 
 def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "job_nm",
