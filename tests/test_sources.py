@@ -67,3 +67,10 @@ def test_file_manifest_sizes_without_reading_content(spark, tmp_dir, capsys):
     df.explain()
     plan = capsys.readouterr().out
     assert "content" not in plan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_control_lines_with_extra_and_missing_fields(spark):
+    from runledger.sources.control_files import control_counts_of_lines
+    df = spark.createDataFrame([("H|a|b|c|d|42|x|y",), ("H|a",), ('H|"q|q"|b|c|d| 7 ',), ("",)], "line string")
+    got = [r.ctl_count for r in control_counts_of_lines(df, "line").collect()]
+    assert got == [42, None, 7, None]
