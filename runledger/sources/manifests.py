@@ -18,7 +18,8 @@ def base_name(path_col: str = "path"):
     return F.element_at(F.split(F.col(path_col), "/"), -1)
 
 
-def file_manifest(spark: SparkSession, glob: str, recursive: bool = False) -> DataFrame:
+def file_manifest(spark: SparkSession, glob: str | list[str], recursive: bool = False) -> DataFrame:
+    """Name and size of each file of a glob or a list of paths."""
     df = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
