@@ -2,13 +2,15 @@
 
 Broadcasting is only ever done behind a size check.  Two forms:
 
-* ``bounded_broadcast``: for a dimension that is small by nature (a holiday
-  calendar, a key list), count at most ``max_rows + 1`` rows; broadcast when
-  within the bound, otherwise return the DataFrame unchanged so Spark plans a
-  shuffle join.
-* everything derived from large tables (aggregates over the ledger or the
-  configuration) carries no hint: AQE measures the shuffle output at run time
-  and switches to a broadcast join only below
+* ``bounded_broadcast``: for a side that is small by nature (holiday
+  calendar, per-job configuration aggregate, job registry, key lists), count
+  at most ``max_rows + 1`` rows of it or of the inputs that bound it;
+  broadcast when within the bound, otherwise return the DataFrame unchanged
+  so Spark plans a shuffle join.  The large side (the run ledger) is then
+  never shuffled for a lookup.
+* sides derived from the large tables themselves (keys computed from runs)
+  carry no hint and get no up-front count: AQE measures them at run time and
+  switches to a broadcast join only below
   ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the
   sort-merge join stays, with skewed partitions split by AQE.
 """

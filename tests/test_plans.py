@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from runledger.operators import calendar, quality, reconcile
+from runledger.operators import calendar, quality
 from runledger.plans import catalog, fixtures as fx
 from runledger.sources.tables import read_table
 
