@@ -21,24 +21,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame):
+    """Bytes of a row: text and binary by length, nested values by the length
+    of their JSON text, everything else as 8 bytes."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total.cast("bigint")
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      bound_by: Sequence[DataFrame] | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+                      bound_by: Sequence[DataFrame] | None = None,
+                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows
+    and ``max_bytes`` bytes of data.
 
-    The proof is a count that stops after ``max_rows + 1`` rows, either of
-    ``df`` itself or, with ``bound_by``, of inputs whose rows bound ``df``'s
-    (an aggregate has no more rows than its input), which avoids computing
-    ``df`` twice.
+    The proof is one pass that stops after ``max_rows + 1`` rows, counting
+    rows and summing their byte sizes, either over ``df`` itself or, with
+    ``bound_by``, over inputs that bound it (an aggregate has no more rows,
+    and no more bytes of its input columns, than its input), which avoids
+    computing ``df`` twice.  Otherwise ``df`` is returned unhinted and Spark
+    plans a shuffle join.
     """
     sources = [df] if bound_by is None else list(bound_by)
-    total = 0
+    rows = size = 0
     for src in sources:
-        total += src.limit(max_rows + 1 - total).count()
-        if total > max_rows:
+        r = src.limit(max_rows + 1 - rows).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(src)).alias("b")).collect()[0]
+        rows += r.n
+        size += r.b or 0
+        if rows > max_rows or size > max_bytes:
             return df
     return F.broadcast(df)
 

@@ -75,3 +75,18 @@ def test_no_cross_joins_in_catalogue(spark, sf, capsys):
     for name, q in catalog.Q.items():
         p = plan(q(spark, sf), capsys, "simple")
         assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, name
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from runledger.plans.strategy import bounded_broadcast
+    small = spark.createDataFrame([("a" * 10, 1)], "s string, n int")
+    big_text = spark.createDataFrame([("a" * 5000, 1)], "s string, n int")
+    many = spark.range(50).toDF("n")
+    # Within both bounds: a broadcast-hinted DataFrame; beyond either: the input unchanged.
+    assert bounded_broadcast(small, 10, max_bytes=1000) is not small
+    assert bounded_broadcast(big_text, 10, max_bytes=1000) is big_text
+    assert bounded_broadcast(many, 10) is many
+    # The bound may come from inputs: an aggregate of ``many`` is bounded by it.
+    agg = many.groupBy((many.n % 3).alias("k")).count()
+    assert bounded_broadcast(agg, 10, bound_by=[many]) is agg
+    assert bounded_broadcast(agg, 100, bound_by=[many]) is not agg
