@@ -24,24 +24,32 @@ JOINS = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNes
          "CartesianProduct"]
 
 
-def tree(df) -> str:
+def formatted(df) -> str:
     buf = io.StringIO()
     with redirect_stdout(buf):
         df.explain("formatted")
-    return buf.getvalue().split("\n\n(1)")[0]
+    return buf.getvalue()
+
+
+def read_columns(text: str) -> str:
+    """Columns each scan reads (ReadSchema), to show pruning."""
+    out = []
+    for schema in sorted(set(re.findall(r"ReadSchema: struct<([^\n]*)>", text))):
+        out.append(",".join(f.split(":")[0] for f in re.split(r",(?![^<]*>)", schema)))
+    return " / ".join(out) or "-"
 
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session()
     print(f"# Physical plans at {os.path.basename(sf)} (final adaptive plans, `local[8]`)\n")
-    print("| query | scans | shuffles | broadcasts | joins | aggregates | Python |")
-    print("| --- | --- | --- | --- | --- | --- | --- |")
+    print("| query | scans | shuffles | broadcasts | joins | aggregates | Python | columns read |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- |")
     for name, q in catalog.Q.items():
         df = q(spark, sf)
         df.write.format("noop").mode("overwrite").save()
-        t = tree(df)
-        final = t.split("+- == Initial Plan ==")[0]
+        text = formatted(df)
+        final = text.split("\n\n(1)")[0].split("+- == Initial Plan ==")[0]
         scans = final.count("Scan parquet") + final.count("Scan binaryFile") + final.count("Scan json")
         # \bExchange\b matches neither BroadcastExchange nor ReusedExchange.
         shuffles = len(re.findall(r"\bExchange\b", final))
@@ -51,7 +59,7 @@ def main() -> None:
                          ("HashAggregate", "SortAggregate", "ObjectHashAggregate")
                          if final.count(a + " ")) or "-"
         py = "yes" if ("EvalPython" in final or "ArrowEvalPython" in final) else "no"
-        print(f"| {name} | {scans} | {shuffles} | {bcast} | {joins} | {aggs} | {py} |")
+        print(f"| {name} | {scans} | {shuffles} | {bcast} | {joins} | {aggs} | {py} | {read_columns(text)} |")
     spark.stop()
 
 
