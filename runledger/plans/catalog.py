@@ -779,10 +779,8 @@ SQL["rewrap_roundtrip"] = "select c_custkey, c_name from customer"
 def q_stream_run_status(spark, sf):
     from runledger.streaming import ledger_stream as ls
 
-    orders_path = os.path.join(sf, "orders.parquet")
-    schema = spark.read.parquet(orders_path).schema
-    # A glob, because a file stream source lists a folder or a pattern.
-    events = fx.job_log_of(ls.read_event_stream(spark, orders_path[:-1] + "[t]", schema))
+    schema = read_table(spark, sf, "orders").schema
+    events = fx.job_log_of(ls.read_event_stream(spark, sf, schema, name_glob="orders.parquet"))
     out = ls.stream_location(spark, "run-status-snapshot")
     ls.write_snapshot(ls.run_status_stream(events), out).awaitTermination()
     return spark.read.parquet(out)

@@ -39,12 +39,15 @@ def stream_location(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def read_event_stream(spark: SparkSession, glob: str, schema: T.StructType, fmt: str = "parquet",
-                      max_files_per_trigger: int | None = None) -> DataFrame:
+def read_event_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
+                      max_files_per_trigger: int | None = None, name_glob: str | None = None) -> DataFrame:
+    """Files arriving in ``folder`` (only names matching ``name_glob``)."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(glob)
+    if name_glob:
+        r = r.option("pathGlobFilter", name_glob)
+    return r.load(folder)
 
 
 def append_stream(events: DataFrame, path: str, schema: T.StructType,
