@@ -204,8 +204,10 @@ def _sql_text(v) -> str:
 
 def write_update(spark: SparkSession, name: str, predicate: Column, assignments: Mapping[str, object],
                  tenant: str | None = None, partitions: Sequence[str] = LEDGER_PARTITIONS) -> None:
-    """D6/D7 persisted; the assignments may not change partition columns."""
-    moved = set(assignments) & set(partitions)
+    """D6/D7 persisted; the assignments may not change partition columns
+    (falsy assignments are dropped first, as in ``update_rows``)."""
+    effective = {k for k, v in assignments.items() if _assignment(v) is not None}
+    moved = effective & set(partitions)
     if moved:
         raise ValueError(f"update may not change partition columns: {sorted(moved)}")
     pred = predicate if tenant is None else predicate & tenant_predicate(tenant)

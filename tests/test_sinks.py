@@ -62,6 +62,9 @@ def test_update_other_tenant_is_noop(spark, table):
 def test_update_refuses_partition_columns(spark, table):
     with pytest.raises(ValueError):
         ledger.write_update(spark, table, F.lit(True), {"job_nm": "x"})
+    # A falsy assignment is dropped, so it does not count as moving rows.
+    ledger.write_update(spark, table, F.col("log_no") == "4", {"job_nm": "", "rmrk": "z"})
+    assert ("4", "TRIGGER-RUNNING", "z", "MONO_A", "2024-01-01", "pt_2") in content(spark, table)
 
 
 def test_delete_drops_emptied_partition(spark, table):
