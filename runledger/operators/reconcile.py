@@ -2,8 +2,8 @@
 
 The original fetched one run's activity report and listed files one by one
 on the driver.  Here the reports are a table of JSON documents and the file
-listings are tables of (name, size); the checks become one ``from_json``
-projection, partial aggregates per run or per file, and one-to-one joins of
+listings are tables of (name, size); the checks become one parse per document
+(``json_tuple``), partial aggregates per run or per file, and one-to-one joins of
 pre-aggregated sides (never a join of raw duplicates, so no pair explosion
 when a name repeats).
 """

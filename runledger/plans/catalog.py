@@ -15,7 +15,7 @@ from runledger.functions import columns as X
 from runledger.functions.crypto import decrypt_columns, encrypt_columns, rewrap_columns
 from runledger.operators import calendar, config, ledger, markers, quality, reconcile
 from runledger.plans import fixtures as fx
-from runledger.sources.config_json import flatten_area, parse_area_text
+from runledger.sources.config_json import flatten_area_text
 from runledger.sources.control_files import ControlSpec, control_counts_of_lines
 from runledger.sources.manifests import file_manifest
 from runledger.sources.tables import read_table
@@ -723,7 +723,7 @@ def q_config_json_flatten(spark, sf):
     )
     docs = cfg.select(F.to_json(F.struct(F.col("db_nm").alias("area_nm"), jobs.alias("job")))
                       .alias("doc"))
-    return flatten_area(parse_area_text(docs, "doc"))
+    return flatten_area_text(docs, "doc")
 
 
 SQL["config_json_flatten"] = W("""

@@ -57,9 +57,16 @@ def flatten_dependency(df: DataFrame) -> DataFrame:
         "p.alw_zero_rec_flag", "p.script_chck_dpdc")
 
 
-def parse_area_text(df: DataFrame, text_col: str = "doc") -> DataFrame:
-    """S2 over a text column: JSON documents already in a table."""
-    return df.select(F.from_json(F.col(text_col), AREA_SCHEMA).alias("a")).select("a.*")
+def flatten_area_text(df: DataFrame, text_col: str = "doc") -> DataFrame:
+    """S2 + S3 over a text column of area documents already in a table.
+
+    ``json_tuple`` reads each document's top level once (the job list comes
+    back as JSON text), and the list is parsed once inside ``explode``.  A
+    ``from_json`` struct would be parsed again for every field used.
+    """
+    top = df.select(F.json_tuple(F.col(text_col), "area_nm", "job").alias("area_nm", "_job"))
+    jobs = top.select("area_nm", F.explode(F.from_json("_job", T.ArrayType(AREA_JOB))).alias("j"))
+    return jobs.select("area_nm", "j.job_type", "j.job_nm", "j.job_seq", "j.job_hldy_flag")
 
 
 def create_config_views(spark: SparkSession, root: str, names=CONFIG_NAMES) -> dict[str, str]:

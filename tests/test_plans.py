@@ -90,3 +90,9 @@ def test_bounded_broadcast_checks_rows_and_bytes(spark):
     agg = many.groupBy((many.n % 3).alias("k")).count()
     assert bounded_broadcast(agg, 10, bound_by=[many]) is agg
     assert bounded_broadcast(agg, 100, bound_by=[many]) is not agg
+
+
+def test_area_documents_parsed_once(spark, sf, capsys):
+    p = plan(catalog.Q["config_json_flatten"](spark, sf), capsys, "extended")
+    phys = p.split("== Physical Plan ==")[1]
+    assert phys.count("json_tuple(") == 1 and phys.count("from_json(") == 1
