@@ -88,3 +88,17 @@ def test_control_file_and_copy_check(env, tmp_dir):
         fh.write("!")
     with pytest.raises(RuntimeError):
         env.vld_copy_file([f"{tmp_dir}/a/f.dat"], [f"{tmp_dir}/b/f.dat"])
+
+
+def test_dsr_and_archive_entry_points(env, spark):
+    dsr = T.StructType([T.StructField(c, T.StringType()) for c in ["log_no", "job_sts", "dl_data_dt", "job_nm"]])
+    ledger.create_ledger(spark, f"{env.db}.tbl_dsr", dsr, ledger.DSR_PARTITIONS)
+    env.insert_dsr_log("tbl_dsr", {"log_no": "1", "job_sts": "RUNNING", "dl_data_dt": "2024-01-01", "job_nm": "j"})
+    env.update_dsr_log("tbl_dsr", "WHERE log_no = '1'", {"job_sts": "SUCCESS"}, "Y")
+    assert [tuple(r) for r in spark.table(f"{env.db}.tbl_dsr").select("log_no", "job_sts").collect()] == \
+        [("1", "SUCCESS")]
+    arch = T.StructType([T.StructField(c, T.StringType()) for c in ["adb_run_id", "monoline", "expt_sts"]])
+    spark.createDataFrame([], arch).write.saveAsTable(f"{env.db}.tbl_arch_nb_log")
+    env.insr_arch_nb_log({"adb_run_id": "7", "monoline": "MONO_A", "expt_sts": ""})
+    r = spark.table(f"{env.db}.tbl_arch_nb_log").collect()[0]
+    assert (r.adb_run_id, r.monoline, r.expt_sts) == ("7", "MONO_A", "NOT STARTED")
