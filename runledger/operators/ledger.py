@@ -162,11 +162,12 @@ def write_append(spark: SparkSession, name: str, rows: DataFrame,
     aligned.write.insertInto(name)
 
 
-def rewrite_partitions(spark: SparkSession, name: str, touched: Column, change,
+def rewrite_partitions(spark: SparkSession, name: str, touched: Column | DataFrame, change,
                        partitions: Sequence[str] = LEDGER_PARTITIONS) -> None:
     """Persist a row-level change by rewriting only the partitions it touches.
 
-    ``touched`` selects the rows the change may alter; ``change`` maps a
+    ``touched`` selects the rows the change may alter (a predicate), or is a
+    DataFrame of the partition values it may alter; ``change`` maps a
     DataFrame of the table to its new content.  Steps: find the touched
     partitions (a distinct over partition values, pruned by Catalyst when the
     predicate names partition columns), take *all* rows of those partitions,
@@ -179,7 +180,10 @@ def rewrite_partitions(spark: SparkSession, name: str, touched: Column, change,
     configure(spark)
     parts = list(partitions)
     table = spark.table(name)
-    keys = table.where(F.coalesce(touched, F.lit(False))).select(*parts).distinct()
+    if isinstance(touched, DataFrame):
+        keys = touched.select(*parts).distinct()
+    else:
+        keys = table.where(F.coalesce(touched, F.lit(False))).select(*parts).distinct()
     keys = cut_lineage(keys)
     scope = table.join(bounded_broadcast(keys, 2_000_000), parts, "left_semi")
     new = cut_lineage(change(scope).select(*table.columns))

@@ -26,12 +26,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runledger.functions.columns import (
     compact_date, marker_file_name, marker_folder, marker_match_key,
 )
 from runledger.operators.config import ZONE_SKIP
-from runledger.operators.ledger import STS_SUCCESS
+from runledger.operators.ledger import STS_SUCCESS, create_ledger, rewrite_partitions
 
 
 def success_markers(routed_runs: DataFrame, root: str, ts_text: Column, tenant: Column,
@@ -119,3 +120,26 @@ def remaining_markers(markers: DataFrame, keys: DataFrame) -> DataFrame:
     """D11, the other half: markers that survive the new runs."""
     stale = stale_markers(markers, keys).select("zone", "folder_dt", "file_nm")
     return markers.join(stale, ["zone", "folder_dt", "file_nm"], "left_anti")
+
+
+# ------------------------------------------------------------------ marker table
+MARKER_PARTITIONS = ("zone", "folder_dt")
+MARKER_COLUMNS = ("job_nm", "dl_data_dt", "file_nm", "marker_path", "zone", "folder_dt")
+
+
+def create_marker_table(spark, name: str) -> None:
+    """D10 sink: markers as rows of a table partitioned by zone and date folder."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in MARKER_COLUMNS])
+    create_ledger(spark, name, schema, MARKER_PARTITIONS)
+
+
+def write_markers(spark, name: str, new_markers: DataFrame) -> None:
+    """Append markers (from ``success_markers``)."""
+    new_markers.select(*MARKER_COLUMNS).write.insertInto(name)
+
+
+def remove_stale_markers(spark, name: str, keys: DataFrame) -> None:
+    """D11 + D12 persisted: drop the markers the new runs' keys invalidate,
+    rewriting only the (zone, date folder) partitions the keys name."""
+    rewrite_partitions(spark, name, keys.select(*MARKER_PARTITIONS),
+                       lambda df: remaining_markers(df, keys), MARKER_PARTITIONS)

@@ -144,3 +144,25 @@ def test_markers_after_update_only_for_success(spark):
     assert [r.file_nm for r in out.collect()] == ["tbl.pi_1.20240102.TS.success"]
     none = markers.markers_after_update(routed, pred, {"job_sts": "FAILED"}, "/r", F.lit("TS"), F.lit("m"))
     assert none.count() == 0
+
+
+def test_marker_table_append_and_stale_removal(spark):
+    import uuid
+    name = f"markers_{uuid.uuid4().hex[:8]}"
+    markers.create_marker_table(spark, name)
+    routed = spark.createDataFrame([
+        ("pi_1", "2024-01-02", "SUCCESS", "ingt", "Tbl", "m"),
+        ("pi_2", "2024-01-02", "SUCCESS", "ingt", "Tbl", "m"),
+        ("pi_3", "2024-01-03", "SUCCESS", "ingt", "Tbl", "m"),
+    ], "job_nm string, dl_data_dt string, job_sts string, zone string, title_nm string, monoline string")
+    markers.write_markers(spark, name, markers.success_markers(routed, "/r", F.lit("TS"), F.col("monoline")))
+    assert spark.table(name).count() == 3
+    # A new run of pi_1 on 2024-01-02 invalidates its marker only; pi_3's
+    # folder is not touched at all, and pi_3's whole folder would be emptied.
+    new = spark.createDataFrame([("pi_1", "2024-01-02", "ingt", "Tbl", None), ("pi_3", "2024-01-03", "ingt", "", None)],
+                                "job_nm string, dl_data_dt string, zone string, title_nm string, route_error string")
+    markers.remove_stale_markers(spark, name, markers.invalidation_keys(new))
+    assert sorted(r.job_nm for r in spark.table(name).collect()) == ["pi_2"]
+    parts = [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+    assert parts == ["zone=ingt/folder_dt=20240102"]
+    spark.sql(f"DROP TABLE {name}")
