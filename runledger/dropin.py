@@ -19,7 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.operators import config, ledger, quality, reconcile
+from runledger.operators import config, ledger, markers, quality, reconcile
+from runledger.session import cut_lineage
 from runledger.sources.control_files import ControlSpec, read_control_files
 from runledger.sources.manifests import file_manifest
 
@@ -34,11 +35,31 @@ def predicate(where_cond: str | None) -> Column:
 
 class DropIn:
     def __init__(self, spark: SparkSession, config_db: str, tenant: str | None = None,
-                 max_copy_mismatch: int = 0):
+                 max_copy_mismatch: int = 0, marker_table: str | None = None,
+                 route_tables: Mapping[str, str] | None = None, marker_root: str = ""):
+        """``marker_table`` + ``route_tables`` (prefix -> configuration table
+        name, e.g. ``{"pi": "tbl_ingt_job", ...}``) turn on the marker hooks:
+        an insert removes the markers its runs invalidate (D12), an update to
+        SUCCESS writes markers for the rows it touched (D13)."""
         self.spark = spark
         self.db = config_db
         self.tenant = tenant
         self.max_copy_mismatch = max_copy_mismatch
+        self.marker_table = marker_table
+        self.route_tables = dict(route_tables or {})
+        self.marker_root = marker_root
+
+    def _hooks_on(self) -> bool:
+        return bool(self.marker_table and self.route_tables)
+
+    def _routed(self, runs: DataFrame) -> DataFrame:
+        cfgs = {p: self.spark.table(self._table(t)) for p, t in self.route_tables.items()}
+        return config.attach_routes(runs, cfgs)
+
+    def _after_insert(self, rows: DataFrame) -> None:
+        if self._hooks_on() and {"job_nm", "dl_data_dt"} <= set(rows.columns):
+            keys = markers.invalidation_keys(self._routed(rows.select("job_nm", "dl_data_dt")))
+            markers.remove_stale_markers(self.spark, self._table(self.marker_table), keys)
 
     def _table(self, tbl_nm: str) -> str:
         return f"{self.db}.{tbl_nm}" if self.db else tbl_nm
@@ -99,13 +120,17 @@ class DropIn:
         """D3: aligned append; ``monoline`` defaults to the upper-cased tenant;
         with ``multi_values`` single quotes become double quotes."""
         defaults = ledger.tenant_defaults(self.tenant) if self.tenant else None
-        ledger.write_append(self.spark, self._table(tbl_nm), self._rows(tbl_nm, dict_values),
-                            defaults, swap_quotes=multi_values)
+        rows = self._rows(tbl_nm, dict_values)
+        ledger.write_append(self.spark, self._table(tbl_nm), rows, defaults, swap_quotes=multi_values)
+        if not multi_values:
+            self._after_insert(rows)
 
     def insert_dsr_log(self, tbl_nm: str, dict_values, partition=None, multi_values: bool = False) -> None:
         """As ``insert_log`` without the tenant column."""
-        ledger.write_append(self.spark, self._table(tbl_nm), self._rows(tbl_nm, dict_values),
-                            swap_quotes=multi_values)
+        rows = self._rows(tbl_nm, dict_values)
+        ledger.write_append(self.spark, self._table(tbl_nm), rows, swap_quotes=multi_values)
+        if not multi_values:
+            self._after_insert(rows)
 
     def insr_arch_nb_log(self, dict_values) -> None:
         """``expt_sts`` defaults to NOT STARTED."""
@@ -126,19 +151,30 @@ class DropIn:
         pred = predicate(where_cond)
         if self.tenant:
             pred = pred & ledger.tenant_predicate(self.tenant)
+        self._update(tbl_nm, pred, dict_upd, vld_dup_flag)
+
+    def _update(self, tbl_nm: str, pred: Column, dict_upd: Mapping[str, object], vld_dup_flag: str) -> None:
+        table = self.spark.table(self._table(tbl_nm))
         if str(vld_dup_flag).upper() == "Y":
-            ledger.assert_no_duplicate_update(self.spark.table(self._table(tbl_nm)), pred)
+            ledger.assert_no_duplicate_update(table, pred)
+        touched = None
+        if self._hooks_on() and dict_upd.get("job_sts") == ledger.STS_SUCCESS:
+            # Captured before the update rewrites the rows the predicate names.
+            touched = cut_lineage(table.where(F.coalesce(pred, F.lit(False)))
+                                  .select("job_nm", "dl_data_dt", *(["monoline"] if "monoline" in table.columns else [])))
         ledger.write_update(self.spark, self._table(tbl_nm), pred, self._assignments(dict_upd),
                             partitions=self._partitions(tbl_nm))
+        if touched is not None:
+            tenant = F.col("monoline") if "monoline" in touched.columns else F.lit(self.tenant or "")
+            ts = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
+            new = markers.markers_after_update(self._routed(touched), F.lit(True), dict(dict_upd),
+                                               self.marker_root, ts, tenant)
+            markers.write_markers(self.spark, self._table(self.marker_table), new)
 
     def update_dsr_log(self, tbl_nm: str, where_cond: str, dict_upd: Mapping[str, object],
                        vld_dup_flag: str = "N") -> None:
         """As ``update_log`` without the tenant predicate."""
-        pred = predicate(where_cond)
-        if str(vld_dup_flag).upper() == "Y":
-            ledger.assert_no_duplicate_update(self.spark.table(self._table(tbl_nm)), pred)
-        ledger.write_update(self.spark, self._table(tbl_nm), pred, self._assignments(dict_upd),
-                            partitions=self._partitions(tbl_nm))
+        self._update(tbl_nm, predicate(where_cond), dict_upd, vld_dup_flag)
 
     def cleanup_log(self, tbl_nm: str, dict_value: Mapping[str, str]) -> None:
         """Delete every row of the job."""

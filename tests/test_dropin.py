@@ -102,3 +102,16 @@ def test_dsr_and_archive_entry_points(env, spark):
     env.insr_arch_nb_log({"adb_run_id": "7", "monoline": "MONO_A", "expt_sts": ""})
     r = spark.table(f"{env.db}.tbl_arch_nb_log").collect()[0]
     assert (r.adb_run_id, r.monoline, r.expt_sts) == ("7", "MONO_A", "NOT STARTED")
+
+
+def test_marker_hooks(env, spark):
+    from runledger.operators import markers
+    env.marker_table, env.route_tables, env.marker_root = "tbl_markers", {"pi": "tbl_ingt_job"}, "/r"
+    markers.create_marker_table(spark, f"{env.db}.tbl_markers")
+    env.insert_log("tbl_log", {"log_no": "1", "job_nm": "pi_1", "dl_data_dt": "2024-01-02", "job_sts": "RUNNING"})
+    env.update_log("tbl_log", "WHERE log_no = '1'", {"job_sts": "SUCCESS"}, "N")
+    got = spark.table(f"{env.db}.tbl_markers").collect()
+    assert len(got) == 1 and got[0].file_nm.startswith("t.pi_1.20240102.") and got[0].zone == "ingt"
+    # A new run of the same job and date removes the marker.
+    env.insert_log("tbl_log", {"log_no": "2", "job_nm": "pi_1", "dl_data_dt": "2024-01-02", "job_sts": "RUNNING"})
+    assert spark.table(f"{env.db}.tbl_markers").count() == 0
