@@ -36,11 +36,17 @@ def main() -> None:
     spark = local_session(cpus, "runledger-bench")
 
     names = [n for n in catalog.Q if not only or n in only]
+    errors = {}
     for n in names:  # warm-up: JVM, code generation, file listing caches
-        run(catalog.Q[n](spark, sf_dir))
+        try:
+            run(catalog.Q[n](spark, sf_dir))
+        except Exception as e:  # noqa: BLE001 - report, keep timing the rest
+            errors[n] = f"{type(e).__name__}: {str(e)[:200]}"
 
     times = {}
     for n in names:
+        if n in errors:
+            continue
         samples = []
         for _ in range(repeat):
             t0 = time.perf_counter()
@@ -57,6 +63,7 @@ def main() -> None:
         "sf": sf,
         "cpus": cpus,
         "repeat": repeat,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
