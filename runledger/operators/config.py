@@ -34,6 +34,7 @@ STATUS_MESSAGES = {
 # Job-name prefix -> (zone, configuration kind).
 ROUTE_ZONES = {"pi": "ingt", "pt": "curated", "po": "outbnd"}
 ZONE_SKIP = "skip"
+ROUTE_FIELDS = ["trgt_tbl_nm", "expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"]
 
 
 def _is_active(flag: str) -> Column:
@@ -126,7 +127,7 @@ def _route_config(configs: Mapping[str, DataFrame], key: str, flag: str) -> Data
         "pt": ["trgt_tbl_nm"],
         "po": ["expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"],
     }
-    all_fields = ["trgt_tbl_nm", "expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"]
+    all_fields = ROUTE_FIELDS
     tagged = None
     for prefix, cfg in configs.items():
         part = cfg.where(F.col(key).startswith(prefix)).select(
@@ -165,7 +166,7 @@ def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "j
     # several prefixes bounds the aggregate once.
     inputs = list({id(c): c for c in configs.values()}.values())
     cfg_all = bounded_broadcast(_route_config(configs, key, flag), CONFIG_MAX_BROADCAST_ROWS,
-                                bound_by=inputs)
+                                bound_by=inputs, bound_columns=[key, flag, *ROUTE_FIELDS])
     j = df.withColumn("_kind", F.substring(F.col(key), 1, 2))
     r = j.join(cfg_all, [key, "_kind"], "left")
     status = status_of(F.coalesce(F.col("n_active"), F.lit(0)),

@@ -47,7 +47,8 @@ def _row_bytes(df: DataFrame):
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                       bound_by: Sequence[DataFrame] | None = None,
-                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                      bound_columns: Sequence[str] | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows
     and ``max_bytes`` bytes of data.
 
@@ -55,14 +56,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     rows and summing their byte sizes, either over ``df`` itself or, with
     ``bound_by``, over inputs that bound it (an aggregate has no more rows,
     and no more bytes of its input columns, than its input), which avoids
-    computing ``df`` twice.  Otherwise ``df`` is returned unhinted and Spark
-    plans a shuffle join.
+    computing ``df`` twice.  ``bound_columns`` names the input columns the
+    side's values come from; only those are summed (plus fixed-width
+    counters), which keeps the check from reading unrelated columns.
+    Otherwise ``df`` is returned unhinted and Spark plans a shuffle join.
     """
     sources = [df] if bound_by is None else list(bound_by)
     rows = size = 0
     for src in sources:
-        r = src.limit(max_rows + 1 - rows).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(src)).alias("b")).collect()[0]
+        measured = src
+        if bound_columns is not None:
+            keep = [c for c in bound_columns if c in src.columns]
+            measured = src.select(*keep) if keep else src
+        extra = 8 * len(df.columns)  # fixed-width room for counters and tags
+        r = measured.limit(max_rows + 1 - rows).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(_row_bytes(measured) + F.lit(extra)).alias("b")).collect()[0]
         rows += r.n
         size += r.b or 0
         if rows > max_rows or size > max_bytes:
