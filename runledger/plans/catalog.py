@@ -779,11 +779,18 @@ SQL["rewrap_roundtrip"] = "select c_custkey, c_name from customer"
 def q_stream_run_status(spark, sf):
     from runledger.streaming import ledger_stream as ls
 
+    path = os.path.join(sf, "orders.parquet")
     schema = read_table(spark, sf, "orders").schema
-    events = fx.job_log_of(ls.read_event_stream(spark, sf, schema, name_glob="orders.parquet"))
+    # A table written as a folder of files streams from that folder; a single
+    # file streams from its folder with a name filter.
+    if os.path.isdir(path):
+        source = ls.read_event_stream(spark, path, schema)
+    else:
+        source = ls.read_event_stream(spark, sf, schema, name_glob=os.path.basename(path))
+    status = ls.run_status_stream(fx.job_log_of(source))
     out = ls.stream_location(spark, "run-status-snapshot")
-    ls.write_snapshot(ls.run_status_stream(events), out).awaitTermination()
-    return spark.read.parquet(out)
+    ls.write_snapshot(status, out).awaitTermination()
+    return ls.read_snapshot(spark, out, status.schema)
 
 
 SQL["stream_run_status"] = W("""

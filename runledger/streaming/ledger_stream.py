@@ -104,3 +104,13 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     """Read a ledger path with its own schema (no partition-type guessing:
     ``dl_data_dt`` stays text), through the sink's log of committed files."""
     return spark.read.schema(schema).parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The latest snapshot, or no rows when no batch has run yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # noqa: BLE001 - only a missing snapshot is expected
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return spark.createDataFrame([], schema)
+        raise

@@ -45,3 +45,13 @@ def test_run_status_stream_matches_batch(spark, tmp_dir):
     batch = {r.job_nm: r.is_ok for r in ledger.trigger_run_status(
         spark.createDataFrame(rows, EVENTS), ["job_nm"]).collect()}
     assert {k: v[4] for k, v in got.items()} == batch
+
+
+def test_snapshot_of_empty_stream_has_no_rows(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "empty")
+    os.makedirs(src)
+    out = os.path.join(tmp_dir, "status")
+    status = ls.run_status_stream(ls.read_event_stream(spark, src, EVENTS))
+    ls.write_snapshot(status, out).awaitTermination()
+    snap = ls.read_snapshot(spark, out, status.schema)
+    assert snap.count() == 0 and snap.columns == status.columns
