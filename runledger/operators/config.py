@@ -31,9 +31,11 @@ STATUS_MESSAGES = {
     "OK": None,
 }
 
-# Job-name prefix -> (zone, configuration kind).
+# Job-name prefix -> zone; the skip zone; the export type whose
+# title is a container name read from the JSON properties.
 ROUTE_ZONES = {"pi": "ingt", "pt": "curated", "po": "outbnd"}
 ZONE_SKIP = "skip"
+EXPORT_TO_CONTAINER = "cosmos_db"
 ROUTE_FIELDS = ["trgt_tbl_nm", "expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"]
 
 
@@ -173,7 +175,7 @@ def attach_routes(df: DataFrame, configs: Mapping[str, DataFrame], key: str = "j
                        F.coalesce(F.col("n_inactive"), F.lit(0)))
     ok = status == "OK"
     kind = F.col("_kind")
-    po_title = F.when(F.col("expt_data_type") == "cosmos_db",
+    po_title = F.when(F.col("expt_data_type") == EXPORT_TO_CONTAINER,
                       container_name("expt_file_ppty")).otherwise(none_to_empty("expt_file_nm_fmt"))
     po_ok = ok & po_title.isNotNull()
     zone = (

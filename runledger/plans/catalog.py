@@ -398,9 +398,9 @@ SQL["activity_totals"] = W(_COPY_TOTALS_SQL, "activity_run")
 def q_activity_file_compare(spark, sf):
     meta = reconcile.last_metadata(_activities(spark, sf), ["run_id"], META_ACTIVITY,
                                    ["activity_seq", "activity_id"])
-    adf = meta.select(F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
+    report = meta.select(F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
     blob = reconcile.union_listings(fx.manifest_sent(spark, sf).select("file_nm", "file_size"))
-    return reconcile.compare_listings(adf, blob, ["file_nm"])
+    return reconcile.compare_listings(report, blob, ["file_nm"])
 
 
 SQL["activity_file_compare"] = W(_compare_sql("last_meta", "manifest_sent", ["file_nm"]),
@@ -421,17 +421,17 @@ def _blob_by_run(spark, sf):
 
 @query("activity_total_compare")
 def q_activity_total_compare(spark, sf):
-    adf = reconcile.copy_totals(_activities(spark, sf), ["run_id"], MAX_MISMATCH).select(
-        "run_id", F.col("files_written").alias("adf_files"), F.col("bytes_written").alias("adf_bytes"))
+    report = reconcile.copy_totals(_activities(spark, sf), ["run_id"], MAX_MISMATCH).select(
+        "run_id", F.col("files_written").alias("report_files"), F.col("bytes_written").alias("report_bytes"))
     blob = reconcile.listing_totals(_blob_by_run(spark, sf), ["run_id"], tag="blob")
-    return reconcile.compare_totals(adf, blob, ["run_id"], "adf", "blob")
+    return reconcile.compare_totals(report, blob, ["run_id"], "report", "blob")
 
 
 SQL["activity_total_compare"] = W(_totals_sql(
-    f"select run_id, files_written as adf_files, bytes_written as adf_bytes from ({_COPY_TOTALS_SQL}) x",
+    f"select run_id, files_written as report_files, bytes_written as report_bytes from ({_COPY_TOTALS_SQL}) x",
     "select cast(regexp_extract(file_nm, '^f_([0-9]+)\\.dat$', 1) as bigint) as run_id, "
     "count(*) as blob_files, cast(sum(file_size) as bigint) as blob_bytes from manifest_sent group by 1",
-    "adf", "blob", "run_id"), "activity_run", "manifest_sent")
+    "report", "blob", "run_id"), "activity_run", "manifest_sent")
 
 
 # ===================================================================== S6
@@ -719,7 +719,7 @@ def q_config_json_flatten(spark, sf):
         F.when(F.col("actv_flag").isNull(), F.array().cast("array<struct<job_type:string,"
                                                              "job_nm:string,job_seq:bigint,"
                                                              "job_hldy_flag:string>>"))
-        .when(F.col("expt_data_type") == "cosmos_db", F.array(job("ingest", 1), job("export", 2)))
+        .when(F.col("expt_data_type") == config.EXPORT_TO_CONTAINER, F.array(job("ingest", 1), job("export", 2)))
         .otherwise(F.array(job("ingest", 1)))
     )
     docs = cfg.select(F.to_json(F.struct(F.col("db_nm").alias("area_nm"), jobs.alias("job")))
