@@ -47,3 +47,29 @@ def test_listing_compare_covers_every_name_once(spark, src, tgt):
     for r in out:
         if r.status == "MATCH":
             assert r.src_size == r.tgt_size
+
+
+LISTING = st.lists(st.tuples(st.integers(1, 4), st.sampled_from(["a", "b", "c"]), st.integers(0, 9)), max_size=15)
+
+
+@SETTINGS
+@given(src=LISTING, tgt=LISTING)
+def test_listing_totals_match_plain_sums(spark, src, tgt):
+    def totals(rows):
+        out = {}
+        for b, _, size in rows:
+            n, s = out.get(b, (0, 0))
+            out[b] = (n + 1, s + size)
+        return out
+    schema = "batch_id int, file_nm string, file_size long"
+    s = reconcile.listing_totals(spark.createDataFrame(src, schema), ["batch_id"], tag="src")
+    t = reconcile.listing_totals(spark.createDataFrame(tgt, schema), ["batch_id"], tag="tgt")
+    got = {r.batch_id: (r.src_files, r.src_bytes, r.tgt_files, r.tgt_bytes, r.files_match, r.bytes_match)
+           for r in reconcile.compare_totals(s, t, ["batch_id"], "src", "tgt").collect()}
+    ps, pt = totals(src), totals(tgt)
+    want = {}
+    for b in set(ps) | set(pt):
+        sf, sb = ps.get(b, (0, 0))
+        tf, tb = pt.get(b, (0, 0))
+        want[b] = (sf, sb, tf, tb, sf == tf, sb == tb)
+    assert got == want
