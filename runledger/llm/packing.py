@@ -16,24 +16,28 @@ are ignored.  A document of any length is tokenised whole.
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm.common import read, written
+from runledger.llm.common import pieces, read, utf8, written
 
 CAPACITY = 2048
 END_ID = 0
 GROUP = 4096            # pieces packed together
 LOOSE = 0.97            # bins filled less than this go to the second round
 DONORS = 12             # emptiest bins that the search takes pieces from
-CACHED_CHUNKS = 500_000  # ids kept per worker; a longer list is only slower
+CACHED_CHUNKS = 2_000_000  # chunks kept per worker before its cache begins anew
 
-RUN_CHARS = 1 << 22      # characters encoded together
+RUN_BYTES = 1 << 23      # bytes of text encoded together
+
+# Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+           r"|\s+(?!\S)|\s+")
 
 # White space that the fast path leaves to the tokenizer: pairs, and every
 # character other than a space or line feed that counts as white space.
@@ -41,68 +45,109 @@ _ODD = ("  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x3001)
         if chr(c).isspace() and chr(c) not in " \n"))
 
 
+def _byte_letters() -> dict[str, int]:
+    """How a byte-level vocabulary spells each byte: printable Latin-1 as it
+    is, the others by the letters from U+0100 on."""
+    spelled, spare = {}, 256
+    for b in range(256):
+        plain = 33 <= b <= 126 or 161 <= b <= 255 and b != 173
+        spelled[chr(b if plain else spare)] = b
+        spare += not plain
+    return spelled
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as unsigned 32-bit numbers.
 
     The vocabulary's pre-tokenizer always parts a text before a single space or
     line feed that stands between two non-space characters: a space opens the
     next token and a line feed is a token of its own.  So a text is encoded
-    chunk by chunk, equal chunks once, by the tokenizer's own model.  Texts with other white space or with the string of a special token are
-    encoded whole.
+    chunk by chunk and equal chunks once.  Unseen chunks of a run of texts are
+    encoded in one call by the merge loop of ``tiktoken``, given the vocabulary
+    of the tokenizer file (ids are merge ranks there); the byte lengths of the
+    ids say where each chunk ends.  Texts with other white space or with the
+    string of a special token go to the tokenizer itself, whole.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
-        self.pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, bytes] = {}
-        self.stops = {c: self.encode(c).tobytes() for c in ".,"}
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab().items()
+                 if t not in self.special}
+        self.merge = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks,
+                                       special_tokens={}).encode_ordinary
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.bytes_of[i] = len(t)
+        # chunks seen so far, and their ids one after the other
+        self.known = pa.array([], pa.large_string())
+        self.table = np.zeros(0, "<u4")
+        self.begins = self.sizes = np.zeros(0, np.int64)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def chunk(self, c: str) -> bytes:
-        """Ids of a chunk; one that begins with a line feed stands as it is,
-        any other gets a space before it.  Latin words, also before a full
-        stop or comma, are one pre-token and skip the pre-tokenizer."""
-        word, stop = (c[:-1], c[-1]) if c[-1] in self.stops else (c, "")
-        if word.isalpha() and max(word) < "\u0250":
-            spelled = "\u0120" + word if word.isascii() else self.pre(" " + word)[0][0]
-            ids = [t.id for t in self.model.tokenize(spelled)]
-        else:
-            stop = ""
-            ids = [t.id for spelled, _ in self.pre(c if c[0] == "\n" else " " + c)
-                   for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids) + (self.stops[stop] if stop else b"")
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        flat: list[str] = []
-        spans = []
-        for k, t in enumerate(texts):
-            if not t:
-                out[k] = b""
-            elif t[0].isspace() or t[-1].isspace() or any(x in t for x in _ODD) \
-                    or any(x in t for x in self.special):
-                out[k] = self.encode(t).tobytes()
-            else:
-                at = len(flat)
-                flat += ("\n" + t.replace("\n", " \n")).split(" ")
-                spans.append((k, at, len(flat)))
-        got = list(map(self.known.get, flat))
-        unseen = {c for c, v in zip(flat, got) if v is None}
-        if unseen:
-            new = {c: self.chunk(c) for c in unseen}
-            got = [new[c] if v is None else v for c, v in zip(flat, got)]
-            if len(self.known) < CACHED_CHUNKS:
-                self.known.update((c, v) for c, v in new.items() if len(c) <= 64)
-        for k, a, b in spans:
-            out[k] = b"".join(got[a:b])[4:]     # without the leading line feed
-        return out
+    def learn(self, chunks: pa.Array) -> None:
+        """Add chunks; one that begins with a line feed stands as it is, any
+        other gets a space before it."""
+        if len(self.known) > CACHED_CHUNKS:
+            self.known, self.table = self.known[:0], self.table[:0]
+            self.begins = self.sizes = self.sizes[:0]
+        if not len(chunks):
+            return
+        spaced = pc.binary_join_element_wise(
+            pa.scalar(" ", pa.large_string()), chunks, pa.scalar("", pa.large_string()))
+        data, ends = utf8(pc.if_else(pc.starts_with(chunks, "\n"), chunks, spaced))
+        ids = np.array(self.merge(data.tobytes().decode()), "<u4")
+        cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends[1:]) + 1
+        sizes = np.diff(cut, prepend=0)
+        self.begins = np.concatenate((self.begins, len(self.table) + cut - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.table = np.concatenate((self.table, ids))
+        self.known = pa.concat_arrays([self.known, chunks])
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the n + 1 places between the texts."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        plain = np.fromiter(
+            (bool(t) and not (t[0].isspace() or t[-1].isspace() or any(x in t for x in _ODD)
+                              or any(x in t for x in self.special))
+             for t in texts.to_pylist()), bool, len(texts))
+        lines = pc.binary_join_element_wise(
+            pa.scalar("\n", pa.large_string()), pc.replace_substring(texts, "\n", " \n"),
+            pa.scalar("", pa.large_string()))
+        lines = pc.if_else(pa.array(plain), lines, pa.scalar("\n", pa.large_string()))
+        split = pc.split_pattern(lines, " ")
+        bounds = np.asarray(split.offsets).astype(np.int64)
+        encoded = split.flatten().dictionary_encode()
+        place = pc.index_in(encoded.dictionary, value_set=self.known)
+        unseen = encoded.dictionary.filter(pc.is_null(place))
+        if len(unseen):
+            before = len(self.known)
+            self.learn(unseen)
+            if len(self.known) < before + len(unseen):      # the cache began anew
+                self.learn(encoded.dictionary.filter(pc.is_valid(place)))
+            place = pc.index_in(encoded.dictionary, value_set=self.known)
+        index = place.to_numpy(zero_copy_only=False)[
+            encoded.indices.to_numpy(zero_copy_only=False)]
+        size, begin = self.sizes[index], self.begins[index]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = self.table[at + np.repeat(begin - (ends - size), size)]
+        cuts = np.concatenate(([0], ends))[bounds]
+        # drop the line feed that was put before each text; put in the others
+        if plain.all():
+            keep = np.ones(len(ids), bool)
+            keep[cuts[:-1]] = False
+            return ids[keep], cuts - np.arange(len(cuts))
+        parts = [ids[cuts[k] + 1 : cuts[k + 1]] if plain[k] else self.encode(texts[k].as_py())
+                 for k in range(len(texts))]
+        return (np.concatenate(parts),
+                np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64))
 
 
 _loaded: dict[str, Ids] = {}
@@ -122,28 +167,22 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
 
     end = np.array([END_ID], "<u4").tobytes()
 
-    def cut(docs_, encoded, rows):
-        for (doc, _), raw in zip(docs_, encoded):
-            raw += end
-            n = len(raw) // 4
-            first = n if n <= capacity else n % capacity or capacity
-            at = k = 0
-            while at < n:
-                to = at + capacity if k else first
-                rows.append((doc, k, at, to - at, zlib.crc32(raw[4 * at : 4 * to])))
-                at, k = to, k + 1
-
     def run(batches):
-        ids = ids_of(tokenizer_path)
+        encoder = ids_of(tokenizer_path)
         for b in batches:
-            rows, docs_, size = [], [], 0
-            doc_ids, column = b.column(0).to_pylist(), b.column(1)
-            for k in range(len(column)):
-                docs_.append((doc_ids[k], column[k].as_py() or ""))
-                size += len(docs_[-1][1])
-                if size >= RUN_CHARS or k + 1 == len(column):
-                    cut(docs_, ids.texts([t for _, t in docs_]), rows)
-                    docs_, size = [], 0
+            rows, doc_ids = [], b.column(0).to_pylist()
+            for i, j in pieces(utf8(b.column(1))[1], RUN_BYTES):
+                ids, cuts = encoder.texts(b.column(1)[i:j])
+                for k in range(j - i):
+                    raw = ids[cuts[k] : cuts[k + 1]].tobytes() + end
+                    n = len(raw) // 4
+                    first = n if n <= capacity else n % capacity or capacity
+                    at = piece = 0
+                    while at < n:
+                        to = at + capacity if piece else first
+                        rows.append((doc_ids[i + k], piece, at, to - at,
+                                     zlib.crc32(raw[4 * at : 4 * to])))
+                        at, piece = to, piece + 1
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(),
@@ -231,7 +270,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     return [b for b in bins if b]
 
 
-def pack(pieces: DataFrame, group: Column, capacity: int, base: int) -> DataFrame:
+def pack(found: DataFrame, group: Column, capacity: int, base: int) -> DataFrame:
     """Pack every group: sequence_id, offset, fill of the sequence added."""
     schema = PIECE_SCHEMA + ", sequence_id long, offset long, fill long"
 
@@ -247,7 +286,7 @@ def pack(pieces: DataFrame, group: Column, capacity: int, base: int) -> DataFram
             seq[b], off[b], fill[b] = k, np.cumsum(sizes) - sizes, sizes.sum()
         return pdf.assign(sequence_id=seq + base + g * (2 * GROUP), offset=off, fill=fill)
 
-    return pieces.withColumn("g", group).groupBy("g").applyInPandas(run, schema)
+    return found.withColumn("g", group).groupBy("g").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
