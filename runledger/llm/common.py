@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import numpy as np
@@ -12,7 +13,15 @@ from pyspark.sql import functions as F
 from runledger.session import checkpoint_dir, table_path
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table.  Python workers of a local session also get this package's
+    folder on their path; a cluster has it installed or sent with the job."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     return spark.read.parquet(table_path(sf_dir, name))
 
 

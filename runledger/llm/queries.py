@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from runledger.llm import chat, packing
+from runledger.llm import chat, decontaminate, packing
 
 Q = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 SQL = {
     "op5_chat_formatting": chat.ORACLE,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
