@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from runledger.llm import chat, decontaminate, packing
+from runledger.llm import chat, decontaminate, packing, quality_rules
 
 Q = {
+    "op3_quality_classifier": quality_rules.op3_quality_classifier,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
