@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from runledger.llm import chat, decontaminate, packing, quality_rules
+from runledger.llm import chat, decontaminate, packing, pii, quality_rules
 
 Q = {
+    "op1_pii_bootstrapping": pii.op1_pii_bootstrapping,
     "op3_quality_classifier": quality_rules.op3_quality_classifier,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
