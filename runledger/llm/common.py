@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from runledger.session import checkpoint_dir, table_path
 
@@ -55,6 +56,19 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 22):
         i = j
 
 
+def carried(docs: DataFrame, carry: list[str] | None) -> tuple[DataFrame, StructField]:
+    """The columns to carry along (all by default) as one struct ``rec``, so
+    that no column of the table can clash with an operator's own, and the text."""
+    names = docs.columns if carry is None else carry
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("rec"), "text")
+    return out, StructField("rec", out.schema["rec"].dataType)
+
+
+def with_fields(rec: StructField, fields: str) -> StructType:
+    """The schema of ``rec`` and the fields of a DDL string."""
+    return StructType([rec, *StructType.fromDDL(fields).fields])
+
+
 def sha256_of_list(column) -> F.Column:
     """Lower-case hex digest of the comma-joined strings."""
     return F.sha2(F.array_join(column, ","), 256)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import words
-from runledger.llm.common import pieces, read, sha256_of_list, utf8
+from runledger.llm.common import carried, pieces, read, sha256_of_list, utf8, with_fields
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -166,8 +166,8 @@ def _merge(spans):
     return [{"first": a, "end": b} for a, b in out]
 
 
-_STATE = "doc_id long, text string, n_words long, " \
-         "spans array<struct<first:long,end:long>>, items array<string>"
+_STATE = "text string, n_words long, spans array<struct<first:long,end:long>>, " \
+         "items array<string>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
@@ -196,9 +196,9 @@ def _mark(docs: DataFrame, block: Windows) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_words), pa.array(spans, _SPANS),
                  pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "spans", "items"])
+                ["rec", "text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, _STATE)
+    return docs.mapInArrow(run, with_fields(docs.schema["rec"], _STATE))
 
 
 def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> list[Windows]:
@@ -215,16 +215,17 @@ def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> list[Windows]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
-         block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every document with n_words, the word ranges that windows cover (merged)
-    and the item_ids found (as sorted strings)."""
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
+         block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Every document (``rec``) with n_words, the word ranges that windows cover
+    (merged) and the item_ids found (as sorted strings)."""
+    out, _ = carried(docs, carry)
+    out = out.select("rec", "text", F.lit(0).cast("long").alias("n_words"),
                       F.array().cast("array<struct<first:long,end:long>>").alias("spans"),
                       F.array().cast("array<string>").alias("items"))
     for block in blocks(benchmark, size, block_bytes):
         block.file(_frequencies(docs, block))
         out = _mark(out, block)
-    return out
+    return out.drop("text")
 
 
 def n_hit(spans: str = "spans") -> F.Column:
@@ -232,9 +233,10 @@ def n_hit(spans: str = "spans") -> F.Column:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"),
+                 carry=["doc_id"])
     return found.select(
-        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "rec.doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         sha256_of_list("items").alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 

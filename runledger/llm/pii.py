@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm.common import read, utf8, written
+from runledger.llm.common import carried, read, utf8, with_fields, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -177,8 +177,8 @@ def _inspect(text: str):
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], found
 
 
-def inspect(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans, and seeds and candidates with their contexts."""
+def inspect(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``rec``, a row number, base spans, and seeds and candidates with their contexts."""
     marks = np.zeros(256, bool)
     marks[48:58] = marks[64] = True
 
@@ -194,14 +194,15 @@ def inspect(docs: DataFrame) -> DataFrame:
                 base.append(x)
                 found.append(y)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + b.num_rows)), b.column(0),
+                [b.column(0), pa.array(np.arange(row, row + b.num_rows)),
                  pa.array(base, pa.list_(_SPAN_T)), pa.array(found, pa.list_(_FOUND_T))],
-                ["row", "doc_id", "base", "found"])
+                ["rec", "row", "base", "found"])
             row += b.num_rows
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"row long, doc_id long, base array<struct<{_colons(_SPAN)}>>, "
-             f"found array<struct<{_colons(_FOUND)}>>")
+    out, rec = carried(docs, carry)
+    return out.mapInArrow(run, with_fields(
+        rec, f"row long, base array<struct<{_colons(_SPAN)}>>, "
+             f"found array<struct<{_colons(_FOUND)}>>"))
 
 
 def _colons(fields: str) -> str:
@@ -255,11 +256,11 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return known
 
 
-def find_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, base and spans: arrays of struct<kind, start, end>, by kind and start.
+def find_spans(docs: DataFrame, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
+    """``rec``, base and spans: arrays of struct<kind, start, end>, by kind and start.
 
     ``spans`` holds the base spans and the discovered ones."""
-    found = written(inspect(docs), "inspected")
+    found = written(inspect(docs, carry), "inspected")
     seen = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
     # a string that is a base entity elsewhere is known there; it is no new instance
     seeds = seen.where(F.col("kind") >= 0).groupBy("value").agg(F.min("kind").alias("kind"))
@@ -277,10 +278,39 @@ def find_spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             <= x["start"],
             F.concat(out, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"),
                                            (-x["stop"]).alias("end"))))).otherwise(out))
-    return (found.select("row", "doc_id", "base").join(extra, "row", "left")
-            .select("doc_id", F.array_sort("base").alias("base"),
-                    F.array_sort(F.concat("base", F.when(F.col("extra").isNotNull(), kept).otherwise(
-                        F.array().cast(f"array<struct<{_colons(_SPAN)}>>")))).alias("spans")))
+    none = F.array().cast(f"array<struct<{_colons(_SPAN)}>>")
+    # only rows with candidates meet the discoveries; the others are not shuffled
+    some = F.exists("found", lambda x: x["kind"] < 0)
+    base = F.array_sort("base").alias("base")
+    return (found.where(~some).select("rec", base, F.array_sort("base").alias("spans"))
+            .unionByName(found.where(some).join(extra, "row", "left").select(
+                "rec", base, F.array_sort(F.concat("base", F.when(
+                    F.col("extra").isNotNull(), kept).otherwise(none))).alias("spans"))))
+
+
+def redact(found: DataFrame) -> DataFrame:
+    """``rec`` with every span of its text replaced by ``<KIND>``; overlapping
+    spans are replaced together, under the kind of the first."""
+
+    def run(batches):
+        for b in batches:
+            rec = b.column(0)
+            text = rec.field("text").to_pylist()
+            for k, spans in enumerate(b.column(1).to_pylist()):
+                if not spans:
+                    continue
+                out, at, t = [], 0, text[k]
+                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+                    if s["start"] >= at:
+                        out += [t[at : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
+                    at = max(at, s["end"])
+                text[k] = "".join(out) + t[at:]
+            names = [f.name for f in rec.type]
+            columns = [pa.array(text, pa.string()) if n == "text" else rec.field(i)
+                       for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return found.select("rec", "spans").mapInArrow(run, found.schema["rec"].dataType)
 
 
 def spelled(spans: str) -> F.Column:
@@ -291,8 +321,8 @@ def spelled(spans: str) -> F.Column:
 
 
 def op1_pii_bootstrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_spans(read(spark, sf_dir, "documents"))
+    out = find_spans(read(spark, sf_dir, "documents"), carry=["doc_id"])
     n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}")
          for k, name in enumerate(KINDS)]
-    return out.select("doc_id", *n, F.sha2(spelled("base"), 256).alias("base_sha256"),
+    return out.select("rec.doc_id", *n, F.sha2(spelled("base"), 256).alias("base_sha256"),
                       spelled("spans").alias("spans"))

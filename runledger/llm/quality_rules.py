@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import words
-from runledger.llm.common import pieces, read, utf8, written
+from runledger.llm.common import carried, pieces, read, utf8, with_fields, written
 
 THRESHOLD = 0.3
 MAX_LABELLED = 20_000
@@ -89,8 +89,8 @@ def _describe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         share(_sums(size <= 3, row), count), share(n["space"], n["char"])])
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of the whole text, one row per row."""
+def statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``rec`` and the statistics of the whole text, one row per row."""
 
     def run(batches):
         for b in batches:
@@ -100,10 +100,10 @@ def statistics(docs: DataFrame) -> DataFrame:
                 out[i:j] = _describe(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in out.T)],
-                ["doc_id", *STATISTICS])
+                ["rec", *STATISTICS])
 
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    out, rec = carried(docs, carry)
+    return out.mapInArrow(run, with_fields(rec, ", ".join(f"{s} double" for s in STATISTICS)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -188,13 +188,16 @@ def learn(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) ->
         (r, w) for r, w in zip(rules, weights) if w != 0.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted; one row per document row."""
-    stats = written(statistics(docs), "statistics")
-    model = learn(stats, labels)
-    return stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score")
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+             carry: list[str] | None = None) -> DataFrame:
+    """``rec``, held_out, score, predicted; one row per document row."""
+    stats = written(statistics(docs, carry), "statistics")
+    model = learn(stats.select("rec.doc_id", *STATISTICS), labels)
+    return stats.select("rec", held_out("rec.doc_id").alias("held_out"), model.score().alias("score")
                         ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"),
+                   carry=["doc_id"])
+    return out.select("rec.doc_id", "held_out", "score", "predicted")
