@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from runledger.llm import chat, decontaminate, licenses, packing, pii, quality_rules
+from runledger.llm import (
+    chat,
+    decontaminate,
+    licenses,
+    order_minhash,
+    packing,
+    pii,
+    quality_rules,
+)
 
 Q = {
     "op1_pii_bootstrapping": pii.op1_pii_bootstrapping,
@@ -10,6 +18,7 @@ Q = {
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {
