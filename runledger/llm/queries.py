@@ -5,6 +5,7 @@ from __future__ import annotations
 from runledger.llm import (
     chat,
     decontaminate,
+    html_text,
     licenses,
     order_minhash,
     packing,
@@ -14,6 +15,7 @@ from runledger.llm import (
 
 Q = {
     "op1_pii_bootstrapping": pii.op1_pii_bootstrapping,
+    "op2_html_extraction": html_text.op2_html_extraction,
     "op3_quality_classifier": quality_rules.op3_quality_classifier,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
