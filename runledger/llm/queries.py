@@ -6,6 +6,7 @@ from runledger.llm import (
     chat,
     decontaminate,
     html_text,
+    lattice,
     licenses,
     order_minhash,
     packing,
@@ -17,6 +18,7 @@ Q = {
     "op1_pii_bootstrapping": pii.op1_pii_bootstrapping,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_quality_classifier": quality_rules.op3_quality_classifier,
+    "op4_lattice_near_dedup": lattice.op4_lattice_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
