@@ -12,6 +12,7 @@ from runledger.llm import (
     packing,
     pii,
     quality_rules,
+    suffix_dedup,
 )
 
 Q = {
@@ -21,6 +22,7 @@ Q = {
     "op4_lattice_near_dedup": lattice.op4_lattice_near_dedup,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_license_scan": licenses.op10_license_scan,
