@@ -1,0 +1,405 @@
+"""Document operators against brute force on small tables with odd rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from runledger.llm import (decontaminate, licenses, order_minhash, packing, pii, quality_rules,
+                           suffix_dedup, words)
+from tests.llm.conftest import prose
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def word_list(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+# --- words ---------------------------------------------------------------
+
+def test_words_match_the_pattern(odd_rows):
+    import numpy as np
+
+    texts = [(t or "") for _, t in odd_rows] + ["A1 b\x7fC", "Éa", "x\x00y"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    low, s, e, row = words.split(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    got = [low[a:b].tobytes().decode() for a, b in zip(s, e)]
+    assert [got[row[i]:row[i + 1]] for i in range(len(texts))] == [word_list(t) for t in texts]
+    h = words.hashes(low, s, e)
+    assert len(set(h.tolist())) == len(set(got))
+
+
+# --- personal data -------------------------------------------------------
+
+RULES = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", pii.is_ip),
+         ("card", r"[0-9]([\x20-]?[0-9])+", pii.is_card),
+         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", pii.is_phone))
+
+
+def brute_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in RULES
+            for m in re.finditer(p, text or "") if ok(m.group())]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_spans_are_the_patterns(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "@", ".", "1", "7", " ", "-", "+", "(", ")", "é", "12.3.4.5",
+                                "x@y.z", "4111111111111111", "+1 555 1234567"]) for _ in range(25))
+        got = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(t)]
+        assert got == brute_spans(t), t
+
+
+def luhn(prefix):
+    return next(prefix + str(c) for c in range(10) if pii.is_card(prefix + str(c)))
+
+
+def test_bootstrapping_finds_joined_numbers(spark, docs_of):
+    rng = random.Random(3)
+    number = lambda: luhn("".join(rng.choice("0123456789") for _ in range(15)))
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    rows = [(i, f"{prose(i, 8)} {number()} {prose(i + 99, 5)} {phone()} {prose(i, 4)}")
+            for i in range(40)]
+    p, c = phone(), number()
+    joined = f"stone market {p} {c} window"
+    rows += [(100, joined), (101, "order 1234567890123456 shipped"), (102, None), (103, "")]
+    out = {r.doc_id: r for r in pii.find_spans(docs_of(rows), carry=["doc_id"]).select(
+        "rec.doc_id", pii.spelled("base").alias("base"), pii.spelled("spans").alias("spans")).collect()}
+    for d, t in rows:
+        assert out[d].base == ",".join(brute_spans(t))
+        assert set(filter(None, out[d].base.split(","))) <= set(filter(None, out[d].spans.split(",")))
+    a, b = joined.index(p), joined.index(c)
+    assert out[100].base == ""
+    assert out[100].spans == f"card:{b}:{b + 16},phone:{a}:{a + len(p)}"
+    assert out[101].spans == ""
+
+
+def test_redaction_and_odd_rows(docs_of, odd_rows):
+    df = docs_of(odd_rows)
+    out = pii.redact(pii.find_spans(df))
+    assert out.columns == df.columns
+    got = sorted((r.doc_id is None, r.doc_id, r.text is None) for r in out.collect() if r.doc_id)
+    assert got == sorted((False, d, t is None) for d, t in odd_rows if d)
+    assert out.where("doc_id = 12").first().text.startswith("<EMAIL>")
+    assert pii.find_spans(df.limit(0)).count() == 0
+
+
+# --- quality -------------------------------------------------------------
+
+def junk(seed, n):
+    return " ".join(w + "%%%" for w in prose(seed, n).split())
+
+
+def test_quality_held_out_accuracy(spark, docs_of, odd_rows):
+    rows = [(i, prose(i, 40 + i % 60) if i % 4 else junk(i, 40 + i % 60)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400)] + [(None, 1), (5, None)],
+                                   "doc_id long, quality int")
+    out = quality_rules.classify(docs_of(rows + [(1000 + i, t) for i, (_, t) in enumerate(odd_rows)]),
+                                 labels, carry=["doc_id"]).select("rec.doc_id", "held_out", "score",
+                                                                  "predicted").collect()
+    assert len(out) == 400 + len(odd_rows)
+    held = [r for r in out if r.held_out and r.doc_id < 400]
+    assert len(held) > 40
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert sum(r.predicted == int(r.doc_id % 4 > 0) for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+
+
+def test_quality_without_labels(spark, docs_of, odd_rows):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality_rules.classify(docs_of(odd_rows), none).collect()
+    assert {r.score for r in out} == {0.5} and len(out) == len(odd_rows)
+    assert quality_rules.classify(docs_of([]), none).count() == 0
+
+
+# --- packing -------------------------------------------------------------
+
+def test_ids_are_the_tokenizers(odd_rows):
+    import pyarrow as pa
+    import public_tokenizers
+
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for _, t in odd_rows] + [
+        "a  b", " lead", "trail ", "a \n b", "it's  ok. don't,", "<|endoftext|> x", "tab\tx y", "a\n\nb",
+        "line.\nNext 12 3a", "  x y", "ça va, naïve. Ωmega", "word, word. word!"]
+    flat, cuts = ids.texts(pa.array(texts))
+    for k, t in enumerate(texts):
+        want = ids.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert flat[cuts[k]:cuts[k + 1]].tolist() == want, t
+
+
+def check_packing(rows, out, capacity):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        cuts = sorted({*cuts, len(ids)})
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want.append((d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out), key=key) == sorted(want, key=key)
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(bins), -(-sum(r.length for r in out) // capacity)
+
+
+def test_packing_is_whole_and_tight(docs_of, odd_rows):
+    import public_tokenizers
+
+    rows = odd_rows + [(100 + i, prose(i, 5 + 7 * (i % 90))) for i in range(500)]
+    out = packing.pack_documents(docs_of(rows), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    used, least = check_packing(rows, out, 2048)
+    assert used <= least + 1
+    assert packing.pack_documents(docs_of([]), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_local_search_never_adds_bins(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 100, 80)
+    bins = packing.best_fit(lengths, 100)
+    after = packing.local_search([list(b) for b in bins], lengths, 100)
+    assert sorted(itertools.chain(*after)) == list(range(80))
+    assert all(lengths[b].sum() <= 100 for b in after) and len(after) <= len(bins)
+
+
+def test_local_search_empties_a_bin():
+    import numpy as np
+
+    lengths = np.array([6, 3, 4, 3, 4])          # an exchange (3 for 4), then a move (3)
+    bins = packing.local_search([[0, 1], [2, 3], [4]], lengths, 10)
+    assert sorted(sorted(lengths[b].tolist()) for b in bins) == [[3, 3, 4], [4, 6]]
+
+
+# --- suffixes ------------------------------------------------------------
+
+def brute_removal(rows, length=50):
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - length + 1):
+            w = b[i:i + length]
+            k = float("inf") if d is None else d
+            first[w] = min(first.get(w, k), k)
+    out = []
+    for d, t in rows:
+        b, k = (t or "").encode(), float("inf") if d is None else d
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if first[b[i:i + length]] < k:
+                gone[i:i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=lambda r: (r[0] is None, r))
+
+
+def test_suffix_removal(docs_of, odd_rows):
+    passage, other = prose(50, 30), "ab" * 60
+    rows = odd_rows + [(200 + i, prose(i, 20) + passage[i:i + 49 + i % 5] + prose(i + 1, 3) + other[: i * 9])
+                       for i in range(12)]
+    rows += [(300, passage), (301, passage + passage), (302, "é" * 80), (303, "xé" + "é" * 60)]
+    out = suffix_dedup.deduplicate(docs_of(rows)).collect()
+    got = sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed),
+                   hashlib.sha256(r.kept).hexdigest()) for r in out), key=lambda r: (r[0] is None, r))
+    assert got == brute_removal(rows)
+    assert suffix_dedup.deduplicate(docs_of([])).count() == 0
+
+
+def test_classes_survive_equal_digests(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "mix", lambda h: h * np.uint64(0))
+    a, b = np.array([3, 1, 3, 2], np.uint64), np.array([1, 1, 1, 1], np.uint64)
+    order, new = suffix_dedup.classes([a, b])
+    assert a[order].tolist() == [1, 2, 3, 3] and new.tolist() == [0, 1, 2]
+
+
+# --- benchmark -----------------------------------------------------------
+
+def brute_hits(rows, items, size=10):
+    wins = defaultdict(set)
+    for i, t in items:
+        w = word_list(t)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            wins[tuple(w[k:k + size])].add(i)
+    out = []
+    for d, t in rows:
+        w = word_list(t)
+        hit, found = set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                own = wins.get(tuple(w[k:k + n]))
+                if own:
+                    hit.update(range(k, k + n))
+                    found |= own
+        names = sorted(str(x) for x in found if x is not None)
+        out.append((d, len(w), len(hit), len(names), ",".join(names)))
+    return sorted(out, key=lambda r: (r[0] is None, str(r)))
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_decontamination(spark, docs_of, odd_rows, block_bytes):
+    items = [(1, prose(60, 30)), (2, "silver Bridge forest"), (2, "lantern harbour"), (3, ""), (4, None),
+             (None, prose(61, 14)), (11, prose(62, 10)), (12, prose(62, 10))]
+    rows = odd_rows + [(400, prose(60, 30)), (401, "a " + " ".join(prose(60, 30).split()[5:15]).upper() + " b"),
+                       (402, " ".join(prose(60, 30).split()[5:14])), (403, "x silver, bridge! forest lantern harbour"),
+                       (404, prose(61, 14) + " " + prose(62, 10))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.hits(docs_of(rows), bench, block_bytes=block_bytes, carry=["doc_id"]).select(
+        "rec.doc_id", "n_words", decontaminate.n_hit().alias("n"), "items").collect()
+    got = sorted(((r.doc_id, r.n_words, r.n, len(r["items"]), ",".join(r["items"])) for r in out),
+                 key=lambda r: (r[0] is None, str(r)))
+    assert got == brute_hits(rows, items)
+    assert decontaminate.hits(docs_of([]), bench).count() == 0
+    assert {r.n_words > 0 and r.spans != [] for r in decontaminate.hits(docs_of(rows), bench.limit(0)).collect()} == {False}
+
+
+# --- near-duplicates -----------------------------------------------------
+
+def labelled_shingles(text):
+    w = word_list(text)
+    seen, out = defaultdict(int), []
+    for s in ([tuple(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []):
+        out.append((s, seen[s]))
+        seen[s] += 1
+    return out
+
+
+def brute_similarity(a, b):
+    x, y = labelled_shingles(a), labelled_shingles(b)
+    place = {s: i for i, s in enumerate(y)}
+    js = [place[s] for s in x if s in place]
+    best = []                                     # longest increasing chain, quadratic
+    for k, j in enumerate(js):
+        best.append(1 + max((best[m] for m in range(k) if js[m] < j), default=0))
+    m = max(best, default=0)
+    return m / (len(x) + len(y) - m) if x or y else float((a or "") == (b or ""))
+
+
+def brute_groups(rows, bar=0.8):
+    n = len(rows)
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(n), 2):
+        a, b = rows[i][1], rows[j][1]
+        if min(len(word_list(a)), len(word_list(b))) < 0.7 * max(len(word_list(a)), len(word_list(b))):
+            continue
+        if word_list(a) == word_list(b) != [] or brute_similarity(a, b) >= bar:
+            parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(n):
+        groups[find(i)].append(i)
+    return groups
+
+
+def test_near_duplicates(docs_of, odd_rows):
+    rows = list(odd_rows)
+    rng = random.Random(8)
+    for k in range(30):
+        base = prose(500 + k, 80).split()
+        rows.append((1000 + 10 * k, " ".join(base)))
+        for c in range(3):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(w))
+                w[i:i + 1] = rng.choice([[], ["changed"], [w[i], "added"]])
+            rows.append((1001 + 10 * k + c, " ".join(w) + "!" * c))
+    rows += [(5000, " ".join(["again"] * 60)), (5001, " ".join(["again"] * 58)), (5002, prose(7, 60).upper())]
+    out = order_minhash.near_duplicates(docs_of(rows)).collect()
+    assert len(out) == len(rows)
+    want = {}
+    for g in brute_groups(rows).values():
+        ids = [rows[i][0] for i in g if rows[i][0] is not None]
+        for i in g:
+            want.setdefault(rows[i], min(ids) if ids else None)
+    got = {(r.rec.doc_id, r.rec.text): r.group_id for r in out}
+    assert got == want
+    kept = [r.group_id for r in out if r.kept]
+    assert len(kept) == len(brute_groups(rows))
+    assert order_minhash.near_duplicates(docs_of([])).count() == 0
+
+
+def test_alignment_is_the_brute_one():
+    rng = random.Random(1)
+    for k in range(60):
+        a = prose(k, rng.randint(1, 60)).split()
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b))
+            b[i:i + 1] = rng.choice([["new"], [], [b[i], "w"], b[i:i + 4]])
+        if rng.random() < 0.2 and len(b) > 20:
+            b = b[15:] + b[:15]
+        x, y = " ".join(a), " ".join(b)
+        want = brute_similarity(x, y)
+        got = order_minhash.aligned(order_minhash._kmers(x), order_minhash._kmers(y))
+        assert (got >= 0.8) == (want >= 0.8) and (got < 0.8 or abs(got - want) < 1e-12)
+
+
+def test_components_of_a_chain(spark):
+    from runledger.llm.graph import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (60, 40)], "u long, v long")
+    assert {(r.u, r.v) for r in components(links).collect()} == {
+        *((i, 0) for i in range(1, 21)), (50, 40), (60, 40)}
+    assert components(links.limit(0)).count() == 0
+
+
+# --- licences ------------------------------------------------------------
+
+def test_license_scan(docs_of, odd_rows):
+    rows = odd_rows + [
+        (600, "Licensed under CC BY-NC 4.0."), (601, "cc by cc by, CC-by"), (602, "GNU General Public License, version 3"),
+        (603, "All rights reserved. ALL RIGHTS RESERVED"), (604, "rights reserved all"), (605, "cc"),
+        (606, "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+        (607, "the general public license"), (608, "Allrights reserved")]
+    phrases = [(("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")]
+    out = licenses.scan(docs_of(rows)).collect()
+    got, want = [], []
+    for r in out:
+        at = [(m.start, m.label) for m in r.matches if m.base]
+        got.append((r.doc_id, r.n_words, sorted(at)))
+        assert all(0 < m.score <= 1 for m in r.matches)
+    for d, t in rows:
+        w = word_list(t)
+        want.append((d, len(w), sorted((i, label) for p, label in phrases
+                                       for i in range(len(w) - len(p) + 1) if tuple(w[i:i + len(p)]) == p)))
+    key = lambda r: (r[0] is None, str(r))
+    assert sorted(got, key=key) == sorted(want, key=key)
+    labels = {r.doc_id: {m.label for m in r.matches} for r in out}
+    assert labels[600] == {"cc-by", "cc-by-nc"} and labels[606] == {"mit"}
+    assert licenses.scan(docs_of([])).count() == 0
+
+
+def test_native_plans_have_no_python(spark, docs_of):
+    plan = licenses.scan(docs_of([(1, "cc by")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
