@@ -56,9 +56,14 @@ class DropIn:
         cfgs = {p: self.spark.table(self._table(t)) for p, t in self.route_tables.items()}
         return config.attach_routes(runs, cfgs)
 
+    def _tenant_of(self, rows: DataFrame) -> Column:
+        own = F.upper(F.lit(self.tenant or ""))
+        return F.coalesce(F.col("monoline"), own) if "monoline" in rows.columns else own
+
     def _after_insert(self, rows: DataFrame) -> None:
         if self._hooks_on() and {"job_nm", "dl_data_dt"} <= set(rows.columns):
-            keys = markers.invalidation_keys(self._routed(rows.select("job_nm", "dl_data_dt")))
+            keep = [c for c in ("job_nm", "dl_data_dt", "monoline") if c in rows.columns]
+            keys = markers.invalidation_keys(self._routed(rows.select(*keep)), self._tenant_of(rows))
             markers.remove_stale_markers(self.spark, self._table(self.marker_table), keys)
 
     def _table(self, tbl_nm: str) -> str:
@@ -141,10 +146,6 @@ class DropIn:
         # A value containing CASE WHEN is a raw expression, anything else a literal.
         return {k: F.expr(str(v)) if v and "CASE WHEN" in str(v) else v for k, v in dict_upd.items()}
 
-    def _partitions(self, tbl_nm: str) -> list[str]:
-        parts = [c.name for c in self.spark.catalog.listColumns(self._table(tbl_nm)) if c.isPartition]
-        return parts or list(ledger.LEDGER_PARTITIONS)
-
     def update_log(self, tbl_nm: str, where_cond: str, dict_upd: Mapping[str, object],
                    vld_dup_flag: str = "N") -> None:
         """D6 (+ A4 guard with ``vld_dup_flag='Y'``), own tenant only."""
@@ -162,10 +163,9 @@ class DropIn:
             # Captured before the update rewrites the rows the predicate names.
             touched = cut_lineage(table.where(F.coalesce(pred, F.lit(False)))
                                   .select("job_nm", "dl_data_dt", *(["monoline"] if "monoline" in table.columns else [])))
-        ledger.write_update(self.spark, self._table(tbl_nm), pred, self._assignments(dict_upd),
-                            partitions=self._partitions(tbl_nm))
+        ledger.write_update(self.spark, self._table(tbl_nm), pred, self._assignments(dict_upd))
         if touched is not None:
-            tenant = F.col("monoline") if "monoline" in touched.columns else F.lit(self.tenant or "")
+            tenant = self._tenant_of(touched)
             ts = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
             new = markers.markers_after_update(self._routed(touched), F.lit(True), dict(dict_upd),
                                                self.marker_root, ts, tenant)
@@ -178,19 +178,22 @@ class DropIn:
 
     def cleanup_log(self, tbl_nm: str, dict_value: Mapping[str, str]) -> None:
         """Delete every row of the job."""
-        ledger.write_delete(self.spark, self._table(tbl_nm), F.col("job_nm") == dict_value["job_nm"],
-                            partitions=self._partitions(tbl_nm))
+        ledger.write_delete(self.spark, self._table(tbl_nm), F.col("job_nm") == dict_value["job_nm"])
 
     def cleanup_dsr_log(self, tbl_nm: str, where_cond: str) -> None:
         """Delete by predicate (a NULL predicate keeps the row)."""
-        ledger.write_delete(self.spark, self._table(tbl_nm), predicate(where_cond),
-                            partitions=self._partitions(tbl_nm))
+        ledger.write_delete(self.spark, self._table(tbl_nm), predicate(where_cond))
 
     # ------------------------------------------------------------ S6, J3
     def read_ctl_file(self, ctl_file_path: str, dict_spec: Mapping[str, str]) -> int:
-        """The count of a control file; raises when not an integer."""
+        """The count of the control file; raises when it is not an integer or
+        when the path names several files."""
         spec = ControlSpec.from_dict(dict(dict_spec))
-        rows = read_control_files(self.spark, ctl_file_path, spec).limit(2).collect()
+        found = read_control_files(self.spark, ctl_file_path, spec)
+        n = found.count()
+        if n > 1:
+            raise ValueError(f"{n} control files match {ctl_file_path}; name one")
+        rows = found.collect()
         if not rows or rows[0].ctl_count is None:
             field = rows[0].ctl_field if rows else None
             raise ValueError(f"Position {spec.position} in control file is not an integer: {field}")
@@ -201,11 +204,12 @@ class DropIn:
         sides (compared by base name)."""
         src = file_manifest(self.spark, list(orig_file_list)).select("file_nm", "file_size")
         tgt = file_manifest(self.spark, list(land_file_list)).select("file_nm", "file_size")
-        if len(orig_file_list) != len(land_file_list):
+        n_src, n_tgt = src.count(), tgt.count()
+        if not n_src == n_tgt == len(orig_file_list) == len(land_file_list):
             raise RuntimeError("[Exception] Number of transfer file from inb not equal to raw",
-                               len(orig_file_list), len(land_file_list))
+                               {"named": (len(orig_file_list), len(land_file_list)), "found": (n_src, n_tgt)})
         bad = (reconcile.compare_listings(src, tgt, ["file_nm"])
-               .where(F.col("status") != reconcile.MATCH).limit(20).collect())
+               .where(F.col("status") != reconcile.MATCH).collect())
         if bad:
             raise RuntimeError("[Exception] Size transfer file from inb not equal to raw",
                                [r.asDict() for r in bad])

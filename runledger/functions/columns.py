@@ -80,8 +80,20 @@ def json_path(c: ColumnOrName, path: str) -> Column:
     return F.get_json_object(_c(c), path)
 
 
+def is_json_object(c: ColumnOrName) -> Column:
+    """Is the text one whole JSON object?  Path readers stop at the first value
+    and ignore what follows; as an element of an array the text is read to its
+    end, so truncated text and text after the object both show."""
+    t = F.trim(_c(c))
+    read = F.json_array_length(F.concat(F.lit("["), t, F.lit(",0]")))
+    return F.coalesce(t.startswith("{") & t.endswith("}") & (read == 2), F.lit(False))
+
+
 def container_name(expt_file_ppty: ColumnOrName) -> Column:
-    return json_path(expt_file_ppty, "$.trgt_container_nm")
+    """The container of a valid properties object (of a repeated key the last
+    value counts); anything else -> NULL."""
+    parsed = F.from_json(_c(expt_file_ppty), "trgt_container_nm string")
+    return F.when(is_json_object(expt_file_ppty), parsed["trgt_container_nm"])
 
 
 def html_view_content(doc: ColumnOrName) -> Column:

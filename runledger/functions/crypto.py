@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,11 +36,16 @@ def _with_keys(df: DataFrame, keys: Mapping[str, bytes]) -> DataFrame:
     )
 
 
+def _one_line(ciphertext: Column) -> Column:
+    """Base64 without the line breaks Spark puts into long output."""
+    return F.translate(F.base64(ciphertext), "\r\n", "")
+
+
 def encrypt_columns(df: DataFrame, columns: Sequence[str], key: bytes) -> DataFrame:
     """Text columns -> base64 of AES-GCM ciphertext (random IV per value)."""
     k = _with_keys(df, {"_k": key})
     return k.select(*[
-        F.base64(F.aes_encrypt(F.col(c).cast("binary"), F.col("_k"), F.lit("GCM"))).alias(c)
+        _one_line(F.aes_encrypt(F.col(c).cast("binary"), F.col("_k"), F.lit("GCM"))).alias(c)
         if c in columns else F.col(c)
         for c in df.columns
     ])
@@ -58,11 +63,12 @@ def decrypt_columns(df: DataFrame, columns: Sequence[str], key: bytes) -> DataFr
 
 def rewrap_columns(df: DataFrame, columns: Sequence[str], old_key: bytes, new_key: bytes) -> DataFrame:
     """Re-encrypt values under a new key in one pass (decrypt with the
-    old key, encrypt with the new), without the plain text leaving the task."""
+    old key, encrypt with the new), without the plain text leaving the task.  A value
+    that the old key does not open becomes NULL, as in ``decrypt_columns``."""
     k = _with_keys(df, {"_old": old_key, "_new": new_key})
     return k.select(*[
-        F.base64(F.aes_encrypt(
-            F.aes_decrypt(F.unbase64(F.col(c)), F.col("_old"), F.lit("GCM")),
+        _one_line(F.aes_encrypt(
+            F.try_aes_decrypt(F.unbase64(F.col(c)), F.col("_old"), F.lit("GCM")),
             F.col("_new"), F.lit("GCM"))).alias(c)
         if c in columns else F.col(c)
         for c in df.columns

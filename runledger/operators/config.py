@@ -86,7 +86,8 @@ def active_config_status(config: DataFrame, keys: Sequence[str] = ("job_nm",),
     if requested is not None:
         counts = (
             requested.select(*keys).distinct()
-            .join(bounded_broadcast(counts, CONFIG_MAX_BROADCAST_ROWS, bound_by=[config]), keys, "left")
+            .join(bounded_broadcast(counts, CONFIG_MAX_BROADCAST_ROWS, bound_by=[config],
+                                    bound_columns=keys), keys, "left")
             .select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c)
                              for c in ("n_active", "n_inactive", "n_rows")])
         )
@@ -99,7 +100,7 @@ def area_config_status(config: DataFrame, requested: DataFrame,
     """A1, area mode: only 'not found' when a requested key has no row."""
     keys = list(keys)
     counts = config.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = bounded_broadcast(counts, CONFIG_MAX_BROADCAST_ROWS, bound_by=[config])
+    counts = bounded_broadcast(counts, CONFIG_MAX_BROADCAST_ROWS, bound_by=[config], bound_columns=keys)
     out = requested.select(*keys).distinct().join(counts, keys, "left")
     n = F.coalesce(F.col("n_rows"), F.lit(0))
     return out.select(
@@ -113,7 +114,7 @@ def area_config_status(config: DataFrame, requested: DataFrame,
 def jobs_registered(jobs: DataFrame, registry: DataFrame, key: str = "job_nm") -> DataFrame:
     """Does each job name exist in the registry (flag form of a semi join)."""
     names = registry.select(key).distinct().withColumn("_hit", F.lit(True))
-    names = bounded_broadcast(names, CONFIG_MAX_BROADCAST_ROWS, bound_by=[registry])
+    names = bounded_broadcast(names, CONFIG_MAX_BROADCAST_ROWS, bound_by=[registry], bound_columns=[key])
     return (
         jobs.select(key).distinct()
         .join(names, key, "left")
@@ -122,19 +123,25 @@ def jobs_registered(jobs: DataFrame, registry: DataFrame, key: str = "job_nm") -
 
 
 def _route_config(configs: Mapping[str, DataFrame], key: str, flag: str) -> DataFrame:
-    """One row per (job, prefix): the prefix-tagged rows of every
-    configuration table in one union, then one aggregate (one shuffle)."""
+    """One row per (job, prefix): the prefix-tagged rows of every distinct
+    configuration table (each scanned once, its prefixes taken from the key) in
+    one union, then one aggregate (one shuffle)."""
     fields = {
         "pi": ["trgt_tbl_nm"],
         "pt": ["trgt_tbl_nm"],
         "po": ["expt_data_type", "expt_file_ppty", "expt_file_nm_fmt"],
     }
     all_fields = ROUTE_FIELDS
-    tagged = None
+    tables: dict[int, tuple[DataFrame, list[str]]] = {}
     for prefix, cfg in configs.items():
-        part = cfg.where(F.col(key).startswith(prefix)).select(
-            key, F.lit(prefix).alias("_kind"), flag,
-            *[F.col(f) if f in fields[prefix] else F.lit(None).cast("string").alias(f)
+        tables.setdefault(id(cfg), (cfg, []))[1].append(prefix)
+    tagged = None
+    for cfg, prefixes in tables.values():
+        kind = F.substring(F.col(key), 1, 2)
+        part = cfg.where(kind.isin(*prefixes)).select(
+            key, kind.alias("_kind"), flag,
+            *[F.when(kind.isin(*(p for p in prefixes if f in fields[p])), F.col(f)).alias(f)
+              if any(f in fields[p] for p in prefixes) else F.lit(None).cast("string").alias(f)
               for f in all_fields])
         tagged = part if tagged is None else tagged.unionByName(part)
     return config_counts(tagged, [key, "_kind"], flag, all_fields).drop("n_rows")

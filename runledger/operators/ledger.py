@@ -10,13 +10,16 @@ with dynamic partition overwrite (see ``rewrite_partitions``).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.plans.strategy import bounded_broadcast
-from runledger.session import configure, cut_lineage
+from runledger.session import cut_lineage
 
 # Job statuses the checks look for, and the ledger layout.
 STS_RUNNING = "RUNNING"
@@ -25,7 +28,7 @@ STS_SUCCESS = "SUCCESS"
 LEDGER_PARTITIONS = ("monoline", "dl_data_dt", "job_nm")
 DSR_PARTITIONS = ("dl_data_dt", "job_nm")
 ARCHIVE_DEFAULTS = {"expt_sts": "NOT STARTED"}
-DROP_BATCH = 500
+PARTITION_BATCH = 500
 
 
 # ------------------------------------------------------------------ A2-A4
@@ -136,7 +139,7 @@ def delete_keys(df: DataFrame, keys: DataFrame, on: Sequence[str] = ("job_nm",),
                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Drop every row of the given jobs (anti join against the key set;
     the key set is broadcast when a bounded count shows it small)."""
-    k = bounded_broadcast(keys.select(*on).distinct(), max_broadcast_rows, bound_by=[keys])
+    k = bounded_broadcast(keys.select(*on).distinct(), max_broadcast_rows, bound_by=[keys.select(*on)])
     return df.join(k, list(on), "left_anti")
 
 
@@ -154,52 +157,85 @@ def create_ledger(spark: SparkSession, name: str, schema: T.StructType,
     empty.select(*order).write.format("parquet").partitionBy(*partitions).saveAsTable(name)
 
 
+def table_partitions(spark: SparkSession, name: str) -> list[str]:
+    """The partition columns of a table, as the catalog has them."""
+    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+
+
+def clustered(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Rows of a partition next to each other before a partitioned write, so a
+    write makes files by data, not tasks x partitions; AQE splits a partition
+    that holds much of the data over several tasks."""
+    return df.hint("rebalance", *(F.col(p) for p in partitions)) if partitions else df
+
+
 def write_append(spark: SparkSession, name: str, rows: DataFrame,
                  defaults: Mapping[str, Column | str] | None = None, swap_quotes: bool = False) -> None:
     """Append rows aligned to the table (position-based insert)."""
-    target = spark.table(name)
-    aligned = align_to(rows, target.schema, defaults, swap_quotes)
-    aligned.write.insertInto(name)
+    aligned = align_to(rows, spark.table(name).schema, defaults, swap_quotes)
+    clustered(aligned, table_partitions(spark, name)).write.insertInto(name)
+
+
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession):
+    """Overwrite only the partitions written, within the block."""
+    option = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, "dynamic")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(option)
+        else:
+            spark.conf.set(option, before)
+
+
+def _named(row, parts: Sequence[str]) -> Column:
+    """The rows of one partition; a NULL value names the NULL partition."""
+    tests = [F.col(p).isNull() if row[p] is None else F.col(p) == F.lit(row[p]) for p in parts]
+    return reduce(lambda x, y: x & y, tests)
 
 
-def rewrite_partitions(spark: SparkSession, name: str, touched: Column | DataFrame, change,
-                       partitions: Sequence[str] = LEDGER_PARTITIONS) -> None:
+def rewrite_partitions(spark: SparkSession, name: str, touched: Column | DataFrame, change) -> None:
     """Persist a row-level change by rewriting only the partitions it touches.
 
     ``touched`` selects the rows the change may alter (a predicate), or is a
-    DataFrame of the partition values it may alter; ``change`` maps a
-    DataFrame of the table to its new content.  Steps: find the touched
-    partitions (a distinct over partition values, pruned by Catalyst when the
-    predicate names partition columns), take *all* rows of those partitions,
-    apply the change, cut the lineage into the shared checkpoint folder (the
-    write replaces the files being read), then overwrite those partitions
-    (dynamic mode leaves every other partition alone).  A partition the change
-    empties is dropped explicitly, since dynamic overwrite never sees it.
-    The change must not move rows between partitions.
+    DataFrame with the partition columns of what it may alter; ``change`` maps
+    a DataFrame of the table to its new content and must not move rows between
+    partitions.  The layout is what the catalog says.  A table without
+    partitions is rewritten as a whole.
+
+    The touched partitions (NULL ones included) are kept in the shared
+    checkpoint folder and taken ``PARTITION_BATCH`` at a time.  A batch is
+    named by literal values, so the scan lists only its folders whatever the
+    predicate is about.  Its new rows are checkpointed (the write replaces the
+    files being read) and overwrite those partitions; partitions that the
+    change emptied are dropped by name, since an overwrite never sees them.
     """
-    configure(spark)
-    parts = list(partitions)
+    parts = table_partitions(spark, name)
     table = spark.table(name)
+    if not parts:
+        cut_lineage(change(table).select(*table.columns)).write.insertInto(name, overwrite=True)
+        return
     if isinstance(touched, DataFrame):
         keys = touched.select(*parts).distinct()
     else:
         keys = table.where(F.coalesce(touched, F.lit(False))).select(*parts).distinct()
-    keys = cut_lineage(keys)
-    scope = table.join(bounded_broadcast(keys, 2_000_000), parts, "left_semi")
-    new = cut_lineage(change(scope).select(*table.columns))
-    new.write.insertInto(name, overwrite=True)
-    emptied = keys.join(new.select(*parts).distinct(), parts, "left_anti")
-    # Emptied partitions are catalog entries: one DROP statement per batch of
-    # specs, streamed from the (checkpointed) key set, bounded by what the
-    # change touched.
-    batch: list[str] = []
-    for row in emptied.toLocalIterator():
-        batch.append("PARTITION (" + ", ".join(f"{p} = '{_sql_text(row[p])}'" for p in parts) + ")")
-        if len(batch) == DROP_BATCH:
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(batch)}")
-            batch = []
-    if batch:
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(batch)}")
+    keys = cut_lineage(keys).toLocalIterator()
+    while batch := list(islice(keys, PARTITION_BATCH)):
+        scope = table.where(reduce(lambda x, y: x | y, [_named(r, parts) for r in batch]))
+        new = cut_lineage(change(scope).select(*table.columns))
+        with _dynamic_overwrite(spark):
+            clustered(new, parts).write.insertInto(name, overwrite=True)
+        left = {tuple(r) for r in new.select(*parts).distinct().collect()}   # at most the batch
+        gone = [r for r in batch if tuple(r) not in left]
+        if gone:
+            specs = ", ".join("PARTITION (" + ", ".join(
+                f"{p} = " + ("null" if r[p] is None else f"'{_sql_text(r[p])}'") for p in parts) + ")"
+                for r in gone)
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
+        spark.catalog.refreshTable(name)
 
 
 def _sql_text(v) -> str:
@@ -207,25 +243,24 @@ def _sql_text(v) -> str:
 
 
 def write_update(spark: SparkSession, name: str, predicate: Column, assignments: Mapping[str, object],
-                 tenant: str | None = None, partitions: Sequence[str] = LEDGER_PARTITIONS) -> None:
+                 tenant: str | None = None) -> None:
     """D6/D7 persisted; the assignments may not change partition columns
     (falsy assignments are dropped first, as in ``update_rows``)."""
     effective = {k for k, v in assignments.items() if _assignment(v) is not None}
-    moved = effective & set(partitions)
+    moved = effective & set(table_partitions(spark, name))
     if moved:
         raise ValueError(f"update may not change partition columns: {sorted(moved)}")
     pred = predicate if tenant is None else predicate & tenant_predicate(tenant)
-    rewrite_partitions(spark, name, pred, lambda df: update_rows(df, pred, assignments), partitions)
+    rewrite_partitions(spark, name, pred, lambda df: update_rows(df, pred, assignments))
 
 
-def write_delete(spark: SparkSession, name: str, predicate: Column,
-                 partitions: Sequence[str] = LEDGER_PARTITIONS) -> None:
+def write_delete(spark: SparkSession, name: str, predicate: Column) -> None:
     """D8/D9 persisted."""
-    rewrite_partitions(spark, name, predicate, lambda df: delete_where(df, predicate), partitions)
+    rewrite_partitions(spark, name, predicate, lambda df: delete_where(df, predicate))
 
 
 def assert_no_duplicate_update(log: DataFrame, predicate: Column) -> None:
     """A4 guard before an update: raise when it would hit more than one row."""
-    n = log.where(F.coalesce(predicate, F.lit(False))).limit(2).count()
+    n = log.agg(F.count_if(predicate).alias("n")).first().n
     if n > 1:
         raise RuntimeError("[System Error] Duplicate updating log found")

@@ -6,7 +6,7 @@ Here markers are rows (zone, folder date, file name, path) that a caller can
 append to a marker table or turn into files.
 
 Stale-marker matching (D11) is "file name contains ``title.job.yyyymmdd``"
-within the same zone and date folder.  A substring test between two sets is a
+within the same tenant, zone and date folder.  A substring test between two sets is a
 pairwise comparison; to keep it a hash join with a small residual instead,
 both sides get an exact equi-key:
 
@@ -17,7 +17,7 @@ both sides get an exact equi-key:
 
 So each file name yields the dot-components that precede a component
 starting with ``D`` (normally one, two when the time stamp starts with the
-same date), and is joined on (zone, date, component) with the ``contains``
+same date), and is joined on (tenant, zone, date, component) with the ``contains``
 test as residual.  Key rows are de-duplicated first, so a job's hot folder
 meets only that job's few distinct keys.
 """
@@ -32,7 +32,9 @@ from runledger.functions.columns import (
     compact_date, marker_file_name, marker_folder, marker_match_key,
 )
 from runledger.operators.config import ZONE_SKIP
-from runledger.operators.ledger import STS_SUCCESS, create_ledger, rewrite_partitions
+from runledger.operators.ledger import (
+    STS_SUCCESS, clustered, create_ledger, rewrite_partitions,
+)
 
 
 def success_markers(routed_runs: DataFrame, root: str, ts_text: Column, tenant: Column,
@@ -48,7 +50,7 @@ def success_markers(routed_runs: DataFrame, root: str, ts_text: Column, tenant:
     name = marker_file_name(F.col("title_nm"), F.col(key), F.col(date_col), ts_text)
     folder = marker_folder(F.lit(root), tenant, F.col("zone"), F.col(date_col))
     return ok.select(
-        F.col(key), F.col(date_col), F.col("zone"),
+        tenant.alias("tenant"), F.col(key), F.col(date_col), F.col("zone"),
         compact_date(F.col(date_col)).alias("folder_dt"),
         name.alias("file_nm"),
         F.concat(folder, name).alias("marker_path"),
@@ -63,14 +65,17 @@ def markers_after_update(routed_runs: DataFrame, predicate: Column, assignments:
     if assignments.get("job_sts") != STS_SUCCESS:
         return routed_runs.limit(0).select(
             *[F.lit(None).cast("string").alias(c) for c in
-              ("job_nm", "dl_data_dt", "zone", "folder_dt", "file_nm", "marker_path")])
+              ("tenant", "job_nm", "dl_data_dt", "zone", "folder_dt", "file_nm", "marker_path")])
     hit = routed_runs.where(F.coalesce(predicate, F.lit(False)))
-    return success_markers(hit.withColumn("job_sts", F.lit(STS_SUCCESS)), root, ts_text, tenant, **kw)
+    # Several runs of a job and date write one and the same file.
+    return success_markers(hit.withColumn("job_sts", F.lit(STS_SUCCESS)), root, ts_text, tenant,
+                           **kw).distinct()
 
 
-def invalidation_keys(routed_new_runs: DataFrame, key: str = "job_nm",
+def invalidation_keys(routed_new_runs: DataFrame, tenant: Column, key: str = "job_nm",
                       date_col: str = "dl_data_dt") -> DataFrame:
-    """A new run invalidates its job's earlier markers of that date.
+    """A new run invalidates its job's earlier markers of that date, those
+    of its own tenant only (a tenant's markers lie in a folder of its own).
 
     Zone must be neither '' nor ``skip``; the title may be empty (then the key
     starts with ``.`` and matches any title of the job and date).  Routes
@@ -80,7 +85,7 @@ def invalidation_keys(routed_new_runs: DataFrame, key: str = "job_nm",
         (F.col("zone") != "") & (F.col("zone") != ZONE_SKIP) & F.col("route_error").isNull()
     )
     return r.select(
-        "zone",
+        tenant.alias("tenant"), "zone",
         compact_date(F.col(date_col)).alias("folder_dt"),
         F.substring_index(F.col(key), ".", -1).alias("_seg"),
         marker_match_key(F.col("title_nm"), F.col(key), F.col(date_col)).alias("match_key"),
@@ -97,49 +102,52 @@ def _candidate_segments(file_nm: Column, folder_dt: Column) -> Column:
 
 
 def stale_markers(markers: DataFrame, keys: DataFrame) -> DataFrame:
-    """The markers a new run removes (same zone and date folder, file
-    name contains the run's key).  ``markers`` needs zone, folder_dt, file_nm
-    (one row per file); ``keys`` comes from ``invalidation_keys``."""
+    """The markers a new run removes (same tenant, zone and date folder,
+    file name contains the run's key).  ``markers`` needs tenant, zone,
+    folder_dt, file_nm (one row per file); ``keys`` comes from ``invalidation_keys``."""
     cand = markers.withColumn(
         "_seg", F.explode(_candidate_segments(F.col("file_nm"), F.col("folder_dt")))
     )
     # The keys are derived from runs (not a stored dimension), so no count is
     # spent on them up front: AQE broadcasts them when their measured size is
     # small, else keeps the shuffle join and splits a hot folder's partition.
-    k = keys.select("zone", "folder_dt", "_seg", "match_key")
+    k = keys.select("tenant", "zone", "folder_dt", "_seg", "match_key")
     cond = (
-        (cand["zone"] == k["zone"]) & (cand["folder_dt"] == k["folder_dt"])
+        (cand["tenant"] == k["tenant"]) & (cand["zone"] == k["zone"]) & (cand["folder_dt"] == k["folder_dt"])
         & (cand["_seg"] == k["_seg"]) & cand["file_nm"].contains(k["match_key"])
     )
     hit = cand.join(k, cond, "left_semi").drop("_seg")
     # A name can match through two candidate components; report it once.
-    return hit.dropDuplicates(["zone", "folder_dt", "file_nm"])
+    return hit.dropDuplicates([*MARKER_PARTITIONS, "file_nm"])
 
 
 def remaining_markers(markers: DataFrame, keys: DataFrame) -> DataFrame:
     """D11, the other half: markers that survive the new runs."""
-    stale = stale_markers(markers, keys).select("zone", "folder_dt", "file_nm")
-    return markers.join(stale, ["zone", "folder_dt", "file_nm"], "left_anti")
+    names = [*MARKER_PARTITIONS, "file_nm"]
+    return markers.join(stale_markers(markers, keys).select(*names), names, "left_anti")
 
 
 # ------------------------------------------------------------------ marker table
-MARKER_PARTITIONS = ("zone", "folder_dt")
-MARKER_COLUMNS = ("job_nm", "dl_data_dt", "file_nm", "marker_path", "zone", "folder_dt")
+MARKER_PARTITIONS = ("tenant", "zone", "folder_dt")
+MARKER_COLUMNS = ("job_nm", "dl_data_dt", "file_nm", "marker_path", *MARKER_PARTITIONS)
 
 
 def create_marker_table(spark, name: str) -> None:
-    """D10 sink: markers as rows of a table partitioned by zone and date folder."""
+    """D10 sink: markers as rows of a table partitioned by tenant, zone and date folder."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in MARKER_COLUMNS])
     create_ledger(spark, name, schema, MARKER_PARTITIONS)
 
 
 def write_markers(spark, name: str, new_markers: DataFrame) -> None:
     """Append markers (from ``success_markers``)."""
-    new_markers.select(*MARKER_COLUMNS).write.insertInto(name)
+    clustered(new_markers.select(*MARKER_COLUMNS), MARKER_PARTITIONS).write.insertInto(name)
 
 
 def remove_stale_markers(spark, name: str, keys: DataFrame) -> None:
     """D11 + D12 persisted: drop the markers the new runs' keys invalidate,
-    rewriting only the (zone, date folder) partitions the keys name."""
-    rewrite_partitions(spark, name, keys.select(*MARKER_PARTITIONS),
-                       lambda df: remaining_markers(df, keys), MARKER_PARTITIONS)
+    rewriting only the (tenant, zone, date folder) partitions the keys name
+    (a key whose folder has no marker names none)."""
+    named = keys.select(*MARKER_PARTITIONS).distinct()
+    here = spark.table(name).select(*MARKER_PARTITIONS).distinct()
+    rewrite_partitions(spark, name, here.join(named, list(MARKER_PARTITIONS), "left_semi"),
+                       lambda df: remaining_markers(df, keys))

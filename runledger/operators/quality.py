@@ -166,7 +166,9 @@ def business_dates(df: DataFrame, column: str, key: Sequence[str] = ()) -> DataF
 
 # ------------------------------------------------------------------ raising
 def assert_clean(report: DataFrame, what: str = "configuration") -> None:
-    """Raise ValueError listing up to 20 violations; one small action."""
-    rows = report.limit(20).collect()
+    """Raise ValueError with every violation.  The report has one row for each
+    distinct (column, value, rule), counted, so its size is that of the
+    configuration's bad values, not of its rows."""
+    rows = report.collect()
     if rows:
         raise ValueError(f"[Value Error] Incorrect value found in {what}", [r.asDict() for r in rows])

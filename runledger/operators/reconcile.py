@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions.columns import is_json_object
+
 # The fields of one activity in a copy service's run report.
 ACTIVITY_FIELDS = ["activityType", "activityName", "output"]
 OUTPUT_FIELDS = ["filesRead", "filesWritten", "dataRead", "dataWritten", "itemName", "size"]
@@ -29,6 +31,13 @@ MISSING_IN_SOURCE, MISSING_IN_TARGET = "MISSING_IN_SOURCE", "MISSING_IN_TARGET"
 DUPLICATE = "DUPLICATE"
 
 
+def is_malformed(doc: Column) -> Column:
+    """Text that is no JSON object, or a JSON object with more text after it."""
+    # The strict reader rejects truncated text; a JSON object ends with its brace,
+    # and text after it would leave a brace that closes nothing before the end.
+    return ~F.coalesce(is_json_object(doc), F.lit(False))
+
+
 def parse_activities(df: DataFrame, doc_col: str = "doc") -> DataFrame:
     """Flatten each JSON activity document; malformed text -> NULL fields.
 
@@ -38,11 +47,12 @@ def parse_activities(df: DataFrame, doc_col: str = "doc") -> DataFrame:
     parse per field used, and filters on it pushed down and parsed again.
     """
     keep = [c for c in df.columns if c != doc_col]
-    top = df.select(*keep, F.json_tuple(F.col(doc_col), *ACTIVITY_FIELDS)
+    top = df.select(*keep, is_malformed(F.col(doc_col)).alias("is_malformed"),
+                    F.json_tuple(F.col(doc_col), *ACTIVITY_FIELDS)
                     .alias("activity_type", "activity_name", "_output"))
-    out = top.select(*keep, "activity_type", "activity_name",
+    out = top.select(*keep, "is_malformed", "activity_type", "activity_name",
                      F.json_tuple(F.col("_output"), *OUTPUT_FIELDS).alias(*OUTPUT_COLUMNS))
-    return out.select(*keep, "activity_type", "activity_name", *[
+    return out.select(*keep, "is_malformed", "activity_type", "activity_name", *[
         F.col(c).try_cast("bigint").alias(c) if c in OUTPUT_NUMERIC else F.col(c)
         for c in OUTPUT_COLUMNS
     ])
@@ -111,35 +121,36 @@ def union_listings(*listings: DataFrame) -> DataFrame:
     return out
 
 
-def _per_key(df: DataFrame, keys: Sequence[str], size: str, tag: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(f"n_{tag}"),
-        F.max(size).alias(f"{tag}_size"),
-        F.min(size).alias(f"_{tag}_min"),
-    )
-
-
 def compare_listings(source: DataFrame, target: DataFrame, keys: Sequence[str],
                      size: str = "file_size") -> DataFrame:
-    """Per file, source size against target size.
-
-    Status: MISSING_IN_SOURCE / MISSING_IN_TARGET / DUPLICATE (a name listed
-    twice on one side with different sizes) / SIZE_MISMATCH / MATCH.  Both
-    sides are reduced to one row per key before the full outer join.
+    """Per file, source size against target size, and how often each
+    side lists it.
+
+    Status: MISSING_IN_SOURCE / MISSING_IN_TARGET / DUPLICATE (a side lists
+    the name with different sizes, or the sides list it a different number of
+    times) / SIZE_MISMATCH / MATCH.  Both listings are tagged, unioned and
+    reduced by one aggregate: one shuffle, pre-aggregated in every task, no
+    join.
     """
     keys = list(keys)
-    s = _per_key(source, keys, size, "src")
-    t = _per_key(target, keys, size, "tgt")
-    j = s.join(t, keys, "full_outer")
-    dup = (F.col("src_size") != F.col("_src_min")) | (F.col("tgt_size") != F.col("_tgt_min"))
+    both = source.select(*keys, F.col(size).alias("_size"), F.lit(True).alias("_src")).unionByName(
+        target.select(*keys, F.col(size).alias("_size"), F.lit(False).alias("_src")))
+    src = F.when(F.col("_src"), F.col("_size"))
+    tgt = F.when(~F.col("_src"), F.col("_size"))
+    g = both.groupBy(*keys).agg(
+        F.count_if("_src").alias("n_src"), F.count_if(~F.col("_src")).alias("n_tgt"),
+        F.max(src).alias("src_size"), F.max(tgt).alias("tgt_size"),
+        F.min(src).alias("_src_min"), F.min(tgt).alias("_tgt_min"))
+    dup = ((F.col("src_size") != F.col("_src_min")) | (F.col("tgt_size") != F.col("_tgt_min"))
+           | (F.col("n_src") != F.col("n_tgt")))
     status = (
-        F.when(F.col("n_src").isNull(), MISSING_IN_SOURCE)
-        .when(F.col("n_tgt").isNull(), MISSING_IN_TARGET)
+        F.when(F.col("n_src") == 0, MISSING_IN_SOURCE)
+        .when(F.col("n_tgt") == 0, MISSING_IN_TARGET)
         .when(dup, DUPLICATE)
         .when(F.col("src_size") == F.col("tgt_size"), MATCH)
         .otherwise(SIZE_MISMATCH)
     )
-    return j.select(*keys, "src_size", "tgt_size", status.alias("status"))
+    return g.select(*keys, "n_src", "n_tgt", "src_size", "tgt_size", status.alias("status"))
 
 
 def listing_totals(df: DataFrame, key: Sequence[str], size: str = "file_size",
@@ -154,15 +165,69 @@ def compare_totals(left: DataFrame, right: DataFrame, key: Sequence[str],
                    left_tag: str, right_tag: str) -> DataFrame:
     """Per key, number of files and bytes on both sides.
 
-    Sides are totals (one row per key), so the full outer join is one-to-one;
-    a key missing on one side counts as zero there.
+    A key missing on one side counts as zero there.  The sides hold any number
+    of rows per key with ``<tag>_files`` and ``<tag>_bytes`` (totals, or one row
+    per file); they are unioned and summed by one aggregate, without a join.
     """
     key = list(key)
-    j = left.join(right, key, "full_outer")
+    zero = F.lit(0).cast("bigint")
+
+    def side(df, own, other):
+        return df.select(*key, *[F.col(f"{own}_{w}").cast("bigint").alias(f"{own}_{w}") for w in ("files", "bytes")],
+                         *[zero.alias(f"{other}_{w}") for w in ("files", "bytes")])
+
+    both = side(left, left_tag, right_tag).unionByName(side(right, right_tag, left_tag))
+    names = [f"{t}_{w}" for w in ("files", "bytes") for t in (left_tag, right_tag)]
+    g = both.groupBy(*key).agg(*[F.coalesce(F.sum(n), zero).cast("bigint").alias(n) for n in names])
     cols = []
-    for what in ("files", "bytes"):
-        lc = F.coalesce(F.col(f"{left_tag}_{what}"), F.lit(0)).cast("bigint")
-        rc = F.coalesce(F.col(f"{right_tag}_{what}"), F.lit(0)).cast("bigint")
-        cols += [lc.alias(f"{left_tag}_{what}"), rc.alias(f"{right_tag}_{what}"),
-                 (lc == rc).alias(f"{what}_match")]
-    return j.select(*key, *cols)
+    for w in ("files", "bytes"):
+        lc, rc = F.col(f"{left_tag}_{w}"), F.col(f"{right_tag}_{w}")
+        cols += [lc, rc, (lc == rc).alias(f"{w}_match")]
+    return g.select(*key, *cols)
+
+
+def per_file(df: DataFrame, key: Sequence[str], size: str = "file_size", tag: str = "src") -> DataFrame:
+    """A listing as summands of ``compare_totals``: one row per file."""
+    return df.select(*key, F.lit(1).cast("bigint").alias(f"{tag}_files"), F.col(size).alias(f"{tag}_bytes"))
+
+
+def run_verdicts(acts: DataFrame, listing: DataFrame, run_key: Sequence[str], max_mismatch: int,
+                 activity_name: str, order: Sequence[str]) -> DataFrame:
+    """J4 + J5: one verdict per copied run, by the first check that fails.
+
+    1. ``MALFORMED``: an activity document is no JSON object;
+    2. ``MISMATCH``: more than ``max_mismatch`` Copies read and wrote different
+       amounts;
+    3. ``COUNT``: the last Copy's file count is not the number of files listed
+       (data and control files together, ``union_listings``);
+    4. ``SIZE``: a file that the report names has another size, or is not
+       listed as often, in the listing of the run;
+    5. ``OK``.  A run that is listed but not reported is ``NOT_REPORTED``.
+
+    ``acts`` comes from ``parse_activities``; ``listing`` has the run key,
+    file_nm and file_size.
+    """
+    run_key = list(run_key)
+    totals = copy_totals(acts, run_key, max_mismatch, with_data=True, order=order)
+    bad = acts.groupBy(*run_key).agg(F.count_if(F.col("is_malformed")).alias("n_malformed"))
+    report = last_metadata(acts, run_key, activity_name, order).select(
+        *run_key, F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
+    files = compare_listings(report, listing, [*run_key, "file_nm"])
+    wrong = F.col("n_src") > 0
+    per_run = files.groupBy(*run_key).agg(
+        F.sum("n_tgt").alias("listed_files"),
+        F.count_if(wrong & (F.col("status") != MATCH)).alias("n_wrong_files"))
+    j = totals.join(bad, run_key).join(per_run, run_key, "full_outer")
+    listed = F.coalesce(F.col("listed_files"), F.lit(0))
+    verdict = (
+        F.when(F.col("n_copy").isNull(), "NOT_REPORTED")
+        .when(F.col("n_malformed") > 0, "MALFORMED")
+        .when(F.col("failed"), "MISMATCH")
+        .when(F.col("last_files_written").isNotNull() & (F.col("last_files_written") != listed), "COUNT")
+        .when(F.col("n_wrong_files") > 0, "SIZE")
+        .otherwise("OK"))
+    return j.select(*run_key, F.coalesce("n_malformed", F.lit(0)).alias("n_malformed"),
+                    F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "last_files_written",
+                    listed.alias("listed_files"),
+                    F.coalesce("n_wrong_files", F.lit(0)).alias("n_wrong_files"),
+                    verdict.alias("verdict"))

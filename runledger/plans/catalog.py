@@ -16,10 +16,9 @@ from runledger.functions import columns as X
 from runledger.functions.crypto import decrypt_columns, encrypt_columns, rewrap_columns
 from runledger.operators import calendar, config, ledger, markers, quality, reconcile
 from runledger.plans import fixtures as fx
-from runledger.sources.config_json import flatten_area_text
+from runledger.sources.config_json import flatten_area_text, flatten_dependency_text, register_view
 from runledger.sources.control_files import ControlSpec, control_counts_of_lines
-from runledger.sources.manifests import file_manifest
-from runledger.sources.tables import read_table
+from runledger.sources.tables import column_names, read_table, scan
 from runledger.streaming import ledger_stream as ls
 
 W = fx.with_fixtures
@@ -214,7 +213,7 @@ def q_holiday_flags(spark, sf):
 
 
 SQL["holiday_flags"] = W("""
-select l.log_no, l.dl_data_dt, dayname(cast(l.dl_data_dt as date)) as wkdy_nm,
+select l.log_no, l.dl_data_dt, true as is_date, dayname(cast(l.dl_data_dt as date)) as wkdy_nm,
        case when isodow(cast(l.dl_data_dt as date)) >= 6 then true end as is_hldy_weekend,
        case when isodow(cast(l.dl_data_dt as date)) >= 6 or h.dt_en is not null then true end
          as is_hldy_holiday
@@ -310,10 +309,10 @@ def _compare_sql(src: str, tgt: str, keys: list[str]) -> str:
     on = " and ".join(f"s.{c} = t.{c}" for c in keys)
     sel = ", ".join(f"coalesce(s.{c}, t.{c}) as {c}" for c in keys)
     return f"""
-select {sel}, s.src_size, t.tgt_size,
+select {sel}, coalesce(s.n_src, 0) as n_src, coalesce(t.n_tgt, 0) as n_tgt, s.src_size, t.tgt_size,
   case when s.n_src is null then '{reconcile.MISSING_IN_SOURCE}'
        when t.n_tgt is null then '{reconcile.MISSING_IN_TARGET}'
-       when s.src_size <> s.src_min or t.tgt_size <> t.tgt_min then '{reconcile.DUPLICATE}'
+       when s.src_size <> s.src_min or t.tgt_size <> t.tgt_min or s.n_src <> t.n_tgt then '{reconcile.DUPLICATE}'
        when s.src_size = t.tgt_size then '{reconcile.MATCH}'
        else '{reconcile.SIZE_MISMATCH}' end as status
 from (select {k}, count(*) as n_src, max(file_size) as src_size, min(file_size) as src_min
@@ -330,8 +329,8 @@ SQL["manifest_compare"] = W(_compare_sql("manifest_sent", "manifest_recv", ["bat
 
 @query("manifest_totals")
 def q_manifest_totals(spark, sf):
-    s = reconcile.listing_totals(fx.manifest_sent(spark, sf), ["batch_id"], tag="src")
-    t = reconcile.listing_totals(fx.manifest_recv(spark, sf), ["batch_id"], tag="tgt")
+    s = reconcile.per_file(fx.manifest_sent(spark, sf), ["batch_id"], tag="src")
+    t = reconcile.per_file(fx.manifest_recv(spark, sf), ["batch_id"], tag="tgt")
     return reconcile.compare_totals(s, t, ["batch_id"], "src", "tgt")
 
 
@@ -394,17 +393,30 @@ from ({_ACT_SQL}) a group by run_id"""
 SQL["activity_totals"] = W(_COPY_TOTALS_SQL, "activity_run")
 
 
+def _listed(spark, sf):
+    """Data files and control files of the runs, as one listing."""
+    cols = ["run_id", "file_nm", "file_size"]
+    return reconcile.union_listings(_blob_by_run(spark, sf).select(*cols),
+                                    fx.ctl_listing(spark, sf).select(*cols))
+
+
+_LISTED_SQL = """
+select cast(regexp_extract(file_nm, '^f_([0-9]+)\\.dat$', 1) as bigint) as run_id, file_nm, file_size
+from manifest_sent
+union all select run_id, file_nm, file_size from ctl_listing"""
+
+
 @query("activity_file_compare")
 def q_activity_file_compare(spark, sf):
     meta = reconcile.last_metadata(_activities(spark, sf), ["run_id"], META_ACTIVITY,
                                    ["activity_seq", "activity_id"])
-    report = meta.select(F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
-    blob = reconcile.union_listings(fx.manifest_sent(spark, sf).select("file_nm", "file_size"))
-    return reconcile.compare_listings(report, blob, ["file_nm"])
+    report = meta.select("run_id", F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
+    return reconcile.compare_listings(report, _listed(spark, sf), ["run_id", "file_nm"])
 
 
-SQL["activity_file_compare"] = W(_compare_sql("last_meta", "manifest_sent", ["file_nm"]),
-                                 "activity_run", "manifest_sent", extra={
+SQL["activity_file_compare"] = W(_compare_sql("last_meta", "listed", ["run_id", "file_nm"]),
+                                 "activity_run", "manifest_sent", "ctl_listing", extra={
+    "listed": _LISTED_SQL,
     "a": _ACT_SQL,
     "last_meta": f"""
 select run_id, item as file_nm,
@@ -423,7 +435,7 @@ def _blob_by_run(spark, sf):
 def q_activity_total_compare(spark, sf):
     report = reconcile.copy_totals(_activities(spark, sf), ["run_id"], MAX_MISMATCH).select(
         "run_id", F.col("files_written").alias("report_files"), F.col("bytes_written").alias("report_bytes"))
-    blob = reconcile.listing_totals(_blob_by_run(spark, sf), ["run_id"], tag="blob")
+    blob = reconcile.per_file(_blob_by_run(spark, sf), ["run_id"], tag="blob")
     return reconcile.compare_totals(report, blob, ["run_id"], "report", "blob")
 
 
@@ -534,7 +546,7 @@ def q_success_markers(spark, sf):
 _D8 = "replace(l.dl_data_dt, '-', '')"
 _MARKER_NAME = f"concat(lower(r.title_nm), '.', l.job_nm, '.', {_D8}, '.', '{MARKER_TS}', '.success')"
 _MARKERS_SQL = f"""
-select l.job_nm, l.dl_data_dt, r.zone, {_D8} as folder_dt, {_MARKER_NAME} as file_nm,
+select l.monoline as tenant, l.job_nm, l.dl_data_dt, r.zone, {_D8} as folder_dt, {_MARKER_NAME} as file_nm,
        concat('{MARKER_ROOT}/', l.monoline, '/evtg/', r.zone, '/', {_D8}, '/', {_MARKER_NAME}) as marker_path
 from job_log l join route r on l.job_nm = r.job_nm
 where l.job_sts = 'SUCCESS' and r.zone <> '' and r.zone <> 'skip' and r.title_nm <> ''"""
@@ -545,19 +557,19 @@ SQL["success_markers"] = W(_MARKERS_SQL, "job_log", "job_config", extra={"route"
 @query("stale_markers")
 def q_stale_markers(spark, sf):
     routed = _routed_log(spark, sf)
-    existing = _markers(routed).select("zone", "folder_dt", "file_nm").distinct()
+    existing = _markers(routed).select("tenant", "zone", "folder_dt", "file_nm").distinct()
     new_runs = routed.where(~F.col("job_sts").eqNullSafe(ledger.STS_SUCCESS))
-    return markers.stale_markers(existing, markers.invalidation_keys(new_runs))
+    return markers.stale_markers(existing, markers.invalidation_keys(new_runs, F.col("monoline")))
 
 
 SQL["stale_markers"] = W("""
-select zone, folder_dt, file_nm from m
-where exists (select 1 from k where k.zone = m.zone and k.folder_dt = m.folder_dt
+select tenant, zone, folder_dt, file_nm from m
+where exists (select 1 from k where k.tenant = m.tenant and k.zone = m.zone and k.folder_dt = m.folder_dt
                                 and contains(m.file_nm, k.mkey))""", "job_log", "job_config", extra={
     "route": ROUTE_SQL,
-    "m": f"select distinct zone, folder_dt, file_nm from ({_MARKERS_SQL}) x",
+    "m": f"select distinct tenant, zone, folder_dt, file_nm from ({_MARKERS_SQL}) x",
     "k": """
-select distinct r.zone, replace(n.dl_data_dt, '-', '') as folder_dt,
+select distinct n.monoline as tenant, r.zone, replace(n.dl_data_dt, '-', '') as folder_dt,
        concat(lower(r.title_nm), '.', n.job_nm, '.', replace(n.dl_data_dt, '-', '')) as mkey
 from job_log n join route r on n.job_nm = r.job_nm
 where n.job_sts is distinct from 'SUCCESS'
@@ -692,7 +704,7 @@ from events"""
 # ===================================================================== X8
 @query("base64_roundtrip")
 def q_base64_roundtrip(spark, sf):
-    d = read_table(spark, sf, "documents", spread_by=["doc_id"])
+    d = read_table(spark, sf, "documents")
     b64 = X.b64_encode("text")
     return d.select("doc_id", b64.alias("b64"),
                     F.octet_length("text").cast("bigint").alias("n_bytes"),
@@ -736,18 +748,22 @@ select db_nm, 'export', job_nm, cast(2 as bigint), hldy_type
 from job_config where actv_flag is not null and expt_data_type = 'cosmos_db'""", "job_config")
 
 
-# ===================================================================== S7 (rows only)
-@query("file_manifest")
-def q_file_manifest(spark, sf):
-    return file_manifest(spark, os.path.join(sf, "*.parquet"))
-
-
-# ===================================================================== X11, X12 (rows only)
+# ===================================================================== X11, X12
 @query("run_ids")
 def q_run_ids(spark, sf):
     o = read_table(spark, sf, "orders")
     prefix = F.when(F.col("o_orderstatus") == "F", "JOB").otherwise("")
-    return o.select("o_orderkey", X.run_id(prefix).alias("run_id"), X.exec_user().alias("exec_usr"))
+    ids = o.select("o_orderkey", X.run_id(prefix).alias("run_id"), X.exec_user().alias("exec_usr"))
+    return ids.select(
+        "o_orderkey", F.substring_index("run_id", "_", 1).alias("prefix"),
+        F.col("run_id").rlike("^(JOB|MANUAL)_[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("is_run_id"),
+        F.col("exec_usr").isNotNull().alias("has_user"))
+
+
+SQL["run_ids"] = """
+select o_orderkey, case when o_orderstatus = 'F' then 'JOB' else 'MANUAL' end as prefix,
+       true as is_run_id, true as has_user
+from orders"""
 
 
 # ===================================================================== E1, E2
@@ -758,21 +774,37 @@ def _names(spark, sf):
 @query("encrypt_roundtrip")
 def q_encrypt_roundtrip(spark, sf):
     key = secrets.token_bytes(32)
-    enc = encrypt_columns(_names(spark, sf), ["c_name"], key)
-    return decrypt_columns(enc, ["c_name"], key)
+    both = _names(spark, sf).withColumn("enc", F.col("c_name"))
+    return _opened(encrypt_columns(both, ["enc"], key), key, secrets.token_bytes(32))
+
 
+def _opened(enc, key, other):
+    """What a key and another key make of column ``enc`` beside the plain name."""
+    shown = enc.withColumn("cipher_len", F.length("enc")).withColumn(
+        "is_changed", F.col("enc") != F.col("c_name")).withColumn("has_breaks", F.col("enc").rlike("[\r\n]"))
+    out = decrypt_columns(shown.withColumn("shut", F.col("enc")), ["enc"], key)
+    out = decrypt_columns(out, ["shut"], other)
+    return out.select("c_custkey", "c_name", F.col("enc").alias("opened"), "is_changed", "has_breaks",
+                      F.col("shut").isNull().alias("shut_to_other_key"), "cipher_len")
 
-SQL["encrypt_roundtrip"] = "select c_custkey, c_name from customer"
+
+# AES-GCM adds 12 bytes of nonce and 16 of tag; base64 makes 4 characters of 3 bytes.
+_ENCRYPT_SQL = """
+select c_custkey, c_name, c_name as opened, true as is_changed, false as has_breaks,
+       true as shut_to_other_key,
+       cast(4 * ((octet_length(encode(c_name)) + 28 + 2) // 3) as integer) as cipher_len
+from customer"""
+SQL["encrypt_roundtrip"] = _ENCRYPT_SQL
 
 
 @query("rewrap_roundtrip")
 def q_rewrap_roundtrip(spark, sf):
     old, new = secrets.token_bytes(32), secrets.token_bytes(16)
-    enc = encrypt_columns(_names(spark, sf), ["c_name"], old)
-    return decrypt_columns(rewrap_columns(enc, ["c_name"], old, new), ["c_name"], new)
+    enc = encrypt_columns(_names(spark, sf).withColumn("enc", F.col("c_name")), ["enc"], old)
+    return _opened(rewrap_columns(enc, ["enc"], old, new), new, old)
 
 
-SQL["rewrap_roundtrip"] = "select c_custkey, c_name from customer"
+SQL["rewrap_roundtrip"] = _ENCRYPT_SQL
 
 
 # ===================================================================== A2 + A3 as a stream
@@ -831,3 +863,96 @@ full outer join (select cast(regexp_extract(file_nm, '^f_([0-9]+)\\.dat$', 1) as
                         count(*) as blob_files
                  from manifest_sent group by 1) b
 on l.run_id = b.run_id""", "activity_run", "manifest_sent", extra={"a": _ACT_SQL})
+
+
+# ===================================================================== J4 + J5 + U2: a verdict per run
+@query("activity_run_verdict")
+def q_activity_run_verdict(spark, sf):
+    return reconcile.run_verdicts(_activities(spark, sf), _listed(spark, sf), ["run_id"], MAX_MISMATCH,
+                                  META_ACTIVITY, ["activity_seq", "activity_id"])
+
+
+SQL["activity_run_verdict"] = W(f"""
+select coalesce(t.run_id, f.run_id) as run_id, cast(0 as bigint) as n_malformed,
+       coalesce(t.n_bad, 0) as n_bad, t.last_files_written, coalesce(f.listed_files, 0) as listed_files,
+       coalesce(f.n_wrong, 0) as n_wrong_files,
+       case when t.run_id is null then 'NOT_REPORTED' when t.failed then 'MISMATCH'
+            when t.last_files_written is not null and t.last_files_written <> coalesce(f.listed_files, 0) then 'COUNT'
+            when coalesce(f.n_wrong, 0) > 0 then 'SIZE' else 'OK' end as verdict
+from totals t full outer join (
+  select run_id, cast(sum(n_tgt) as bigint) as listed_files,
+         count(*) filter (where n_src > 0 and status <> 'MATCH') as n_wrong
+  from cmp group by run_id) f on t.run_id = f.run_id""", "activity_run", "manifest_sent", "ctl_listing", extra={
+    "a": _ACT_SQL, "totals": _COPY_TOTALS_SQL, "listed": _LISTED_SQL,
+    "last_meta": f"""
+select run_id, item as file_nm,
+       arg_max(sz, struct_pack(s := activity_seq, i := activity_id, z := sz)) as file_size
+from a where t = 'GetMetadata' and nm = '{META_ACTIVITY}' and item is not null
+group by run_id, item""",
+    "cmp": _compare_sql("last_meta", "listed", ["run_id", "file_nm"])})
+
+
+# ===================================================================== S4: dependencies of job documents
+@query("dependency_flatten")
+def q_dependency_flatten(spark, sf):
+    pending = F.struct(
+        F.lit("TABLE").alias("pndng_type"), F.col("db_nm").alias("pndng_db"),
+        F.col("trgt_tbl_nm").alias("pndng_tbl"), F.col("job_nm").alias("pndng_job_nm"),
+        F.col("actv_flag").alias("alw_zero_rec_flag"), F.col("src_path").alias("script_chck_dpdc"))
+    docs = fx.job_config(spark, sf).select(F.to_json(F.struct(
+        F.concat(F.lit("after_"), F.col("job_nm")).alias("job_nm"),
+        F.when(F.col("hldy_type") != "NULL", F.array(pending)).alias("pndng_job"))).alias("doc"))
+    return flatten_dependency_text(docs, "doc")
+
+
+SQL["dependency_flatten"] = W("""
+select concat('after_', job_nm) as job_nm, 'TABLE' as pndng_type, db_nm as pndng_db, trgt_tbl_nm as pndng_tbl,
+       job_nm as pndng_job_nm, actv_flag as alw_zero_rec_flag, src_path as script_chck_dpdc
+from job_config where hldy_type <> 'NULL'""", "job_config")
+
+
+# ===================================================================== S1 + S5: a view, read by name
+@query("config_view_scan")
+def q_config_view_scan(spark, sf):
+    view = register_view(q_config_json_flatten(spark, sf), "cmmn_area")
+    out = scan(spark, view, F.col("job_type") == "export")
+    return out.withColumn("n_columns", F.lit(len(column_names(spark, view))))
+
+
+SQL["config_view_scan"] = W("""
+select db_nm as area_nm, 'export' as job_type, job_nm, cast(2 as bigint) as job_seq,
+       hldy_type as job_hldy_flag, 5 as n_columns
+from job_config where actv_flag is not null and expt_data_type = 'cosmos_db'""", "job_config")
+
+
+# ===================================================================== D2, D4, D7: ledgers without tenant
+def _dsr_log(spark, sf):
+    return fx.job_log(spark, sf).drop("monoline")
+
+
+@query("dsr_append")
+def q_dsr_append(spark, sf):
+    rows = _new_runs(spark, sf).withColumn(
+        "rmrk", F.when(F.col("rmrk") != "", F.concat(F.lit("it's '"), F.col("rmrk"), F.lit("'"))))
+    return ledger.append_rows(_dsr_log(spark, sf), rows, swap_quotes=True)
+
+
+SQL["dsr_append"] = W("""
+select log_no, job_nm, dl_data_dt, job_sts, rmrk from job_log
+union all
+select event_id + 1000000000, concat(event_type, '_', cast(user_id as string)), cast(cast(ts as date) as string),
+       'RUNNING', case when event_id % 3 <> 0 then concat('it"s "', event_type, '"') end
+from events""", "job_log")
+
+
+@query("dsr_update")
+def q_dsr_update(spark, sf):
+    return ledger.update_rows(_dsr_log(spark, sf), F.expr(_UPDATE_PRED),
+                              {"job_sts": ledger.STS_SUCCESS, "rmrk": F.expr(_UPDATE_RMRK)})
+
+
+_DSR_HIT = f"coalesce({_UPDATE_PRED}, false)"
+SQL["dsr_update"] = W(f"""
+select log_no, job_nm, dl_data_dt, case when {_DSR_HIT} then 'SUCCESS' else job_sts end as job_sts,
+       case when {_DSR_HIT} then ({_UPDATE_RMRK}) else rmrk end as rmrk
+from job_log""", "job_log")

@@ -20,6 +20,9 @@ from runledger.sources.tables import read_table
 # session and data folder and the (lazy) DataFrame is reused: every query
 # still runs its whole plan over the files; only building the plan in Python
 # is saved.  Nothing is cached in memory.
+# The driver's tables are one row group each, so one task would parse them all.
+SPREAD = 8
+
 _DEFINED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
@@ -63,7 +66,7 @@ def job_log_of(o: DataFrame) -> DataFrame:
         ok.alias("log_no"),
         _job_name(ck).alias("job_nm"),
         _date_text(F.col("o_orderdate")).alias("dl_data_dt"),
-        F.when(ck % 2 == 0, "MONO_A").otherwise("MONO_B").alias("monoline"),
+        F.when(ok % 3 == 0, "MONO_A").otherwise("MONO_B").alias("monoline"),
         F.when(ok % 50 == 0, F.lit(None).cast("string"))
         .when(F.col("o_orderstatus") == "F", "SUCCESS")
         .when(F.col("o_orderstatus") == "O", "RUNNING")
@@ -159,12 +162,22 @@ def manifest_recv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_once
+def ctl_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control files: one beside the data file of each fourth run."""
+    o = read_table(spark, sf_dir, "orders")
+    ok = F.col("o_orderkey")
+    return o.where(ok % 4 == 1).select(
+        ok.alias("run_id"), F.concat(F.lit("c_"), ok.cast("string"), F.lit(".ctl")).alias("file_nm"),
+        F.lit(64).cast("bigint").alias("file_size"))
+
+
 @_once
 def activity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     # JSON text is built and parsed per row: spread a scan that has too few
     # splits, hashed on the row's identity (unique), so one hot run cannot
     # land in one task.
-    li = read_table(spark, sf_dir, "lineitem", spread_by=["l_orderkey", "l_linenumber"])
+    li = read_table(spark, sf_dir, "lineitem", spread_by=["l_orderkey", "l_linenumber"], spread=SPREAD)
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
     price = F.floor("l_extendedprice").cast("bigint")
     qty = F.col("l_quantity").cast("bigint")
@@ -239,7 +252,7 @@ SQL = {
 select o_orderkey as log_no,
        concat({_PREFIX_SQL.format(k='o_custkey')}, '_', cast(o_custkey as string)) as job_nm,
        cast(cast(o_orderdate as date) as string) as dl_data_dt,
-       case when o_custkey % 2 = 0 then 'MONO_A' else 'MONO_B' end as monoline,
+       case when o_orderkey % 3 = 0 then 'MONO_A' else 'MONO_B' end as monoline,
        case when o_orderkey % 50 = 0 then null
             when o_orderstatus = 'F' then 'SUCCESS'
             when o_orderstatus = 'O' then 'RUNNING'
@@ -276,6 +289,10 @@ select o_custkey as batch_id,
        concat(case when o_orderkey % 77 = 0 then 'x_' else 'f_' end, cast(o_orderkey as string), '.dat') as file_nm,
        cast(floor(o_totalprice) as bigint) + case when o_orderkey % 33 = 0 then 1 else 0 end as file_size
 from orders where o_orderkey % 20 <> 0""",
+    "ctl_listing": """
+select o_orderkey as run_id, concat('c_', cast(o_orderkey as string), '.ctl') as file_nm,
+       cast(64 as bigint) as file_size
+from orders where o_orderkey % 4 = 1""",
     "activity_run": """
 select l_orderkey as run_id, l_linenumber as activity_seq, l_partkey as activity_id,
        case when l_returnflag = 'N' then
@@ -313,6 +330,7 @@ BUILDERS = {
     "hldy": hldy,
     "manifest_sent": manifest_sent,
     "manifest_recv": manifest_recv,
+    "ctl_listing": ctl_listing,
     "activity_run": activity_run,
     "ctl_line": ctl_line,
     "dt_text": dt_text,

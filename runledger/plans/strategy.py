@@ -4,8 +4,7 @@ Broadcasting is only ever done behind a size check.  Two forms:
 
 * ``bounded_broadcast``: for a side that is small by nature (holiday
   calendar, per-job configuration aggregate, job registry, key lists), count
-  at most ``max_rows + 1`` rows of it or of the inputs that bound it;
-  broadcast when within the bound, otherwise return the DataFrame unchanged
+  and size it or the inputs that bound it; broadcast when within the bound, otherwise return the DataFrame unchanged
   so Spark plans a shuffle join.  The large side (the run ledger) is then
   never shuffled for a lookup.
 * sides derived from the large tables themselves (keys computed from runs)
@@ -52,48 +51,35 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
     """Broadcast ``df`` only when it provably has at most ``max_rows`` rows
     and ``max_bytes`` bytes of data.
 
-    The proof is one pass that stops after ``max_rows + 1`` rows, counting
-    rows and summing their byte sizes, either over ``df`` itself or, with
-    ``bound_by``, over inputs that bound it (an aggregate has no more rows,
-    and no more bytes of its input columns, than its input), which avoids
-    computing ``df`` twice.  ``bound_columns`` names the input columns the
-    side's values come from; only those are summed (plus fixed-width
-    counters), which keeps the check from reading unrelated columns.
-    Otherwise ``df`` is returned unhinted and Spark plans a shuffle join.
+    The proof is one aggregate (each task sends one row) that counts rows and
+    sums their byte sizes, either over ``df`` itself or, with ``bound_by``,
+    over inputs that bound it (an aggregate has no more rows, and no more bytes
+    of its input columns, than its input), which avoids computing ``df`` twice.
+    Only the columns that the side's values come from are read:
+    ``bound_columns``, or else those that ``df`` has.  Otherwise ``df`` is
+    returned unhinted and Spark plans a shuffle join.
     """
     sources = [df] if bound_by is None else list(bound_by)
+    wanted = df.columns if bound_columns is None else bound_columns
     rows = size = 0
     for src in sources:
-        measured = src
-        if bound_columns is not None:
-            keep = [c for c in bound_columns if c in src.columns]
-            measured = src.select(*keep) if keep else src
+        keep = [c for c in wanted if c in src.columns]
+        measured = src.select(*keep) if keep else src
         extra = 8 * len(df.columns)  # fixed-width room for counters and tags
-        r = measured.limit(max_rows + 1 - rows).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(_row_bytes(measured) + F.lit(extra)).alias("b")).collect()[0]
+        r = measured.agg(F.count(F.lit(1)).alias("n"),
+                         F.sum(_row_bytes(measured) + F.lit(extra)).alias("b")).collect()[0]
         rows += r.n
         size += r.b or 0
-        if rows > max_rows or size > max_bytes:
-            return df
-    return F.broadcast(df)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
-def ensure_parallelism(df: DataFrame, keys: Sequence[str] = (),
-                       min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
+def ensure_parallelism(df: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
+    """Spread rows over ``partitions`` tasks by a hash of ``keys``.
 
-    A large input already splits into many scan tasks, and then this is a
-    no-op; it only matters for small files written as one row group, where
-    CPU-heavy per-row work (JSON parsing, encoding) would otherwise run in a
-    single task.  ``keys`` should identify rows (unique or nearly so): hashing
-    on them spreads evenly whatever the data, without the sort a round-robin
-    repartition needs to stay deterministic on retry.  Never pass a grouping
-    key here: a hot group would land in one task.  Without keys the spread
-    is round robin.
+    For CPU-heavy work per row (JSON parsing, encoding) over a small file that
+    Spark reads as one split.  It is a full shuffle and its caller asks for it;
+    nothing is decided from the cluster's size.  ``keys`` should identify rows
+    (unique or nearly so), never a grouping key: a hot group would land in one
+    task.
     """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    return df.repartition(partitions, *keys)

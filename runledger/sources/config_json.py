@@ -69,6 +69,21 @@ def flatten_area_text(df: DataFrame, text_col: str = "doc") -> DataFrame:
     return jobs.select("area_nm", "j.job_type", "j.job_nm", "j.job_seq", "j.job_hldy_flag")
 
 
+def flatten_dependency_text(df: DataFrame, text_col: str = "doc") -> DataFrame:
+    """S2 + S4 over a text column of dependency documents already in a table."""
+    top = df.select(F.json_tuple(F.col(text_col), "job_nm", "pndng_job").alias("job_nm", "_pending"))
+    jobs = top.select("job_nm", F.explode(F.from_json("_pending", T.ArrayType(PENDING_JOB))).alias("p"))
+    return jobs.select("job_nm", "p.pndng_type", "p.pndng_db", "p.pndng_tbl", "p.pndng_job_nm",
+                       "p.alw_zero_rec_flag", "p.script_chck_dpdc")
+
+
+def register_view(df: DataFrame, name: str) -> str:
+    """``json_<name>`` for a flattened configuration; the view's name."""
+    view = f"json_{name}"
+    df.createOrReplaceTempView(view)
+    return view
+
+
 def create_config_views(spark: SparkSession, root: str, names=CONFIG_NAMES) -> dict[str, str]:
     """Register ``json_<name>`` for each configuration folder under root.
 
@@ -85,7 +100,7 @@ def create_config_views(spark: SparkSession, root: str, names=CONFIG_NAMES) -> d
                 df = flatten_dependency(read_config_json(spark, glob, DEPENDENCY_SCHEMA))
             else:
                 df = read_config_json(spark, glob)
-            df.createOrReplaceTempView(f"json_{name}")
+            register_view(df, name)
             status[name] = "created"
         except Exception as e:  # noqa: BLE001 - a missing folder only warns
             if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):

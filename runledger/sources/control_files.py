@@ -70,10 +70,16 @@ def control_counts_of_lines(df: DataFrame, line_col: str, spec: ControlSpec = Co
                      cnt.isNotNull().alias("is_valid"))
 
 
+def _plain_path(path: Column) -> Column:
+    """The path as it was given: the metadata column holds it URL-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_control_files(spark: SparkSession, glob: str, spec: ControlSpec = ControlSpec()) -> DataFrame:
     """S6 over files: one row per file with its count (NULL when not an integer)."""
     files = spark.read.text(glob, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value"))
-    lines = F.split(F.col("value"), r"\r?\n")
+        _plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
+    # blank lines are skipped, as the CSV reader does
+    lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda x: F.trim(x) != "")
     data_line = F.get(lines, F.lit(1 if spec.header else 0))
     return control_counts_of_lines(files.withColumn("line", data_line), "line", spec, keep=("path",))

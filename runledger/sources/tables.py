@@ -20,15 +20,15 @@ BASE_TABLES = (
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               spread_by: Sequence[str] | None = None) -> DataFrame:
+               spread_by: Sequence[str] | None = None, spread: int | None = None) -> DataFrame:
     """One of the driver's parquet tables.
 
-    ``spread_by`` (for CPU-heavy per-row work) spreads a scan that yields too
-    few partitions, hashed on those row-identity columns (round robin when
-    empty); a no-op for inputs that already split into many tasks.
+    With ``spread`` the rows are dealt into that many partitions by a hash of
+    the row-identity columns ``spread_by``: for CPU-heavy work over a small
+    file that is read as one split.  Off unless asked for.
     """
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df if spread_by is None else ensure_parallelism(df, spread_by)
+    return df if spread is None else ensure_parallelism(df, spread_by or [], spread)
 
 
 def scan(spark: SparkSession, name: str, where: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from runledger.operators import markers
 def _keys(spark, runs):
     """runs: (zone, job_nm, dl_data_dt, title_nm) -> invalidation keys."""
     df = spark.createDataFrame(runs, "zone string, job_nm string, dl_data_dt string, title_nm string")
-    return markers.invalidation_keys(df.withColumn("route_error", F.lit(None).cast("string")))
+    return markers.invalidation_keys(df.withColumn("route_error", F.lit(None).cast("string")), F.lit("T"))
 
 
 def _brute(marker_rows, runs):
@@ -49,7 +49,8 @@ CASES_RUNS = [
 
 
 def test_stale_markers_equal_brute_force(spark):
-    m = spark.createDataFrame(CASES_MARKERS, "zone string, folder_dt string, file_nm string")
+    m = spark.createDataFrame(CASES_MARKERS, "zone string, folder_dt string, file_nm string"
+                              ).withColumn("tenant", F.lit("T"))
     got = {tuple(r) for r in markers.stale_markers(m, _keys(spark, CASES_RUNS))
            .select("zone", "folder_dt", "file_nm").collect()}
     assert got == _brute(CASES_MARKERS, CASES_RUNS)
@@ -60,7 +61,7 @@ def test_stale_markers_equal_brute_force(spark):
 
 def test_title_only_key_matches_suffix_title(spark):
     m = spark.createDataFrame([("ingt", "20240102", "x.tbl.pi_1.20240102.t.success")],
-                              "zone string, folder_dt string, file_nm string")
+                              "zone string, folder_dt string, file_nm string").withColumn("tenant", F.lit("T"))
     keys = _keys(spark, [("ingt", "pi_1", "2024-01-02", "tbl")])
     assert markers.stale_markers(m, keys).count() == 1
 
@@ -80,7 +81,7 @@ def test_stale_markers_random_against_brute_force(spark):
         name = f"{rnd.choice(titles).lower()}.{rnd.choice(jobs)}.{d}.{ts}.success"
         mk.append((rnd.choice(["ingt", "curated"]), d, name))
     mk = sorted(set(mk))
-    m = spark.createDataFrame(mk, "zone string, folder_dt string, file_nm string")
+    m = spark.createDataFrame(mk, "zone string, folder_dt string, file_nm string").withColumn("tenant", F.lit("T"))
     got = {tuple(r) for r in markers.stale_markers(m, _keys(spark, runs))
            .select("zone", "folder_dt", "file_nm").collect()}
     assert got == _brute(mk, runs)
@@ -154,15 +155,33 @@ def test_marker_table_append_and_stale_removal(spark):
         ("pi_1", "2024-01-02", "SUCCESS", "ingt", "Tbl", "m"),
         ("pi_2", "2024-01-02", "SUCCESS", "ingt", "Tbl", "m"),
         ("pi_3", "2024-01-03", "SUCCESS", "ingt", "Tbl", "m"),
+        ("pi_1", "2024-01-02", "SUCCESS", "ingt", "Tbl", "other"),
     ], "job_nm string, dl_data_dt string, job_sts string, zone string, title_nm string, monoline string")
     markers.write_markers(spark, name, markers.success_markers(routed, "/r", F.lit("TS"), F.col("monoline")))
-    assert spark.table(name).count() == 3
-    # A new run of pi_1 on 2024-01-02 invalidates its marker only; pi_3's
-    # folder is not touched at all, and pi_3's whole folder would be emptied.
+    assert spark.table(name).count() == 4
+    # A new run of pi_1 on 2024-01-02 invalidates its own tenant's marker only;
+    # pi_3's folder is emptied and dropped.
     new = spark.createDataFrame([("pi_1", "2024-01-02", "ingt", "Tbl", None), ("pi_3", "2024-01-03", "ingt", "", None)],
                                 "job_nm string, dl_data_dt string, zone string, title_nm string, route_error string")
-    markers.remove_stale_markers(spark, name, markers.invalidation_keys(new))
-    assert sorted(r.job_nm for r in spark.table(name).collect()) == ["pi_2"]
+    markers.remove_stale_markers(spark, name, markers.invalidation_keys(new, F.lit("m")))
+    assert sorted((r.tenant, r.job_nm) for r in spark.table(name).collect()) == [("m", "pi_2"), ("other", "pi_1")]
     parts = [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-    assert parts == ["zone=ingt/folder_dt=20240102"]
+    assert sorted(parts) == ["tenant=m/zone=ingt/folder_dt=20240102", "tenant=other/zone=ingt/folder_dt=20240102"]
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_one_marker_for_several_runs_of_an_update(spark):
+    routed = spark.createDataFrame([("pi_1", "2024-01-02", "RUNNING", "ingt", "Tbl")] * 2,
+                                   "job_nm string, dl_data_dt string, job_sts string, zone string, title_nm string")
+    out = markers.markers_after_update(routed, F.lit(True), {"job_sts": "SUCCESS"}, "/r", F.lit("TS"), F.lit("m"))
+    assert out.count() == 1
+
+
+def test_ciphertext_is_one_line_and_rewrap_keeps_damage_local(spark):
+    old, new = secrets.token_bytes(32), secrets.token_bytes(32)
+    df = spark.createDataFrame([("x" * 500,), ("short",), (None,)], "v string")
+    enc = encrypt_columns(df, ["v"], old)
+    assert not any("\n" in r.v or "\r" in r.v for r in enc.collect() if r.v)
+    broken = enc.unionByName(spark.createDataFrame([("AAAA",)], "v string"))
+    out = decrypt_columns(rewrap_columns(broken, ["v"], old, new), ["v"], new)
+    assert sorted((r.v or "") for r in out.collect()) == ["", "", "short", "x" * 500]

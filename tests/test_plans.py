@@ -55,8 +55,10 @@ def test_activity_documents_parsed_once_after_spread(spark, sf, capsys):
 
 def test_listing_compare_is_one_to_one(spark, sf, capsys):
     p = plan(catalog.Q["manifest_compare"](spark, sf), capsys)
-    # each side is aggregated per key before the full outer join
-    assert tree(p).count("HashAggregate") >= 4 and "FullOuter" in p
+    # both listings in one aggregate: a partial and a final step, one shuffle, no join
+    assert tree(p).count("HashAggregate") == 2 and "Join" not in p and tree(p).count("Exchange") == 1
+    p = plan(catalog.Q["manifest_totals"](spark, sf), capsys)
+    assert tree(p).count("Exchange") == 1 and "Join" not in p
 
 
 def test_stale_markers_join_has_equi_keys(spark, sf, capsys):
@@ -96,3 +98,30 @@ def test_area_documents_parsed_once(spark, sf, capsys):
     p = plan(catalog.Q["config_json_flatten"](spark, sf), capsys, "extended")
     phys = p.split("== Physical Plan ==")[1]
     assert phys.count("json_tuple(") == 1 and phys.count("from_json(") == 1
+
+
+def test_no_single_task_count_before_a_broadcast(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from runledger.plans import strategy
+
+    seen = []
+    df = spark.range(1000).select(F.col("id"), F.col("id").cast("string").alias("wide"))
+
+    class Spy(type(df)):
+        def agg(self, *cols):
+            out = super().agg(*cols)
+            out.explain()
+            seen.append(capsys.readouterr().out)
+            return out
+
+    df.__class__ = Spy
+    strategy.bounded_broadcast(df.select("id"), 10, bound_by=[df])
+    strategy.bounded_broadcast(df, 10)
+    assert all("GlobalLimit" not in s and "LocalLimit" not in s for s in seen)
+
+
+def test_routing_scans_each_config_table_once(spark, sf, capsys):
+    p = plan(catalog.Q["route_jobs"](spark, sf), capsys)
+    # customer twice (the fixture's union), the ledger once
+    assert tree(p).count("Scan parquet") == 3

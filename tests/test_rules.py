@@ -272,7 +272,7 @@ def test_compare_listings_statuses(spark):
                                 "file_nm string, file_size long")
     got = dict(rows(reconcile.compare_listings(src, tgt, ["file_nm"]), "file_nm", "status"))
     assert got == {"a": "MATCH", "b": "SIZE_MISMATCH", "c": "MISSING_IN_TARGET", "d": "DUPLICATE",
-                   "e": "MATCH", "z": "MISSING_IN_SOURCE"}
+                   "e": "DUPLICATE", "z": "MISSING_IN_SOURCE"}
 
 
 def test_union_listings_and_totals(spark):
@@ -327,3 +327,43 @@ def test_base64_one_line_and_roundtrip(spark):
     import base64
     assert r.b == base64.b64encode(text.encode("utf-8")).decode()
     assert r.d == text
+
+
+def test_json_is_read_as_a_whole(spark):
+    from runledger.functions.columns import container_name, is_json_object
+
+    cases = {'{"trgt_container_nm":"a"}': ("a", True), ' {"trgt_container_nm":"a"} ': ("a", True),
+             '{"trgt_container_nm":"a"} junk': (None, False), '{"trgt_container_nm":"a"': (None, False),
+             '{"trgt_container_nm":"a"}{"b":1}': (None, False), '{"trgt_container_nm":"a"}, {}': (None, False),
+             '{"trgt_container_nm":"a"}]': (None, False), '{"trgt_container_nm":"a","trgt_container_nm":"b"}': ("b", True),
+             '["a"]': (None, False), "not json": (None, False), "": (None, False), "{}": (None, True)}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "d string")
+    got = {r.d: (r.c, r.ok) for r in df.select("d", container_name("d").alias("c"), is_json_object("d").alias("ok")).collect()}
+    assert got == {**cases, None: (None, False)}
+
+
+def test_malformed_report_fails_its_run(spark):
+    docs = [(1, 1, '{"activityType":"Copy","output":{"filesRead":1,"filesWritten":1,"dataRead":5,"dataWritten":5}}'),
+            (2, 1, '{"activityType":"Copy","output":{"filesRead":1,"filesWritten":1,"dataRead":5,"dataWri'),
+            (3, 1, '{"activityType":"Copy","output":{"filesRead":2,"filesWritten":1,"dataRead":5,"dataWritten":5}}'),
+            (4, 1, '{"activityType":"Copy","output":{"filesRead":2,"filesWritten":2,"dataRead":5,"dataWritten":5}}'),
+            (5, 1, '{"activityType":"GetMetadata","activityName":"Get File","output":{"itemName":"f5","size":7}}')]
+    acts = reconcile.parse_activities(spark.createDataFrame(docs, "run_id long, seq long, doc string"))
+    listed = spark.createDataFrame([(1, "f1", 5), (4, "f4", 5), (5, "f5", 8), (6, "f6", 1)],
+                                   "run_id long, file_nm string, file_size long")
+    got = {r.run_id: r.verdict for r in reconcile.run_verdicts(acts, listed, ["run_id"], 0, "Get File", ["seq"]).collect()}
+    assert got == {1: "OK", 2: "MALFORMED", 3: "MISMATCH", 4: "COUNT", 5: "SIZE", 6: "NOT_REPORTED"}
+
+
+def test_malformed_date_does_not_end_the_job(spark):
+    df = spark.createDataFrame([("2024-01-06",), ("20240106x",), (None,)], "d string")
+    cal = spark.createDataFrame([("2024-01-01",)], "dt_en string")
+    got = {r.d: (r.is_date, r.w) for r in calendar.holiday_flags(df, "d", cal, {"w": F.lit("WEEKEND")}).collect()}
+    assert got == {"2024-01-06": (True, True), "20240106x": (False, None), None: (False, None)}
+
+
+def test_all_violations_are_reported(spark):
+    df = spark.createDataFrame([(f"bad{i}",) for i in range(30)], "c string")
+    with pytest.raises(ValueError) as e:
+        quality.assert_clean(quality.value_violations(df, {"c": ["GOOD"]}))
+    assert len(e.value.args[1]) == 30

@@ -99,9 +99,8 @@ def test_dsr_layout_without_tenant(spark):
     rows = spark.createDataFrame([("1", "RUNNING", "2024-01-01", "pi_1"), ("2", "RUNNING", "2024-01-02", "pi_1")],
                                  "log_no string, job_sts string, dl_data_dt string, job_nm string")
     ledger.write_append(spark, name, rows)
-    ledger.write_update(spark, name, F.col("log_no") == "1", {"job_sts": "SUCCESS"},
-                        partitions=ledger.DSR_PARTITIONS)
-    ledger.write_delete(spark, name, F.col("log_no") == "2", partitions=ledger.DSR_PARTITIONS)
+    ledger.write_update(spark, name, F.col("log_no") == "1", {"job_sts": "SUCCESS"})
+    ledger.write_delete(spark, name, F.col("log_no") == "2")
     got = [tuple(r) for r in spark.table(name).select("log_no", "job_sts", "dl_data_dt", "job_nm").collect()]
     assert got == [("1", "SUCCESS", "2024-01-01", "pi_1")]
     assert len(spark.sql(f"SHOW PARTITIONS {name}").collect()) == 1
@@ -109,7 +108,7 @@ def test_dsr_layout_without_tenant(spark):
 
 
 def test_delete_many_emptied_partitions_in_batches(spark, monkeypatch):
-    monkeypatch.setattr(ledger, "DROP_BATCH", 2)
+    monkeypatch.setattr(ledger, "PARTITION_BATCH", 2)
     name = f"many_{uuid.uuid4().hex[:8]}"
     ledger.create_ledger(spark, name, SCHEMA)
     rows = spark.createDataFrame([(str(i), "X", "r", "M", f"2024-01-0{i}", "j") for i in range(1, 6)], SCHEMA)
@@ -118,3 +117,54 @@ def test_delete_many_emptied_partitions_in_batches(spark, monkeypatch):
     assert [r.log_no for r in spark.table(name).collect()] == ["1"]
     assert len(spark.sql(f"SHOW PARTITIONS {name}").collect()) == 1
     spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("parts", [(), ("dl_data_dt",), ("dl_data_dt", "job_nm")])
+def test_no_row_is_lost_whatever_the_layout(spark, parts):
+    """The whole table before and after, for every layout, NULL partitions too."""
+    name = f"layout_{uuid.uuid4().hex[:8]}"
+    rows = [("1", "RUNNING", "2024-01-01", "j"), ("2", "RUNNING", None, "j"), ("3", "DONE", "2024-01-01", "k"),
+            ("4", "DONE", "2024-01-02", "j"), ("5", "DONE", None, None), ("6", "RUNNING", "2024-01-02", None)]
+    df = spark.createDataFrame(rows, "log_no string, job_sts string, dl_data_dt string, job_nm string")
+    df.write.format("parquet").partitionBy(*parts).saveAsTable(name)
+
+    def table():
+        return sorted(tuple(r) for r in spark.table(name).select("log_no", "job_sts", "dl_data_dt", "job_nm").collect())
+
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        ledger.write_update(spark, name, F.col("log_no").isin("1", "2"), {"job_sts": "FAILED"})
+        assert table() == [(a, "FAILED" if a in "12" else b, c, d) for a, b, c, d in rows]
+        ledger.write_delete(spark, name, F.col("job_nm") == "j")
+        assert table() == [r for r in rows if r[3] != "j"]
+        assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_rewrite_scans_named_partitions_only(spark, table, capsys):
+    seen = []
+
+    def change(df):
+        df.explain("formatted")
+        seen.append(capsys.readouterr().out)
+        return df
+
+    keys = spark.createDataFrame([("MONO_A", "2024-01-02", "pi_1")], "monoline string, dl_data_dt string, job_nm string")
+    for touched in (F.col("log_no") == "3", keys):        # a data column, and a table of keys
+        ledger.rewrite_partitions(spark, table, touched, change)
+    for plan in seen:
+        scan = plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "2024-01-02" in scan and "pi_1" in scan and "Join" not in plan
+
+
+def test_append_writes_few_files_per_partition(spark, table):
+    rows = spark.range(200, numPartitions=20).select(
+        F.col("id").cast("string").alias("log_no"), F.lit("2024-02-01").alias("dl_data_dt"),
+        F.concat(F.lit("j"), (F.col("id") % 5).cast("string")).alias("job_nm"))
+    ledger.write_append(spark, table, rows, ledger.tenant_defaults("mono_a"))
+    files = spark.table(table).where("dl_data_dt = '2024-02-01'").select(
+        "job_nm", F.input_file_name().alias("f")).distinct().groupBy("job_nm").count().collect()
+    assert len(files) == 5 and max(r["count"] for r in files) <= 2
