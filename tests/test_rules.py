@@ -3,6 +3,7 @@ from the rules in SURVEY §2.8-2.12."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
