@@ -164,8 +164,8 @@ def learn(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) ->
               .where(~held_out()))
     n = marked.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 20))
-    # at most about max_rows rows: small enough for a few tasks, kept as a table
-    rows = written(stats.join(marked.where(share), "doc_id").coalesce(4), "labelled")
+    # at most about max_rows rows: picked by all tasks, then few enough for a few
+    rows = written(stats.where(share).join(marked.where(share), "doc_id"), "labelled").coalesce(4)
     total, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     ones = ones or 0
     if not 0 < ones < total:
