@@ -266,13 +266,19 @@ def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, bar: float = SIMILARITY, carry: list[str] | None = None) -> DataFrame:
     """``rec``, group_id (the smallest doc_id of the group) and kept (one row of
     each group)."""
-    found = written(sketch(docs, carry), "sketched")
+    found = sketch(docs, carry)
+    if "text" in found.schema["rec"].dataType.names:         # once is enough
+        found = found.drop("text")
+        text = "rec.text"
+    else:
+        text = "text"
+    found = written(found, "sketched")
     classes = written(
         found.groupBy("a", "b").agg(
             F.min(F.struct(F.col("rec.doc_id").isNull(), "rec.doc_id", "row")).alias("first"),
             F.min("row").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")),
         "classes")
-    texts = found.select(F.col("row").alias("node"), "text")
+    texts = found.select(F.col("row").alias("node"), F.col(text).alias("text"))
     star = link(classes.select("node", "n", "keys"), texts, bar)
     label = classes.select("a", "b", "first", "node").join(
         star.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left"
