@@ -16,12 +16,16 @@ digest and pre-aggregated in every task.  Classes are linked in rounds, each of
 a size in proportion to the buckets:
 
 1. every class of a bucket with the bucket's smallest class;
-2. in buckets that still hold several components, with another member;
+2. in buckets that still hold several components, with the member that has the
+   fewest k-mers of its own;
 3. there, every class outside the bucket's largest component with all classes
    of other components, so no link between components is left unseen.
 
 Classes that are connected already are not compared again: their component
-would not change.
+would not change.  Before rounds 2 and 3 the k-mers of the classes still open
+are counted: one that shares too few of them with all the others together
+cannot be similar to any, so copies with many edits, or texts that share a
+passage only, are not compared pair by pair.
 
 Defined cases: a document of fewer than five words has all of them as its one
 k-mer; texts without words are equal if their characters are; a null text is
@@ -227,6 +231,36 @@ def _fits(n, other, bar: float):
     return F.least(n, other) >= F.lit(bar) * F.greatest(n, other)
 
 
+def _mixed(members: DataFrame, star: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their label
+    and the bucket's largest component, main."""
+    of = star.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    m = members.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    split = (per.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"),
+                                    F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+    return m.join(split.select("key", "main"), "key")
+
+
+def shared_kmers(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, s): how many of its labelled k-mers a node shares with others of
+    the nodes.  No two of them can match more than the smaller s."""
+
+    def run(batches):
+        for b in batches:
+            kmers = [_kmers(t.as_py()) for t in b.column(1)]
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(k) for k in kmers])
+            kmer = np.concatenate(kmers) if kmers else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(kmer.view(np.int64))],
+                                             ["node", "kmer"])
+
+    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(
+        run, "node long, kmer long")
+    several = (rows.groupBy("kmer").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+               .where("lo < hi").select("kmer"))
+    return rows.join(several, "kmer", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+
+
 def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
     """(u, v): each class that is similar to others, with its component."""
     members = _members(classes)
@@ -236,21 +270,22 @@ def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
                     .where(_fits(F.col("n"), F.col("center_n"), bar))
                     .select(F.col("node").alias("u"), F.col("center").alias("v")).distinct(), "pairs")
     star = components(written(verify(tried, texts, bar), "links"))
+    # Similar texts match at least this share of their k-mers, so a class that
+    # shares fewer with all the others together is similar to none of them.
+    need = bar / (1 + bar)
+    open_ = written(_mixed(members.select("key", "node", "n"), star).drop("label", "main"), "open")
+    s = shared_kmers(texts, open_.select("node").distinct())
+    open_ = written(open_.join(s, "node").where(F.col("s") >= F.lit(bar) * F.col("n")), "open")
     for step in (2, 3):
-        of = star.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        m = members.select("key", "node", "n").join(of, "node", "left").withColumn(
-            "label", F.coalesce("label", "node"))
-        per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-        split = (per.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"),
-                                        F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-        m = written(m.join(split.select("key", "main"), "key"), "mixed")
-        if step == 2:
-            other = m.groupBy("key").agg(F.min(F.struct(
-                F.xxhash64("node", "key").alias("h"), "node", "n", "label")).alias("o"))
+        m = written(_mixed(open_, star), "mixed")
+        if step == 2:                # the member with the fewest k-mers of its own
+            other = m.groupBy("key").agg(F.max(F.struct(
+                (F.col("s") / F.col("n")).alias("share"), "node", "n", "s", "label")).alias("o"))
         else:
-            other = m.where("label <> main").select("key", F.struct("node", "n", "label").alias("o"))
+            other = m.where("label <> main").select("key", F.struct("node", "n", "s", "label").alias("o"))
+        least = F.lit(need) * (F.col("n") + F.col("o.n"))
         pairs = (m.join(other, "key").where(F.col("label") != F.col("o.label"))
-                 .where(_fits(F.col("n"), F.col("o.n"), bar))
+                 .where((F.col("s") >= least) & (F.col("o.s") >= least))
                  .select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v"))
                  .distinct().join(tried, ["u", "v"], "left_anti"))
         pairs = written(pairs, "pairs")
