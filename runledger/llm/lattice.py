@@ -241,11 +241,12 @@ def compare(blocks: DataFrame, dtype, bar: float) -> DataFrame:
             return
         part = table.slice(a, b - a)
         owner = part.column(4).to_numpy(zero_copy_only=False)
-        if not owner.any():
-            return
+        block = part.column(5).to_numpy(zero_copy_only=False)
+        cross = part.column(1)[0].as_py() != part.column(2)[0].as_py()
+        if not owner.any() or cross and block.min() == block.max():
+            return                  # nothing to meet; or one of two blocks is empty
         got = _compare(int(part.column(0)[0].as_py()),
-                       part.column(3).to_numpy(zero_copy_only=False), owner,
-                       part.column(5).to_numpy(zero_copy_only=False),
+                       part.column(3).to_numpy(zero_copy_only=False), owner, block,
                        part.column(6).to_numpy(zero_copy_only=False),
                        part.column(7).to_pylist(), part.column(8).to_pylist(), dtype, bar)
         if len(got[0]):
