@@ -84,12 +84,19 @@ def run_status_stream(events: DataFrame, keys: Sequence[str] = ("job_nm",),
 
 def write_snapshot(status: DataFrame, path: str, checkpoint: str | None = None,
                    available_now: bool = True) -> StreamingQuery:
-    """Keep the latest complete result of a streaming aggregate at ``path``."""
+    """Keep the latest complete result of a streaming aggregate at ``path``.
+
+    Every batch is a folder of its own, which counts once its write has
+    succeeded (a repeated batch overwrites its own folder), so a reader never
+    meets half a snapshot.  The folder before it stays for readers that have
+    just opened it; older ones are removed."""
     spark = status.sparkSession
     checkpoint = checkpoint or stream_location(spark, "run-status")
 
     def _write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        for old in _snapshots(spark, path)[:-2]:
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     w = (
         status.writeStream.outputMode("complete")
@@ -106,11 +113,16 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def _snapshots(spark: SparkSession, path: str) -> list:
+    """The folders of complete batches, oldest first (as Hadoop paths)."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
+    return sorted((f.getPath().getParent() for f in found), key=lambda p: p.getName())
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The latest snapshot, or no rows when no batch has run yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001 - only a missing snapshot is expected
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    """The latest complete snapshot, or no rows when no batch has run yet."""
+    found = _snapshots(spark, path)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(found[-1].toString())
