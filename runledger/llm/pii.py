@@ -186,8 +186,8 @@ def inspect(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             data, offsets = utf8(b.column(1))
-            hit = np.concatenate(([0], np.cumsum(marks[data])))
-            some = hit[offsets[1:]] > hit[offsets[:-1]]
+            hit = np.searchsorted(np.flatnonzero(marks[data]), offsets)
+            some = hit[1:] > hit[:-1]
             base, found = [], []
             for k in range(b.num_rows):
                 x, y = _inspect(b.column(1)[k].as_py()) if some[k] else ([], [])
