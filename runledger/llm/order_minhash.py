@@ -215,7 +215,7 @@ def verify(pairs: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("right"))
     # a hot v is on the left, large side, which a skew join splits
-    both = pairs.join(left, "u").join(right.hint("merge"), "v").select("u", "v", "left", "right")
+    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "left", "right")
     return both.mapInArrow(run, "u long, v long")
 
 
@@ -265,7 +265,8 @@ def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
     """(u, v): each class that is similar to others, with its component."""
     members = _members(classes)
     nodes = members.select("node").distinct()
-    texts = written(texts.join(nodes, "node", "left_semi"), "texts")
+    # the same plan at every size: texts are dealt by node, nodes never broadcast
+    texts = written(texts.join(nodes.hint("merge"), "node", "left_semi"), "texts")
     tried = written(members.where(F.col("node") != F.col("center"))
                     .where(_fits(F.col("n"), F.col("center_n"), bar))
                     .select(F.col("node").alias("u"), F.col("center").alias("v")).distinct(), "pairs")
