@@ -40,7 +40,7 @@ ROUNDS = 3
 PATTERN_BAR = 0.75      # least confidence of a pattern that counts
 INSTANCE_BAR = 0.9      # least score of an instance that becomes known
 SUPPORT = 5             # known instances that a pattern needs
-LONGEST = 4             # tokens in a candidate
+MOST_DIGITS = 19        # digits that the rules allow in an identifier
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -143,10 +143,18 @@ def _runs(text: str):
 
 
 def _candidates(text: str, base):
-    """Strings of up to LONGEST tokens beside the base spans."""
+    """Strings of up to MOST_DIGITS digits beside the base spans."""
     for run in _runs(text):
+        digits = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in run]
         for i in range(len(run)):
-            for j in range(i, min(len(run), i + LONGEST)):
+            n = 0
+            for j in range(i, len(run)):
+                n += digits[j]
+                # each token that is joined has a digit, so a start has few ends
+                if n > MOST_DIGITS or not digits[j]:
+                    break
+                if n < 4:
+                    continue
                 start, end = run[i][0], run[j][1]
                 s = text[start:end]
                 start += len(s) - len(s.lstrip(_EDGE))

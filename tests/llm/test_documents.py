@@ -83,6 +83,27 @@ def test_bootstrapping_finds_joined_numbers(spark, docs_of):
     assert out[101].spans == ""
 
 
+def test_bootstrapping_finds_long_groupings(spark, docs_of):
+    rng = random.Random(4)
+    two = lambda: f"{rng.randint(10, 99)}"
+    french = lambda: f"+33 1 {two()} {two()} {two()} {two()}"
+
+    def card():
+        n = luhn("".join(rng.choice("0123456789") for _ in range(18)))
+        return " ".join([n[:4], n[4:8], n[8:12], n[12:16], n[16:]])
+
+    rows = [(i, f"{prose(i, 8)} {french()} {prose(i + 99, 5)} {card()} {prose(i, 4)}")
+            for i in range(40)]
+    p, q, c = french(), french(), card()
+    rows += [(100, f"stone market {p} 190.137.223.204 window"), (101, f"stone market {q} {c} window"),
+             (102, "9 " * 5000)]
+    out = {r.doc_id: r.spans for r in pii.find_spans(docs_of(rows), carry=["doc_id"]).select(
+        "rec.doc_id", pii.spelled("spans").alias("spans")).collect()}
+    assert out[100] == f"ip:31:46,phone:13:{13 + len(p)}"
+    at = 14 + len(q)
+    assert out[101] == f"card:{at}:{at + len(c)},phone:13:{13 + len(q)}"
+
+
 def test_redaction_and_odd_rows(docs_of, odd_rows):
     df = docs_of(odd_rows)
     out = pii.redact(pii.find_spans(df))
