@@ -4,8 +4,12 @@
    payment card, phone number) by rule.  They are the seeds.  Around them and
    around every other run of identifier-like tokens it notes the shape (digit
    runs with their lengths, letter runs as one letter) and the context: the
-   neighbouring word, or the neighbour's shape, on either side.
-2. Patterns are (shape, context) pairs, instances are the strings.  Spark
+   neighbouring word, or the neighbour's shape, on either side.  A candidate of
+   a kind need only have its loose form: a phone without "+", a card with any
+   separator, an e-mail or IP address with "[at]", "dot" and the like.
+2. Patterns are (shape, context) pairs, instances are the strings.  Words next
+   to an identifier are patterns of their own, whatever its shape, so unseen
+   shapes are reached; a word that goes with several kinds is not trusted.  Spark
    scores the bipartite graph in rounds: a pattern is trusted by the share of
    its instances that are known, damped for little support; an unseen instance
    by the patterns it stands in (noisy or).  Instances over the bar become
@@ -14,7 +18,9 @@
    kind's own check and overlap no base span.  Base spans always stay.
 
 So a card number that follows a phone number, which the rules join into one
-failing match, is found by its shape and what usually follows a card.
+failing match, is found by its shape and what usually follows a card, and a
+phone number without "+" by the words that usually stand before one.  What makes
+a value is kept in any form: a card's check digit, an address's four bytes.
 
 Defined cases: a null text is empty; repeated rows give a row each; a text
 without identifiers has no spans; an empty table gives no row; other columns
@@ -25,10 +31,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +59,19 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
 _TOKEN_END = re.compile(r"\s|\Z")
 _EDGE = ".,;:!?\"'"
+# Loose forms: what a candidate of a kind must look like, beside its value.
+_NUMBER = re.compile(r"[+(]*[0-9][0-9\x20()./_\u00B7\u2010-\u2015-]*")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-./_])[0-9]{1,2}\1[0-9]{1,2}"
+                   r"|[0-9]{1,2}([-./_])[0-9]{1,2}\2(?:19|20)[0-9]{2}")
+_GAP = r"[\t\n\r\x20]"
+_DOT = rf"(?:\.|{_GAP}?[\[({{<](?:dot|\.)[\])}}>]{_GAP}?|{_GAP}dot{_GAP})"
+_AT_DOMAIN = (rf"(?:{_GAP}?[\[({{<](?:at|@)[\])}}>]{_GAP}?|{_GAP}?@{_GAP}?|{_GAP}at{_GAP})"
+              rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_LOOSE_EMAIL = re.compile(_AT_DOMAIN, re.IGNORECASE)
+_LOOSE_IP = re.compile(rf"(?<![0-9])[0-9]++(?:{_DOT}[0-9]++){{3}}", re.IGNORECASE)
+_DOT_BEFORE = re.compile(rf"{_DOT}\Z", re.IGNORECASE)
+#: Texts without digits and "@" that may hold an e-mail address, for RE2.
+_SPELLED = rf"[A-Za-z0-9._%+-]{_AT_DOMAIN}"
 
 
 def _digits(s: str) -> str:
@@ -142,10 +163,65 @@ def _runs(text: str):
         yield run
 
 
+def _words(text: str, start: int, end: int) -> list[str]:
+    """The words next to a place, and the pairs of words, by side."""
+    left = [_neighbour(t) for t in text[max(0, start - 160) : start].split()[-2:]][::-1]
+    right = [_neighbour(t) for t in text[end : end + 160].lstrip(_EDGE).split()[:2]]
+    out = []
+    for side, near in (("left", left), ("right", right)):
+        if near and near[0] and near[0][0] != "<":
+            out.append(f"{side} near {near[0]}")
+            if len(near) > 1:
+                out.append(f"{side} pair {near[0]} {near[1]}")
+    return out
+
+
+def _spelled_emails(text: str):
+    """E-mail addresses by their loose form."""
+    last = 0
+    for m in _LOOSE_EMAIL.finditer(text):
+        start = at = m.start()
+        while True:
+            while start > last and text[start - 1] in _LOCAL:
+                start -= 1
+            dot = _DOT_BEFORE.search(text, max(last, start - 7), start)
+            if start == at or not dot or dot.start() == last or text[dot.start() - 1] not in _LOCAL:
+                break
+            at = start = dot.start()
+        if start < m.start():
+            yield start, m.end()
+        last = m.end()
+
+
+def _could(s: str) -> int:
+    """Kinds, as bits, that a string of digits and separators may be."""
+    phone = is_phone(s) and (s[:1] == "+" or bool(_NUMBER.fullmatch(s)) and not _DATE.fullmatch(s))
+    return 2 * is_ip(s) + 4 * is_card(s) + 8 * phone
+
+
 def _candidates(text: str, base):
-    """Strings of up to MOST_DIGITS digits beside the base spans."""
+    """(could, start, end, whole) of strings beside the base spans.  A string of
+    tokens has up to MOST_DIGITS digits; it is whole if no token could be added."""
+    ends = []
+    for _, a, b in sorted(base, key=lambda x: x[1:]):
+        if ends and a <= ends[-1][1]:
+            ends[-1][1] = max(ends[-1][1], b)
+        else:
+            ends.append([a, b])
+    starts, ends = [a for a, _ in ends], [b for _, b in ends]
+
+    def taken(start, end):
+        k = bisect_left(starts, end)
+        return k > 0 and ends[k - 1] > start
+
+    for start, end in _spelled_emails(text):
+        if not taken(start, end):
+            yield 1, start, end, True
+    for m in _LOOSE_IP.finditer(text):
+        if not taken(*m.span()) and is_ip(".".join(_DIGIT_RUN.findall(m.group()))):
+            yield 2, *m.span(), True
     for run in _runs(text):
-        digits = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in run]
+        digits = [0 if taken(a, b) else sum("0" <= c <= "9" for c in text[a:b]) for a, b in run]
         for i in range(len(run)):
             n = 0
             for j in range(i, len(run)):
@@ -160,28 +236,37 @@ def _candidates(text: str, base):
                 start += len(s) - len(s.lstrip(_EDGE))
                 end -= len(s) - len(s.rstrip(_EDGE))
                 s = text[start:end]
-                could = 2 * is_ip(s) + 4 * is_card(s) + 8 * (s[:1] == "+" and is_phone(s))
-                if could and not any(a < end and start < b for _, a, b in base):
-                    yield could, start, end, s
-
-
-_FOUND = "kind int, could int, start long, end long, value long, shape string, left string, right string"
+                # brackets around the whole, or one alone, are none of its own
+                if s[:1] == "(" and s.find(")") in (-1, len(s) - 1):
+                    start += 1
+                if s[-1:] == ")" and s.rfind("(") in (-1, 0):
+                    end -= 1
+                could = _could(text[start:end])
+                if could:
+                    yield could, start, end, (
+                        (i == 0 or not digits[i - 1]) and (j + 1 == len(run) or not digits[j + 1]))
+
+
+_FOUND = "kind int, could int, start long, end long, value long, shape string, left string, " \
+         "right string, words array<string>"
 _SPAN = "kind int, start long, end long"
 _FOUND_T = pa.struct([("kind", pa.int32()), ("could", pa.int32()), ("start", pa.int64()),
                       ("end", pa.int64()), ("value", pa.int64()), ("shape", pa.string()),
-                      ("left", pa.string()), ("right", pa.string())])
+                      ("left", pa.string()), ("right", pa.string()), ("words", pa.list_(pa.string()))])
 _SPAN_T = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _inspect(text: str):
     base = base_spans(text)
     found = []
-    rows = [(kind, 0, a, b, text[a:b]) for kind, a, b in base]
-    rows += [(-1, could, a, b, s) for could, a, b, s in _candidates(text, base)]
-    for kind, could, a, b, s in rows:
+    rows = [(kind, 0, a, b, True) for kind, a, b in base]
+    rows += [(-1, *x) for x in _candidates(text, base)]
+    for kind, could, a, b, whole in rows:
+        s = text[a:b]
         left, right = _around(text, a, b)
         found.append({"kind": kind, "could": could, "start": a, "end": b, "value": _key(s),
-                      "shape": shape(s)[:256], "left": left, "right": right})
+                      "shape": shape(s)[:256], "left": left, "right": right,
+                      "words": _words(text, a, b) if whole else []})
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], found
 
 
@@ -195,7 +280,8 @@ def inspect(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         for b in batches:
             data, offsets = utf8(b.column(1))
             hit = np.searchsorted(np.flatnonzero(marks[data]), offsets)
-            some = hit[1:] > hit[:-1]
+            spelled_out = pc.match_substring_regex(b.column(1), _SPELLED, ignore_case=True)
+            some = (hit[1:] > hit[:-1]) | spelled_out.fill_null(False).to_numpy(zero_copy_only=False)
             base, found = [], []
             for k in range(b.num_rows):
                 x, y = _inspect(b.column(1)[k].as_py()) if some[k] else ([], [])
@@ -221,16 +307,19 @@ def _graph(seen: DataFrame) -> DataFrame:
     """Distinct edges (shape, context, value) with the seed kind, or null.
 
     A side's context is the neighbour itself and its class (word, identifier
-    or edge of the text)."""
+    or edge of the text), with the shape; and its words, with any shape."""
     def kind_of(side):
         return F.when(F.col(side) == "^", "edge").when(F.col(side).startswith("<"), "identifier"
                                                        ).otherwise("word")
     contexts = F.array(
         F.concat(F.lit("left word "), "left"), F.concat(F.lit("right word "), "right"),
         F.concat(F.lit("left "), kind_of("left")), F.concat(F.lit("right "), kind_of("right")))
-    return (seen.select("shape", "value", "could",
-                        F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"),
-                        F.explode(contexts).alias("context"))
+    pairs = F.concat(
+        F.transform(contexts, lambda c: F.struct(F.col("shape").alias("shape"), c.alias("context"))),
+        F.transform("words", lambda c: F.struct(F.lit("").alias("shape"), c.alias("context"))))
+    return (seen.select("value", "could", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"),
+                        F.explode(pairs).alias("p"))
+            .select("p.shape", "p.context", "value", "could", "kind")
             .groupBy("shape", "context", "value")
             .agg(F.max("kind").alias("kind"), F.max("could").alias("could")))
 

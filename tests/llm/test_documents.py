@@ -104,6 +104,40 @@ def test_bootstrapping_finds_long_groupings(spark, docs_of):
     assert out[101] == f"card:{at}:{at + len(c)},phone:13:{13 + len(q)}"
 
 
+def test_bootstrapping_reaches_unseen_shapes(docs_of):
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    number = lambda: luhn("4" + digits(14))
+    rows = []
+    for i in range(60):
+        rows.append((i, f"{prose(i, 6)} phone +1 (555) 555-{1000 + i} {prose(i + 50, 4)} pay by card "
+                        f"{number()} {prose(i + 70, 3)} write to jane{i}@mail.org {prose(i + 90, 3)} "
+                        f"host 10.0.3.{i} {prose(i + 110, 3)}"))
+        # all kinds stand after this word, so it tells nothing
+        rows.append((i + 400, "the " + [f"+1 (555) 556-{1000 + i}", number(), f"a{i}@b.org",
+                                       f"10.0.4.{i}"][i % 4] + " " + prose(i + 130, 3)))
+    dot = lambda n: ".".join(n[k:k + 4] for k in range(0, 16, 4))
+    dotted, other = dot(number()), dot(number())
+    wrong = dotted[:-1] + str((int(dotted[-1]) + 1) % 10)
+    new = [("phone", "phone", "555-123-4567"), ("phone", "phone", "(0555) 123 4567"),
+           ("card", "by card", dotted),
+           ("email", "write to", "john dot doe [at] example [dot] org"),
+           ("email", "write to", "ann at example dot org"), ("ip", "host", "10[.]0[.]0[.]77")]
+    for k, (kind, cue, s) in enumerate(new):
+        rows.append((100 + k, f"stone market {cue} {s}, window"))
+        s = other if kind == "card" else s.replace("7", "6").replace("e", "i")
+        rows.append((200 + k, f"stone market the {s} window"))
+    rows += [(300, f"stone by card {wrong} window"), (301, "stone phone 2024-01-15 window"),
+             (302, "look at noon. Then rest at home"), (303, "dot " * 3000), (304, "a at b at " * 2000)]
+    out = {r.doc_id: r.spans for r in pii.find_spans(docs_of(rows), carry=["doc_id"]).select(
+        "rec.doc_id", pii.spelled("spans").alias("spans")).collect()}
+    for k, (kind, cue, s) in enumerate(new):
+        at = len(f"stone market {cue} ")
+        assert out[100 + k] == f"{kind}:{at}:{at + len(s)}", s
+        assert out[200 + k] == "", s
+    assert {out[d] for d in range(300, 305)} == {""}
+
+
 def test_redaction_and_odd_rows(docs_of, odd_rows):
     df = docs_of(odd_rows)
     out = pii.redact(pii.find_spans(df))
