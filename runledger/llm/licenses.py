@@ -1,13 +1,13 @@
 """License scan by a positional index of rare words: DataFrame expressions only.
 
 1. Document frequencies of the license vocabulary are counted over all texts.
-2. Each template is filed under its ``KEYS`` words of highest IDF, with their
-   positions.  A file is looked up by the license words it holds; every hit
+2. Each template is filed under the ``KEYS`` words of highest IDF in its mandatory
+   key phrase, with their positions.  A file is looked up by the license words it holds; every hit
    gives a start (position in the file less position in the template), and the
    starts of a template's words are intersected.
 3. At the starts that are left, the mandatory key phrase must stand word by
    word at its place.  The score is the IDF share of the template's words that
-   stand at theirs.
+   stand at theirs; wording outside the key phrase changes nothing else.
 
 The vocabulary and the templates are fixed and small, so their frequencies are
 a bounded result; texts are never shuffled.  A base phrase is a template of its
@@ -101,8 +101,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, matches array<struct<label, start, base, score>>."""
     known = templates()
     idf = rarity(docs, sorted({w for t in known for w in t.words}))
-    filed = {t: sorted(range(len(t.words)), key=lambda i, t=t: (-idf[t.words[i]], i))[
-        : 1 if t.base else KEYS] for t in known}
+    filed = {t: sorted(range(t.key_at, t.key_at + len(t.key)),
+                       key=lambda i, t=t: (-idf[t.words[i]], i))[: 1 if t.base else KEYS]
+             for t in known}
     index = sorted({t.words[i] for t, at in filed.items() for i in at})
 
     # where the index words stand, in the files that hold any

@@ -455,6 +455,19 @@ def test_license_scan(docs_of, odd_rows):
     assert licenses.scan(docs_of([])).count() == 0
 
 
+def test_license_labels_follow_the_key_phrase_alone(docs_of):
+    rows = [(1, "licensed under the MIT License"), (2, "CC BY-NC"), (3, "the mit license"),
+            (4, "mit license"), (5, "released under the mit license")]
+    common = [(100 + i, "mit cc nc by") for i in range(30)]     # makes the key words the common ones
+    rare = [(200 + i, "released licensed under license the") for i in range(60)]
+    for others in (common, rare, common + rare, []):
+        out = {r.doc_id: {m.label: m.score for m in r.matches}
+               for r in licenses.scan(docs_of(rows + others)).collect()}
+        assert set(out[1]) == set(out[3]) == set(out[5]) == {"mit-name"} and not out[4]
+        assert set(out[2]) == {"cc-by", "cc-by-nc"}
+        assert 0 < out[3]["mit-name"] < out[1]["mit-name"] < out[5]["mit-name"]
+
+
 def test_native_plans_have_no_python(spark, docs_of):
     plan = licenses.scan(docs_of([(1, "cc by")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
