@@ -51,9 +51,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+_RAW = frozenset("script style textarea title template iframe select".split())
+_FOREIGN = frozenset(("svg", "math"))      # inside, a tag that ends in "/>" has no content
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp "
-                    "rt ruby s samp small span strike strong sub sup time tt u var wbr data".split())
+                    "rt ruby s samp small span strike strong sub sup time tt u var wbr data "
+                    "math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover "
+                    "munder munderover mstyle mpadded mphantom menclose semantics".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset "
                     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav "
                     "ol p pre section table ul".split())
@@ -122,7 +125,7 @@ class Page:
     def _read(self, s: str) -> None:
         root = self._open("html", -1, "", 0)
         stack: list[tuple[str, int]] = [("html", root)]      # tag, node (inline: that of its block)
-        links = 0
+        links = foreign = 0                                  # foreign: place of svg or math
         at, pos, size = 0, 0, len(s)
         parts = self.parts
         in_head = False
@@ -157,13 +160,16 @@ class Page:
                 continue
             if tag == "body":
                 in_head = False
+            inside = foreign and foreign < len(stack) and stack[foreign][0] in _FOREIGN
+            if tag in _RAW and inside and token.endswith("/>"):
+                continue
             if tag in _RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(s, pos)
                 pos = at = close.end() if close else size
                 parts.append((stack[-1][1], None, False))
                 continue
             if in_head:
-                if tag in ("meta", "link", "base"):
+                if tag in ("meta", "link", "base", "noscript"):
                     continue
                 in_head = False
             if tag in _VOID:
@@ -190,8 +196,10 @@ class Page:
                 if tag in ("html", "body") and any(t == tag for t, _ in stack):
                     continue
                 stack.append((tag, self._open(tag, stack[-1][1], attrs, stop)))
+            if tag in _FOREIGN and not inside:
+                inside, foreign = True, len(stack) - 1
             links += tag == "a"
-            if token.endswith("/>") and tag in _INLINE:
+            if token.endswith("/>") and (tag in _INLINE or inside):
                 links -= self._close(stack, len(stack) - 1, stop)
         self._close(stack, 0, size)
 

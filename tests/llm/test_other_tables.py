@@ -68,6 +68,17 @@ def test_parser_and_white_space():
     assert len(text_of("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
 
 
+def test_only_raw_elements_lose_their_contents():
+    assert text_of("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, we</p>") == "so x=1, we"
+    assert text_of("<p>a</p><object data='f'><param name='n'><p>fallback</p></object><p>b</p>") == "a fallback b"
+    assert text_of("<noscript><p>plain</p></noscript>b") == "plain b"
+    assert text_of("<head><noscript><style>p{}</style></noscript><title>t</title></head><p>b") == "b"
+    assert text_of("<svg><title/><path d='M0'/><g><text>label</text></g><style>t{}</style></svg>b") == "label b"
+    assert text_of("<svg/><p>a</p><title>t</title><select><option>o</select><p>b") == "a b"
+    p = html_text.Page("<svg>" + "<path/>" * 500 + "</svg><p>after</p>")
+    assert p.parent[-1] == 0 and max(p.parent) == 1
+
+
 def test_decoding_is_consistent():
     rng, pool = random.Random(4), [prose(i, 40) for i in range(20)]
     noise = np.random.default_rng(0)
