@@ -12,6 +12,7 @@ from runledger.llm import (
     packing,
     pii,
     quality_rules,
+    resampling,
     suffix_dedup,
 )
 
@@ -26,8 +27,10 @@ Q = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 SQL = {
     "op5_chat_formatting": chat.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
