@@ -13,6 +13,7 @@ from runledger.llm import (
     pii,
     quality_rules,
     resampling,
+    source_audit,
     suffix_dedup,
 )
 
@@ -28,9 +29,11 @@ Q = {
     "op9_order_minhash": order_minhash.op9_order_minhash,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_source_audit": source_audit.op12_source_audit,
 }
 SQL = {
     "op5_chat_formatting": chat.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "op12_source_audit": source_audit.ORACLE,
 }
