@@ -15,6 +15,7 @@ from runledger.llm import (
     resampling,
     source_audit,
     suffix_dedup,
+    url_rules,
 )
 
 Q = {
@@ -30,6 +31,7 @@ Q = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_url_filters": url_rules.op13_url_filters,
 }
 SQL = {
     "op5_chat_formatting": chat.ORACLE,
