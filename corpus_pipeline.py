@@ -12,7 +12,6 @@ table stays empty; further columns are carried along.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +46,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset."""
+    import public_tokenizers  # the vocabulary files; the other stages do without
+
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
