@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 from runledger.operators import config, ledger, markers, quality, reconcile
 from runledger.session import cut_lineage
 from runledger.sources.control_files import ControlSpec, read_control_files
-from runledger.sources.manifests import file_manifest
+from runledger.sources.manifests import list_files
+
+# The texts and prefixes of the exceptions that callers match on.
+SYSTEM_ERROR, VALUE_ERROR, EXCEPTION = "[System Error] ", "[Value Error] ", "[Exception] "
+MSG_DUPLICATE_RUN = "Duplicate running found"
+MSG_NULL_VALUE = "Null value in configuration found"
 
 
 def predicate(where_cond: str | None) -> Column:
@@ -72,7 +77,8 @@ class DropIn:
     def _rows(self, tbl_nm: str, values) -> DataFrame:
         rows = [values] if isinstance(values, Mapping) else list(values)
         cols = sorted({k for r in rows for k in r})
-        data = [tuple(None if r.get(c) in (None, "") else str(r.get(c)) for c in cols) for r in rows]
+        # Falsy values (None, '', 0, False) are left out of an insert, so they are NULL.
+        data = [tuple(str(r[c]) if r.get(c) else None for c in cols) for r in rows]
         return self.spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in cols))
 
     # ------------------------------------------------------------ A1
@@ -83,15 +89,15 @@ class DropIn:
         df = self.spark.table(self._table(tbl_nm)).where(predicate(where_cond))
         if tbl_area:
             if df.limit(1).count() == 0:
-                raise SystemError("[System Error] " + config.MSG_NOT_FOUND, f"{tbl_nm}, {where_cond}")
+                raise SystemError(SYSTEM_ERROR + config.MSG_NOT_FOUND, f"{tbl_nm}, {where_cond}")
             return df
         r = df.agg(F.count_if(F.upper("actv_flag") == "Y").alias("y"),
                    F.count_if(F.upper("actv_flag") == "N").alias("n")).collect()[0]
         if r.y == 0:
             msg = config.MSG_NOT_FOUND if r.n == 0 else config.MSG_INACTIVE_ONLY
-            raise SystemError("[System Error] " + msg, f"{tbl_nm}, {where_cond}")
+            raise SystemError(SYSTEM_ERROR + msg, f"{tbl_nm}, {where_cond}")
         if r.y > 1:
-            raise SystemError("[System Error] " + config.MSG_DUPLICATE, f"{tbl_nm}, {where_cond}")
+            raise SystemError(SYSTEM_ERROR + config.MSG_DUPLICATE, f"{tbl_nm}, {where_cond}")
         return df
 
     # ------------------------------------------------------------ A2, A3
@@ -103,13 +109,13 @@ class DropIn:
                    F.count_if(s != ledger.STS_TRIGGER_RUNNING).alias("other")).collect()[0]
         dup = r.all > 0 if not flag else not (r.trig == 1 and r.other == 0)
         if dup:
-            raise SystemError("[System Error] Duplicate running found", f"{tbl_nm}, {where_cond}")
+            raise SystemError(SYSTEM_ERROR + MSG_DUPLICATE_RUN, f"{tbl_nm}, {where_cond}")
 
     # ------------------------------------------------------------ V1-V4
     def vld_config(self, df_conf: DataFrame, list_col: Sequence[str]) -> None:
         bad = [r.column_name for r in quality.required_violations(df_conf, list_col).collect()]
         if bad:
-            raise ValueError("[Value Error] Null value in configuration found", ", ".join(sorted(bad)))
+            raise ValueError(VALUE_ERROR + MSG_NULL_VALUE, ", ".join(sorted(bad)))
 
     def vld_flag_config(self, df_conf: DataFrame, list_col: Sequence[str]) -> None:
         quality.assert_clean(quality.flag_violations(df_conf, list_col))
@@ -137,6 +143,17 @@ class DropIn:
         if not multi_values:
             self._after_insert(rows)
 
+    def insert_log_job_configuration(self, tbl_nm: str, dict_values, multi_values: bool = False) -> None:
+        """Rows of a configuration log in the table's column order, absent and falsy
+        values NULL; no tenant column is filled in and no marker is touched."""
+        ledger.write_append(self.spark, self._table(tbl_nm), self._rows(tbl_nm, dict_values), swap_quotes=multi_values)
+
+    def update_log_bulk(self, tbl_nm: str, updates: DataFrame, on: Sequence[str], assign: Sequence[str],
+                        vld_dup_flag: str = "N") -> DataFrame:
+        """D6 (+ A4) for a table of updates, own tenant only; the status of each key."""
+        return ledger.write_updates(self.spark, self._table(tbl_nm), updates, on, assign, self.tenant,
+                                    guard=str(vld_dup_flag).upper() == "Y")
+
     def insr_arch_nb_log(self, dict_values) -> None:
         """``expt_sts`` defaults to NOT STARTED."""
         ledger.write_append(self.spark, self._table("tbl_arch_nb_log"),
@@ -196,20 +213,20 @@ class DropIn:
         rows = found.collect()
         if not rows or rows[0].ctl_count is None:
             field = rows[0].ctl_field if rows else None
-            raise ValueError(f"Position {spec.position} in control file is not an integer: {field}")
+            raise ValueError(f"the count of {ctl_file_path} (field {spec.position}) is no whole number: {field}")
         return rows[0].ctl_count
 
     def vld_copy_file(self, orig_file_list: Sequence[str], land_file_list: Sequence[str]) -> None:
         """J3 + A7: same number of files, and every file the same size on both
-        sides (compared by base name)."""
-        src = file_manifest(self.spark, list(orig_file_list)).select("file_nm", "file_size")
-        tgt = file_manifest(self.spark, list(land_file_list)).select("file_nm", "file_size")
+        sides (compared by base name; empty and hidden files count as any other)."""
+        src = list_files(self.spark, list(orig_file_list)).select("file_nm", "file_size")
+        tgt = list_files(self.spark, list(land_file_list)).select("file_nm", "file_size")
         n_src, n_tgt = src.count(), tgt.count()
         if not n_src == n_tgt == len(orig_file_list) == len(land_file_list):
-            raise RuntimeError("[Exception] Number of transfer file from inb not equal to raw",
+            raise RuntimeError(EXCEPTION + "the sides do not hold as many files as were named",
                                {"named": (len(orig_file_list), len(land_file_list)), "found": (n_src, n_tgt)})
         bad = (reconcile.compare_listings(src, tgt, ["file_nm"])
                .where(F.col("status") != reconcile.MATCH).collect())
         if bad:
-            raise RuntimeError("[Exception] Size transfer file from inb not equal to raw",
+            raise RuntimeError(EXCEPTION + "files differ between the sides",
                                [r.asDict() for r in bad])

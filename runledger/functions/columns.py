@@ -9,6 +9,7 @@ same rule is applied here to a whole column.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,31 +76,94 @@ def none_to_empty(c: ColumnOrName) -> Column:
 
 
 # ---------------------------------------------------------------- X7
-def json_path(c: ColumnOrName, path: str) -> Column:
-    """A JSON path out of a text column; malformed JSON or a missing key -> NULL."""
-    return F.get_json_object(_c(c), path)
+# The JSON reader is lenient unless told otherwise: it takes single quotes, raw
+# control characters in strings, and stops at the end of the first value.
+STRICT_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowUnquotedControlChars": "false",
+               "allowUnquotedFieldNames": "false", "allowComments": "false"}
+_JSON_SPACE = " \t\r\n"
+
+
+def _closed(t: Column, open_: str, close: str) -> tuple[Column, Column]:
+    """The text as the first element of an array, and the mark that must come out as
+    the second one: a value cut short or followed by more text breaks the pair.
+    The mark depends on the text, so no text can hold its own."""
+    mark = F.hex(F.xxhash64(t))
+    return F.concat(F.lit("["), t, F.lit("," + open_ + '"'), mark, F.lit('"' + close + "]")), mark
+
+
+def is_json(c: ColumnOrName) -> Column:
+    """Is the text one whole, strictly written JSON value?  NULL -> false."""
+    t = F.btrim(_c(c), F.lit(_JSON_SPACE))
+    text, mark = _closed(t, "", "")
+    pair = F.from_json(text, "array<string>", STRICT_JSON)
+    whole = F.transform(F.array(pair), lambda p: (F.size(p) == 2) & (F.get(p, F.lit(1)) == mark))
+    return F.coalesce(F.get(whole, F.lit(0)), F.lit(False))
 
 
 def is_json_object(c: ColumnOrName) -> Column:
-    """Is the text one whole JSON object?  Path readers stop at the first value
-    and ignore what follows; as an element of an array the text is read to its
-    end, so truncated text and text after the object both show."""
-    t = F.trim(_c(c))
-    read = F.json_array_length(F.concat(F.lit("["), t, F.lit(",0]")))
-    return F.coalesce(t.startswith("{") & t.endswith("}") & (read == 2), F.lit(False))
+    """Is the text one whole, strictly written JSON object?  NULL -> false."""
+    return F.coalesce(F.btrim(_c(c), F.lit(_JSON_SPACE)).startswith("{"), F.lit(False)) & is_json(c)
+
+
+def strict_object(c: ColumnOrName, fields: str) -> Column:
+    """``array<struct<ok, doc>>`` of one element: is the text one whole, strictly
+    written JSON object, and its ``fields`` (DDL).  One parse; meant for ``inline``,
+    which as a generator keeps the optimizer from parsing once per field used."""
+    t = F.btrim(_c(c), F.lit(_JSON_SPACE))
+    text, mark = _closed(t, '{"_end":', "}")
+    pair = F.from_json(text, f"array<struct<{fields}, _end: string>>", STRICT_JSON)
+    return F.transform(F.array(pair), lambda p: F.struct(
+        F.coalesce((F.size(p) == 2) & (F.get(p, F.lit(1))["_end"] == mark) & t.startswith("{"), F.lit(False)).alias("ok"),
+        F.get(p, F.lit(0)).alias("doc")))
+
+
+def json_path(c: ColumnOrName, path: str) -> Column:
+    """A JSON path out of a text column; malformed JSON or a missing key -> NULL."""
+    return F.when(is_json(c), F.get_json_object(_c(c), path))
 
 
 def container_name(expt_file_ppty: ColumnOrName) -> Column:
     """The container of a valid properties object (of a repeated key the last
-    value counts); anything else -> NULL."""
-    parsed = F.from_json(_c(expt_file_ppty), "trgt_container_nm string")
-    return F.when(is_json_object(expt_file_ppty), parsed["trgt_container_nm"])
+    value counts); '' for a JSON null; anything else -> NULL."""
+    c = _c(expt_file_ppty)
+    parsed = F.from_json(c, "trgt_container_nm string", STRICT_JSON)["trgt_container_nm"]
+    named = F.array_contains(F.json_object_keys(c), "trgt_container_nm")
+    return F.when(is_json_object(c) & named, F.coalesce(parsed, F.lit("")))
 
 
 def html_view_content(doc: ColumnOrName) -> Column:
     return json_path(doc, "$.views[0].content")
 
 
+# ---------------------------------------------------------------- L2
+_SPAN, _HALF = Decimal(1 << 64), Decimal(1 << 63)
+
+
+def pack_order(*parts: tuple[ColumnOrName, int]) -> Column:
+    """Order columns with known bounds as one long, the first one highest: each part
+    is (column, bits) with values from 0 to 2**bits - 1; 62 bits in all."""
+    if sum(bits for _, bits in parts) > 62:
+        raise ValueError("the order columns need more than 62 bits")
+    out = None
+    for c, bits in parts:
+        c = _c(c).cast("bigint")
+        out = c if out is None else F.shiftleft(out, bits).bitwiseOR(c)
+    return out
+
+
+def last_value(order: ColumnOrName, value: ColumnOrName) -> Column:
+    """Aggregate input for the last value: ``unpack_value(max(last_value(...)))`` is the
+    value of the highest order, of ties the larger.  Order (0 to 2**62 - 1) and value
+    (any bigint) share one decimal, a fixed-width buffer, so the aggregate hashes
+    where ``max_by`` over a struct has to sort.  NULL in either -> NULL, skipped."""
+    o = _c(order).cast("decimal(19,0)") * F.lit(_SPAN)
+    return (o + (_c(value).cast("decimal(20,0)") + F.lit(_HALF))).cast("decimal(38,0)")
+
+
+def unpack_value(packed: Column) -> Column:
+    return (packed % F.lit(_SPAN) - F.lit(_HALF)).cast("bigint")
+
+
 # ---------------------------------------------------------------- X8
 def b64_encode(c: ColumnOrName, charset: str = "UTF-8") -> Column:
     """Base64 of the text's bytes in ``charset``, one line.

@@ -130,6 +130,62 @@ def update_rows(df: DataFrame, predicate: Column, assignments: Mapping[str, obje
     ])
 
 
+# Statuses of a key in a table of updates.
+UPDATE_OK, UPDATE_NOT_FOUND = "OK", "NOT_FOUND"
+UPDATE_CONFLICT, UPDATE_DUPLICATE_ROWS = "CONFLICTING_UPDATES", "DUPLICATE_ROWS"
+
+
+def keyed_updates(ledger: DataFrame, updates: DataFrame, on: Sequence[str], assign: Sequence[str],
+                  tenant: str | None = None, guard: bool = True) -> DataFrame:
+    """D6/D7 + A4 in bulk: what a table of updates does to each of its keys.
+
+    ``updates`` has the key columns ``on`` and the columns ``assign`` to set (a falsy
+    text sets nothing, as in ``update_rows``).  Per key: ``n_updates``, ``n_rows`` (of
+    the ledger; with ``tenant`` of that tenant), the value of each column, and a status:
+
+    * ``NOT_FOUND``: no row has the key (a NULL in a key equals nothing);
+    * ``CONFLICTING_UPDATES``: updates of the key set a column to different values,
+      so the result would hang on an order that a table does not have (equal ones are one);
+    * ``DUPLICATE_ROWS``: with ``guard``, the key has several rows (A4);
+    * ``OK``.
+
+    Ledger keys and updates are tagged, unioned and reduced by one aggregate: one
+    shuffle, pre-aggregated in every task, no join, so a key that holds a third of
+    the ledger sends one row per task.
+    """
+    on, assign = list(on), list(assign)
+    pred = F.lit(True) if tenant is None else F.coalesce(tenant_predicate(tenant), F.lit(False))
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in on])
+    values = [F.nullif(F.col(c).cast("string"), F.lit("")).cast(ledger.schema[c].dataType).alias(c) for c in assign]
+    rows = ledger.where(pred & known).select(
+        *on, *[F.lit(None).cast(ledger.schema[c].dataType).alias(c) for c in assign], F.lit(0).alias("_update"))
+    both = rows.unionByName(updates.select(*[F.col(k).cast(ledger.schema[k].dataType).alias(k) for k in on],
+                                           *values, F.lit(1).alias("_update")))
+    g = both.groupBy(*on).agg(
+        F.sum("_update").alias("n_updates"), F.count_if(F.col("_update") == 0).alias("n_rows"),
+        *[F.max(c).alias(c) for c in assign], *[F.min(c).alias(f"_min_{c}") for c in assign])
+    conflict = reduce(lambda x, y: x | y, [F.coalesce(F.col(c) != F.col(f"_min_{c}"), F.lit(False)) for c in assign])
+    status = F.when(F.col("n_rows") == 0, UPDATE_NOT_FOUND).when(conflict, UPDATE_CONFLICT)
+    if guard:
+        status = status.when(F.col("n_rows") > 1, UPDATE_DUPLICATE_ROWS)
+    return g.where(F.col("n_updates") > 0).select(
+        *on, "n_updates", "n_rows", status.otherwise(UPDATE_OK).alias("status"), *assign)
+
+
+def apply_updates(ledger: DataFrame, keyed: DataFrame, on: Sequence[str], assign: Sequence[str],
+                  tenant: str | None = None) -> DataFrame:
+    """The ledger after the updates of the keys whose status is OK (``keyed_updates``:
+    one row per key, so the join never multiplies rows).  A column without a value
+    is left as it is, and so are rows of other tenants."""
+    on, assign = list(on), list(assign)
+    new = keyed.where(F.col("status") == UPDATE_OK).select(*on, *[F.col(c).alias(f"_new_{c}") for c in assign])
+    hit = F.lit(True) if tenant is None else F.coalesce(tenant_predicate(tenant), F.lit(False))
+    out = ledger.join(new, on, "left")
+    return out.select(*[
+        F.when(hit, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) if c in assign else F.col(c)
+        for c in ledger.columns])
+
+
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     """A row whose predicate is NULL is kept, as in SQL DELETE."""
     return df.where(~F.coalesce(predicate, F.lit(False)))
@@ -254,6 +310,29 @@ def write_update(spark: SparkSession, name: str, predicate: Column, assignments:
     rewrite_partitions(spark, name, pred, lambda df: update_rows(df, pred, assignments))
 
 
+def write_updates(spark: SparkSession, name: str, updates: DataFrame, on: Sequence[str], assign: Sequence[str],
+                  tenant: str | None = None, guard: bool = True) -> DataFrame:
+    """D6/D7 + A4 persisted for a table of updates; returns the report of
+    ``keyed_updates``.  Keys that are not OK change nothing.  The report is
+    checkpointed first (the write replaces the files it was counted from), and the
+    partitions to rewrite come from it where the key holds the partition columns,
+    so the ledger is then read in those partitions only."""
+    parts = table_partitions(spark, name)
+    moved = set(assign) & (set(parts) | set(on))
+    if moved:
+        raise ValueError(f"update may not change key or partition columns: {sorted(moved)}")
+    table = spark.table(name)
+    report = cut_lineage(keyed_updates(table, updates, on, assign, tenant, guard))
+    ok = report.where(F.col("status") == UPDATE_OK)
+    if not ok.isEmpty():
+        if set(parts) <= set(on):
+            touched = ok.select(*parts)
+        else:
+            touched = table.join(ok.select(*on), list(on), "left_semi").select(*parts)
+        rewrite_partitions(spark, name, touched, lambda df: apply_updates(df, report, on, assign, tenant))
+    return report
+
+
 def write_delete(spark: SparkSession, name: str, predicate: Column) -> None:
     """D8/D9 persisted."""
     rewrite_partitions(spark, name, predicate, lambda df: delete_where(df, predicate))

@@ -7,19 +7,19 @@ append to a marker table or turn into files.
 
 Stale-marker matching (D11) is "file name contains ``title.job.yyyymmdd``"
 within the same tenant, zone and date folder.  A substring test between two sets is a
-pairwise comparison; to keep it a hash join with a small residual instead,
-both sides get an exact equi-key:
-
-    In a key ``T.J.D`` (T = lower title, may be empty or hold dots, J = job,
-    D = the 8-digit date) the text between the last two dots before ``D`` is
-    the last dot-component of J.  Where the key occurs inside a file name, the
-    same text sits just before an occurrence of ``.D``.
-
-So each file name yields the dot-components that precede a component
-starting with ``D`` (normally one, two when the time stamp starts with the
-same date), and is joined on (tenant, zone, date, component) with the ``contains``
-test as residual.  Key rows are de-duplicated first, so a job's hot folder
-meets only that job's few distinct keys.
+pairwise comparison; to keep it a hash join, both sides get an exact equi-key,
+the whole job:
+
+    A key is ``T.J.D`` (T = lower title, may be empty or hold dots, J = job, may
+    hold dots, D = the folder's date).  J stands between two dots, so where the key
+    occurs in a file name, J is a run of whole dot-components, the text after it
+    starts with D, and the text before it ends in T.
+
+So each file name yields the runs of components that end just before a ``D``
+(a name has few components), and is joined on (tenant, zone, date, job); the only
+test left is that the text before ends in the title.  Keys are de-duplicated first,
+so a folder's markers meet only keys of their own job, also where all jobs of
+a folder end in the same component.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.functions.columns import (
-    compact_date, marker_file_name, marker_folder, marker_match_key,
+    compact_date, marker_file_name, marker_folder,
 )
 from runledger.operators.config import ZONE_SKIP
 from runledger.operators.ledger import (
@@ -87,37 +87,45 @@ def invalidation_keys(routed_new_runs: DataFrame, tenant: Column, key: str = "jo
     return r.select(
         tenant.alias("tenant"), "zone",
         compact_date(F.col(date_col)).alias("folder_dt"),
-        F.substring_index(F.col(key), ".", -1).alias("_seg"),
-        marker_match_key(F.col("title_nm"), F.col(key), F.col(date_col)).alias("match_key"),
+        F.col(key).alias("_job"), F.lower("title_nm").alias("_title"),
     ).distinct()
 
 
-def _candidate_segments(file_nm: Column, folder_dt: Column) -> Column:
-    """Dot-components of the name that precede a component starting with the date."""
+def _job_places(file_nm: Column, folder_dt: Column) -> Column:
+    """Runs of whole dot-components that end before a text starting with the date
+    and do not begin the name: (``_job``, ``_before``: the text before the run's dot)."""
     comps = F.split(file_nm, r"\.", -1)
-    idx = F.sequence(F.lit(2), F.size(comps))
-    hits = F.filter(idx, lambda i: F.element_at(comps, i).startswith(folder_dt))
-    segs = F.array_distinct(F.transform(hits, lambda i: F.element_at(comps, i - 1)))
-    return F.when(F.size(comps) >= 2, segs).otherwise(F.array().cast("array<string>"))
+    n = F.size(comps)
+
+    def text(first, count):
+        return F.array_join(F.slice(comps, first, count), ".")
+
+    dated = F.filter(F.sequence(F.lit(3), n), lambda i: text(i, n - i + 1).startswith(folder_dt))
+    runs = F.flatten(F.transform(dated, lambda i: F.transform(F.sequence(F.lit(2), i - 1), lambda j: F.struct(
+        text(j, i - j).alias("_job"), text(F.lit(1), j - 1).alias("_before")))))
+    return F.array_distinct(F.when(n >= 3, runs))
+
+
+def _met(markers: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides and the equi-join condition of the stale-marker match."""
+    cand = markers.withColumn("_p", F.explode(_job_places(F.col("file_nm"), F.col("folder_dt")))).select(
+        *markers.columns, "_p._job", "_p._before")
+    # The keys are derived from runs (not a stored dimension), so no count is
+    # spent on them up front: AQE broadcasts them when their measured size is
+    # small, else keeps the shuffle join and splits a hot job's partition.
+    k = keys.select("tenant", "zone", "folder_dt", "_job", "_title")
+    equal = ((cand["tenant"] == k["tenant"]) & (cand["zone"] == k["zone"])
+             & (cand["folder_dt"] == k["folder_dt"]) & (cand["_job"] == k["_job"]))
+    return cand, k, equal
 
 
 def stale_markers(markers: DataFrame, keys: DataFrame) -> DataFrame:
     """The markers a new run removes (same tenant, zone and date folder,
     file name contains the run's key).  ``markers`` needs tenant, zone,
     folder_dt, file_nm (one row per file); ``keys`` comes from ``invalidation_keys``."""
-    cand = markers.withColumn(
-        "_seg", F.explode(_candidate_segments(F.col("file_nm"), F.col("folder_dt")))
-    )
-    # The keys are derived from runs (not a stored dimension), so no count is
-    # spent on them up front: AQE broadcasts them when their measured size is
-    # small, else keeps the shuffle join and splits a hot folder's partition.
-    k = keys.select("tenant", "zone", "folder_dt", "_seg", "match_key")
-    cond = (
-        (cand["tenant"] == k["tenant"]) & (cand["zone"] == k["zone"]) & (cand["folder_dt"] == k["folder_dt"])
-        & (cand["_seg"] == k["_seg"]) & cand["file_nm"].contains(k["match_key"])
-    )
-    hit = cand.join(k, cond, "left_semi").drop("_seg")
-    # A name can match through two candidate components; report it once.
+    cand, k, equal = _met(markers, keys)
+    hit = cand.join(k, equal & cand["_before"].endswith(k["_title"]), "left_semi").drop("_job", "_before")
+    # A name can match through two places; report it once.
     return hit.dropDuplicates([*MARKER_PARTITIONS, "file_nm"])
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.functions.columns import ColumnOrName, _c
+from runledger.plans.strategy import bounded_broadcast
 
 # The reasons, worded as the original messages.
 REASON_YN = "format should be Y or N"
@@ -145,6 +146,30 @@ def value_violations(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> Dat
     return _value_report(df, [(c, value_reason(c, vals)) for c, vals in allowed.items()])
 
 
+def value_violations_from(df: DataFrame, columns: Sequence[str], allowed: DataFrame) -> DataFrame:
+    """V4 with the lists in a table: ``allowed`` has column_name and allowed_value.
+
+    The same report as ``value_violations`` with those lists, for lists of any
+    length.  Checked columns are unpivoted and counted first, so the lists meet each
+    distinct value once; two one-to-one joins then look the value up as it is and
+    upper-cased.  The lists are broadcast within a checked bound, else both sides are
+    shuffled by (column, value).  A NULL value equals nothing in a list.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("bad_value"))
+                        for c in columns])
+    found = (df.select(F.explode(entries).alias("v")).select("v.column_name", "v.bad_value")
+             .groupBy("column_name", "bad_value").agg(F.count(F.lit(1)).alias("n_rows")))
+    lists = allowed.where(F.col("column_name").isin(*columns)).select(
+        "column_name", F.col("allowed_value").cast("string").alias("_value")).distinct()
+    lists = bounded_broadcast(lists, bound_by=[allowed], bound_columns=["column_name", "allowed_value"])
+    exact = lists.select("column_name", F.col("_value").alias("bad_value"), F.lit(True).alias("_as_is"))
+    upper = lists.select("column_name", F.col("_value").alias("_upper"), F.lit(True).alias("_in_upper"))
+    out = (found.withColumn("_upper", F.upper("bad_value"))
+           .join(upper, ["column_name", "_upper"], "left").join(exact, ["column_name", "bad_value"], "left"))
+    reason = (F.when(F.col("_in_upper").isNull(), REASON_NOT_IN_LIST).when(F.col("_as_is").isNull(), REASON_UPPER))
+    return out.select("column_name", "bad_value", reason.alias("reason"), "n_rows").where(F.col("reason").isNotNull())
+
+
 # ------------------------------------------------------------------ V5
 def business_date(c: ColumnOrName) -> Column:
     """Business date text -> DATE, or NULL when invalid.

@@ -1,11 +1,11 @@
 """Copy reconciliation.
 
 The original fetched one run's activity report and listed files one by one
-on the driver.  Here the reports are a table of JSON documents and the file
-listings are tables of (name, size); the checks become one parse per document
-(``json_tuple``), partial aggregates per run or per file, and one-to-one joins of
-pre-aggregated sides (never a join of raw duplicates, so no pair explosion
-when a name repeats).
+on the driver.  Here the reports are a table of JSON documents, one per run
+(``parse_reports``) or one per activity (``parse_activities``), and the file
+listings are tables of (name, size).  The checks become one parse per document
+and partial aggregates per run or per file over tagged unions of both sides:
+no join, so no pair explosion when a name repeats, and a NULL run is a run.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.functions.columns import is_json_object
+from runledger.functions.columns import (
+    ColumnOrName, _c, is_json_object, last_value, strict_object, unpack_value,
+)
 
 # The fields of one activity in a copy service's run report.
 ACTIVITY_FIELDS = ["activityType", "activityName", "output"]
@@ -31,15 +33,48 @@ MISSING_IN_SOURCE, MISSING_IN_TARGET = "MISSING_IN_SOURCE", "MISSING_IN_TARGET"
 DUPLICATE = "DUPLICATE"
 
 
+# A whole run report: an object with the activities in order under ``value``.
+REPORT_FIELDS = "value: array<struct<" + ", ".join(f"{f}: string" for f in ACTIVITY_FIELDS) + ">>"
+
+
 def is_malformed(doc: Column) -> Column:
-    """Text that is no JSON object, or a JSON object with more text after it."""
-    # The strict reader rejects truncated text; a JSON object ends with its brace,
-    # and text after it would leave a brace that closes nothing before the end.
-    return ~F.coalesce(is_json_object(doc), F.lit(False))
+    """Text that is no strictly written JSON object, or one with more text after it."""
+    return ~is_json_object(doc)
+
+
+def _numbers(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return df.select(*keep, *[F.col(c).try_cast("bigint").alias(c) if c in OUTPUT_NUMERIC else F.col(c)
+                              for c in OUTPUT_COLUMNS])
+
+
+def parse_reports(df: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """Whole run reports, one document per run -> one row per activity.
+
+    ``activity_seq`` is the place in the document's ``value`` list, so the order
+    of activities needs no column of its own.  Each document is parsed once, and
+    each ``output`` object once more for its fields.  A document that is no whole,
+    strict JSON object with a list of objects under ``value`` gives one row with
+    ``is_malformed``; so does an activity without ``activityType``.  An empty list
+    gives one row without activity, so the run still counts as reported.
+    """
+    keep = [c for c in df.columns if c != doc_col]
+    docs = df.select(*keep, F.inline(strict_object(doc_col, REPORT_FIELDS)).alias("_ok", "_doc"))
+    good = F.col("_ok") & F.col("_doc.value").isNotNull()
+    # One generator over a value that is NULL for a bad document and empty for a
+    # report without activities; both leave one row.
+    each = docs.select(*keep, good.alias("_good"), F.posexplode_outer(F.when(good, F.col("_doc.value")))
+                       .alias("activity_seq", "_a"))
+    bad = ~F.col("_good") | (F.col("activity_seq").isNotNull() & F.col("_a.activityType").isNull())
+    top = [*keep, "activity_seq", "is_malformed", "activity_type", "activity_name"]
+    flat = each.select(
+        *keep, F.col("activity_seq").cast("bigint").alias("activity_seq"), bad.alias("is_malformed"),
+        F.col("_a.activityType").alias("activity_type"), F.col("_a.activityName").alias("activity_name"),
+        F.col("_a.output").alias("_output"))
+    return _numbers(flat.select(*top, F.json_tuple(F.col("_output"), *OUTPUT_FIELDS).alias(*OUTPUT_COLUMNS)), top)
 
 
 def parse_activities(df: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """Flatten each JSON activity document; malformed text -> NULL fields.
+    """Flatten JSON documents of one activity each; malformed text -> NULL fields.
 
     ``json_tuple`` parses each document once (and its ``output`` object once),
     and as a generator it keeps later filters on the parsed fields above the
@@ -52,10 +87,7 @@ def parse_activities(df: DataFrame, doc_col: str = "doc") -> DataFrame:
                     .alias("activity_type", "activity_name", "_output"))
     out = top.select(*keep, "is_malformed", "activity_type", "activity_name",
                      F.json_tuple(F.col("_output"), *OUTPUT_FIELDS).alias(*OUTPUT_COLUMNS))
-    return out.select(*keep, "is_malformed", "activity_type", "activity_name", *[
-        F.col(c).try_cast("bigint").alias(c) if c in OUTPUT_NUMERIC else F.col(c)
-        for c in OUTPUT_COLUMNS
-    ])
+    return _numbers(out, [*keep, "is_malformed", "activity_type", "activity_name"])
 
 
 def _copy_is_bad(with_data: bool) -> Column:
@@ -66,7 +98,7 @@ def _copy_is_bad(with_data: bool) -> Column:
 
 
 def copy_totals(acts: DataFrame, run_key: Sequence[str], max_mismatch: int,
-                with_data: bool = True, order: Sequence[str] = ()) -> DataFrame:
+                with_data: bool = True, order: ColumnOrName | None = None) -> DataFrame:
     """A5 (+ L2): per run, over the Copy activities.
 
     * ``files_written``: sum of files written of every Copy that reports both
@@ -79,6 +111,9 @@ def copy_totals(acts: DataFrame, run_key: Sequence[str], max_mismatch: int,
       ``max_mismatch + 1``, in any order);
     * ``last_files_written`` (when ``order`` is given): files written of the
       last Copy that reported both counts, by ``order`` (ties: the larger).
+
+    ``order`` is one whole number (``activity_seq`` of a report, or several
+    columns put together by ``pack_order``), which keeps this a hash aggregate.
     """
     is_copy = F.col("activity_type") == COPY
     fr, fw = F.col("files_read"), F.col("files_written")
@@ -92,24 +127,27 @@ def copy_totals(acts: DataFrame, run_key: Sequence[str], max_mismatch: int,
         add_bytes = is_copy & (fr == fw) & F.col("data_read").isNotNull()
         aggs.append(F.coalesce(F.sum(F.when(add_bytes, F.col("data_written"))), F.lit(0))
                     .cast("bigint").alias("bytes_written"))
-    if order:
-        # Ties on ``order`` are broken by the value, so the result is deterministic.
-        o = F.struct(*[F.col(c) for c in order], fw)
-        aggs.append(F.max_by(F.when(counted, fw), F.when(counted, o)).alias("last_files_written"))
+    if order is not None:
+        last = F.max(F.when(counted, last_value(order, fw)))
+        aggs.append(unpack_value(last).alias("last_files_written"))
     out = acts.groupBy(*run_key).agg(*aggs)
     return out.withColumn("failed", F.col("n_bad") > F.lit(max_mismatch))
 
 
+def _is_metadata(activity_name: str) -> Column:
+    return F.coalesce((F.col("activity_type") == GET_METADATA) & (F.col("activity_name") == activity_name),
+                      F.lit(False))
+
+
 def last_metadata(acts: DataFrame, run_key: Sequence[str], activity_name: str,
-                  order: Sequence[str]) -> DataFrame:
+                  order: ColumnOrName) -> DataFrame:
     """L2 + X6: per run and item name, the size of the last matching
-    GetMetadata activity by ``order`` (later ones overwrite earlier ones)."""
-    is_meta = (F.col("activity_type") == GET_METADATA) & (F.col("activity_name") == activity_name)
-    o = F.struct(*[F.col(c) for c in order], F.col("item_size"))
+    GetMetadata activity by ``order`` (later ones overwrite earlier ones; one that
+    reports no size is passed over)."""
     return (
-        acts.where(is_meta & F.col("item_name").isNotNull())
+        acts.where(_is_metadata(activity_name) & F.col("item_name").isNotNull())
         .groupBy(*run_key, "item_name")
-        .agg(F.max_by("item_size", o).alias("item_size"))
+        .agg(unpack_value(F.max(last_value(order, "item_size"))).alias("item_size"))
     )
 
 
@@ -191,43 +229,115 @@ def per_file(df: DataFrame, key: Sequence[str], size: str = "file_size", tag: st
     return df.select(*key, F.lit(1).cast("bigint").alias(f"{tag}_files"), F.col(size).alias(f"{tag}_bytes"))
 
 
-def run_verdicts(acts: DataFrame, listing: DataFrame, run_key: Sequence[str], max_mismatch: int,
-                 activity_name: str, order: Sequence[str]) -> DataFrame:
-    """J4 + J5: one verdict per copied run, by the first check that fails.
+# ------------------------------------------------------------------ verdicts
+# The copy checks of the original, by what they compare.
+LAST_COPY, TOTAL_FILES, TOTAL_BYTES = "LAST_COPY", "TOTAL_FILES", "TOTAL_BYTES"
+_DATA, _CONTROL = "data", "control"
+
 
-    1. ``MALFORMED``: an activity document is no JSON object;
-    2. ``MISMATCH``: more than ``max_mismatch`` Copies read and wrote different
-       amounts;
-    3. ``COUNT``: the last Copy's file count is not the number of files listed
-       (data and control files together, ``union_listings``);
-    4. ``SIZE``: a file that the report names has another size, or is not
-       listed as often, in the listing of the run;
-    5. ``OK``.  A run that is listed but not reported is ``NOT_REPORTED``.
+def copy_facts(acts: DataFrame, run_key: Sequence[str], activity_name: str, order: ColumnOrName,
+               data_files: DataFrame, control_files: DataFrame | None = None,
+               listing_order: ColumnOrName | None = None) -> DataFrame:
+    """One row per run with all that the copy checks compare.
 
-    ``acts`` comes from ``parse_activities``; ``listing`` has the run key,
-    file_nm and file_size.
+    ``acts`` comes from ``parse_reports`` or ``parse_activities``; the listings have
+    the run key, file_nm and file_size.  A file listed more than once counts as often
+    as it is listed; its size is that of the last listing (control files after data
+    files, by ``listing_order`` within each; of ties the larger).
+
+    Activities and listed files are tagged and unioned, then reduced twice: by run and
+    file, then by run.  Both steps pre-aggregate in every task, so a run with a third
+    of all rows sends one row per task and file.
     """
     run_key = list(run_key)
-    totals = copy_totals(acts, run_key, max_mismatch, with_data=True, order=order)
-    bad = acts.groupBy(*run_key).agg(F.count_if(F.col("is_malformed")).alias("n_malformed"))
-    report = last_metadata(acts, run_key, activity_name, order).select(
-        *run_key, F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
-    files = compare_listings(report, listing, [*run_key, "file_nm"])
-    wrong = F.col("n_src") > 0
-    per_run = files.groupBy(*run_key).agg(
-        F.sum("n_tgt").alias("listed_files"),
-        F.count_if(wrong & (F.col("status") != MATCH)).alias("n_wrong_files"))
-    j = totals.join(bad, run_key).join(per_run, run_key, "full_outer")
-    listed = F.coalesce(F.col("listed_files"), F.lit(0))
+    null = F.lit(None)
+    nothing = {"_order": null.cast("bigint"), "_size": null.cast("bigint"), "_meta": F.lit(False),
+               "_copy": F.lit(False), "_bad": F.lit(False),
+               **{c: null.cast("bigint") for c in ("files_read", "files_written", "data_read", "data_written")}}
+    meta = _is_metadata(activity_name)
+    # A wanted GetMetadata without a name or a size stops the original.
+    bad = F.col("is_malformed") | (meta & (F.col("item_name").isNull() | F.col("item_size").isNull()))
+
+    def tagged(df, tag, item, **own):
+        cols = {**nothing, **own}
+        return df.select(*run_key, F.lit(tag).alias("_tag"), item.alias("_item"),
+                         *[v.alias(k) for k, v in cols.items()])
+
+    rows = tagged(acts, "report", F.when(meta, F.col("item_name")), _order=_c(order).cast("bigint"),
+                  _size=F.col("item_size"), _meta=meta & F.col("item_name").isNotNull(),
+                  _copy=F.coalesce(F.col("activity_type") == COPY, F.lit(False)), _bad=bad,
+                  **{c: F.col(c) for c in ("files_read", "files_written", "data_read", "data_written")})
+    at = F.lit(0) if listing_order is None else _c(listing_order)
+    for tag, listing in ((_DATA, data_files), (_CONTROL, control_files)):
+        if listing is not None:
+            rows = rows.unionByName(tagged(listing, tag, F.col("file_nm"), _order=at.cast("bigint"),
+                                           _size=F.col("file_size").cast("bigint")))
+
+    fr, fw, dw = F.col("files_read"), F.col("files_written"), F.col("data_written")
+    copy, tag = F.col("_copy"), F.col("_tag")
+    counted = copy & fr.isNotNull() & fw.isNotNull()
+    last = last_value("_order", "_size")
+    per_file = rows.groupBy(*run_key, "_item").agg(
+        F.count_if(tag == "report").alias("n_reported"),
+        F.count_if(F.col("_bad")).alias("n_malformed"),
+        F.count_if(copy & _copy_is_bad(False)).alias("n_bad_files"),
+        F.count_if(copy & _copy_is_bad(True)).alias("n_bad_data"),
+        F.sum(F.when(counted, fw)).alias("files_written"),
+        F.sum(F.when(copy & (fr == fw) & F.col("data_read").isNotNull(), dw)).alias("bytes_written"),
+        F.max(F.when(counted, last_value("_order", fw))).alias("_last_copy"),
+        F.count_if(tag == _DATA).alias("data_files"), F.count_if(tag == _CONTROL).alias("control_files"),
+        F.sum(F.when(tag.isin(_DATA, _CONTROL), F.col("_size"))).alias("listed_bytes"),
+        F.max(F.when(F.col("_meta"), last)).alias("_said"),
+        F.max(F.when(tag == _DATA, last)).alias("_data"), F.max(F.when(tag == _CONTROL, last)).alias("_control"))
+    said, data = unpack_value(F.col("_said")), unpack_value(F.col("_data"))
+    any_ = unpack_value(F.coalesce("_control", "_data"))
+
+    def differs(size, listed):
+        return listed & ~F.coalesce(said == size, F.lit(False))
+
+    zero = F.lit(0).cast("bigint")
+    return per_file.groupBy(*run_key).agg(
+        *[F.sum(c).alias(c) for c in ("n_reported", "n_malformed", "n_bad_files", "n_bad_data")],
+        *[F.coalesce(F.sum(c), zero).cast("bigint").alias(c) for c in ("files_written", "bytes_written")],
+        unpack_value(F.max("_last_copy")).alias("last_files_written"),
+        *[F.sum(c).alias(c) for c in ("data_files", "control_files")],
+        F.coalesce(F.sum("listed_bytes"), zero).cast("bigint").alias("listed_bytes"),
+        F.count_if(differs(data, F.col("data_files") > 0)).alias("n_wrong_data"),
+        F.count_if(differs(any_, (F.col("data_files") > 0) | (F.col("control_files") > 0))).alias("n_wrong_files"))
+
+
+def run_verdicts(facts: DataFrame, run_key: Sequence[str], rule: str, max_mismatch: int) -> DataFrame:
+    """J4 + J5: one verdict per run from ``copy_facts``, by the first check that fails.
+
+    1. ``NOT_REPORTED``: the run is listed, but has no report;
+    2. ``MALFORMED``: a document, activity or wanted GetMetadata cannot be read;
+    3. ``MISMATCH``: more than ``max_mismatch`` Copies read and wrote different numbers
+       of files (``TOTAL_BYTES``: or amounts of data), or do not say;
+    4. ``COUNT``: the report's number of files is not the number listed;
+    5. ``SIZE``: a listed file has another size in the report, or is not in it; or the
+       bytes differ.  Files that only the report names do not matter;
+    6. ``OK``.
+
+    ``rule`` says what is compared: ``LAST_COPY`` the files of the last Copy that
+    reported both counts with the data files (no such Copy: ``COUNT``), then each data
+    file; ``TOTAL_FILES`` the files of all Copies with data and control files, then
+    each of those; ``TOTAL_BYTES`` the bytes written with the bytes listed, no names.
+    """
+    if rule not in (LAST_COPY, TOTAL_FILES, TOTAL_BYTES):
+        raise ValueError(f"unknown rule {rule}")
+    every = F.col("data_files") + F.col("control_files")
+    n_bad, copied, listed, n_wrong = {
+        LAST_COPY: ("n_bad_files", F.col("last_files_written"), F.col("data_files"), F.col("n_wrong_data")),
+        TOTAL_FILES: ("n_bad_files", F.col("files_written"), every, F.col("n_wrong_files")),
+        TOTAL_BYTES: ("n_bad_data", F.col("bytes_written"), F.col("listed_bytes"), F.lit(0).cast("bigint")),
+    }[rule]
+    equal = F.coalesce(copied == listed, F.lit(False))
     verdict = (
-        F.when(F.col("n_copy").isNull(), "NOT_REPORTED")
+        F.when(F.col("n_reported") == 0, "NOT_REPORTED")
         .when(F.col("n_malformed") > 0, "MALFORMED")
-        .when(F.col("failed"), "MISMATCH")
-        .when(F.col("last_files_written").isNotNull() & (F.col("last_files_written") != listed), "COUNT")
-        .when(F.col("n_wrong_files") > 0, "SIZE")
+        .when(F.col(n_bad) > max_mismatch, "MISMATCH")
+        .when(~equal, "SIZE" if rule == TOTAL_BYTES else "COUNT")
+        .when(n_wrong > 0, "SIZE")
         .otherwise("OK"))
-    return j.select(*run_key, F.coalesce("n_malformed", F.lit(0)).alias("n_malformed"),
-                    F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "last_files_written",
-                    listed.alias("listed_files"),
-                    F.coalesce("n_wrong_files", F.lit(0)).alias("n_wrong_files"),
-                    verdict.alias("verdict"))
+    return facts.select(*run_key, "n_malformed", F.col(n_bad).alias("n_bad"), copied.alias("copied"),
+                        listed.alias("listed"), n_wrong.alias("n_wrong_files"), verdict.alias("verdict"))

@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.functions import columns as X
-from runledger.functions.crypto import decrypt_columns, encrypt_columns, rewrap_columns
+from runledger.functions.crypto import (
+    create_key_ring, decrypt_columns, decrypt_with_ring, encrypt_columns, encrypt_with_ring, rewrap_columns,
+    rotate_key_ring,
+)
+from runledger.session import cut_lineage
 from runledger.operators import calendar, config, ledger, markers, quality, reconcile
 from runledger.plans import fixtures as fx
-from runledger.sources.config_json import flatten_area_text, flatten_dependency_text, register_view
+from runledger.sources.config_json import (
+    AREA_SCHEMA, checked_documents, flatten_area_text, flatten_dependency_text, register_view,
+)
 from runledger.sources.control_files import ControlSpec, control_counts_of_lines
 from runledger.sources.tables import column_names, read_table, scan
 from runledger.streaming import ledger_stream as ls
@@ -188,6 +194,26 @@ SQL["value_violations"] = W(_report_sql([
     for c, v in ALLOWED.items()]), "job_config")
 
 
+ALLOWED_COLUMNS = ["hldy_type", "trgt_tbl_nm", "expt_file_nm_fmt"]
+
+
+@query("value_violations_table")
+def q_value_violations_table(spark, sf):
+    return quality.value_violations_from(fx.job_config(spark, sf), ALLOWED_COLUMNS, fx.allowed_values(spark, sf))
+
+
+# A list holds the value upper-cased or not at all; one of them may also hold it as it is.
+SQL["value_violations_table"] = W(f"""
+select column_name, bad_value, reason, count(*) as n_rows from (
+  select column_name, bad_value,
+    case when not exists (select 1 from allowed_values a where a.column_name = v.column_name
+                          and a.allowed_value = upper(v.bad_value)) then '{quality.REASON_NOT_IN_LIST}'
+         when not exists (select 1 from allowed_values a where a.column_name = v.column_name
+                          and a.allowed_value = v.bad_value) then '{quality.REASON_UPPER}' end as reason
+  from ({' union all '.join(f"select '{c}' as column_name, {c} as bad_value from job_config" for c in ALLOWED_COLUMNS)}) v
+) r where reason is not null group by all""", "job_config", "allowed_values")
+
+
 @query("business_dates")
 def q_business_dates(spark, sf):
     return quality.business_dates(fx.dt_text(spark, sf), "bsns_dt", key=["k"])
@@ -248,7 +274,8 @@ from (
          c.trgt_tbl_nm,
          case when c.expt_data_type = 'cosmos_db'
               then case when json_valid(c.expt_file_ppty)
-                        then json_extract_string(c.expt_file_ppty, '$.trgt_container_nm') end
+                        then case when json_exists(c.expt_file_ppty, '$.trgt_container_nm')
+                                  then coalesce(json_extract_string(c.expt_file_ppty, '$.trgt_container_nm'), '') end end
               else coalesce(c.expt_file_nm_fmt, '') end as po_title
   from (select distinct job_nm, substr(job_nm, 1, 2) as kind from job_log) j
   left join (
@@ -354,6 +381,11 @@ SQL["manifest_totals"] = W(_totals_sql(
 
 
 # ===================================================================== A5, X6, L2
+def _activity_order():
+    # Line number and part key of the fixture's activities: both far below their bounds.
+    return X.pack_order(("activity_seq", 20), ("activity_id", 42))
+
+
 def _activities(spark, sf):
     return reconcile.parse_activities(fx.activity_run(spark, sf))
 
@@ -361,7 +393,7 @@ def _activities(spark, sf):
 @query("activity_totals")
 def q_activity_totals(spark, sf):
     return reconcile.copy_totals(_activities(spark, sf), ["run_id"], MAX_MISMATCH, with_data=True,
-                                 order=["activity_seq", "activity_id"])
+                                 order=_activity_order())
 
 
 _ACT_SQL = """
@@ -393,6 +425,49 @@ from ({_ACT_SQL}) a group by run_id"""
 SQL["activity_totals"] = W(_COPY_TOTALS_SQL, "activity_run")
 
 
+@query("report_totals")
+def q_report_totals(spark, sf):
+    """A5 over whole reports, one document per run: equal to the totals of the same
+    activities in a document each."""
+    acts = reconcile.parse_reports(fx.activity_report(spark, sf))
+    return reconcile.copy_totals(acts, ["run_id"], MAX_MISMATCH, with_data=True, order="activity_seq")
+
+
+SQL["report_totals"] = SQL["activity_totals"]
+
+
+@query("report_activities")
+def q_report_activities(spark, sf):
+    """X6 over whole reports, malformed ones included: a row per activity in order."""
+    return reconcile.parse_reports(fx.copy_report(spark, sf))
+
+
+# A report is read if it is an object with a list of objects under "value"; an activity
+# must have an activityType.
+_REPORT_SQL = """
+select run_id, activity_seq, is_malformed,
+       json_extract_string(e, '$.activityType') as activity_type, json_extract_string(e, '$.activityName') as activity_name,
+       try_cast(json_extract_string(e, '$.output.filesRead') as bigint) as files_read,
+       try_cast(json_extract_string(e, '$.output.filesWritten') as bigint) as files_written,
+       try_cast(json_extract_string(e, '$.output.dataRead') as bigint) as data_read,
+       try_cast(json_extract_string(e, '$.output.dataWritten') as bigint) as data_written,
+       json_extract_string(e, '$.output.itemName') as item_name,
+       try_cast(json_extract_string(e, '$.output.size') as bigint) as item_size
+from (
+  select run_id, cast(null as bigint) as activity_seq, not ok as is_malformed, cast(null as json) as e
+  from r where not ok or len(acts) = 0
+  union all
+  select run_id, i - 1, json_extract_string(acts[i], '$.activityType') is null, acts[i]
+  from (select run_id, acts, unnest(range(1, len(acts) + 1)) as i from r where ok) u) x"""
+_REPORTS_READ_SQL = """
+select run_id, ok and len(list_filter(acts, lambda x: json_type(x) <> 'OBJECT')) = 0 as ok, acts
+from (select run_id, ok, case when ok then json_extract(doc, '$.value[*]') else [] end as acts
+      from (select run_id, doc, case when json_valid(doc) then json_type(doc) = 'OBJECT'
+                                     and coalesce(json_type(doc, '$.value') = 'ARRAY', false) else false end as ok
+            from copy_report) q) p"""
+SQL["report_activities"] = W(_REPORT_SQL, "copy_report", extra={"r": _REPORTS_READ_SQL})
+
+
 def _listed(spark, sf):
     """Data files and control files of the runs, as one listing."""
     cols = ["run_id", "file_nm", "file_size"]
@@ -408,8 +483,7 @@ union all select run_id, file_nm, file_size from ctl_listing"""
 
 @query("activity_file_compare")
 def q_activity_file_compare(spark, sf):
-    meta = reconcile.last_metadata(_activities(spark, sf), ["run_id"], META_ACTIVITY,
-                                   ["activity_seq", "activity_id"])
+    meta = reconcile.last_metadata(_activities(spark, sf), ["run_id"], META_ACTIVITY, _activity_order())
     report = meta.select("run_id", F.col("item_name").alias("file_nm"), F.col("item_size").alias("file_size"))
     return reconcile.compare_listings(report, _listed(spark, sf), ["run_id", "file_nm"])
 
@@ -515,6 +589,69 @@ select log_no, job_nm, dl_data_dt, monoline,
 from job_log""", "job_log")
 
 
+_UPDATE_ON, _UPDATE_SET = ["job_nm", "dl_data_dt"], ["job_sts", "rmrk"]
+
+
+def _updates(spark, sf):
+    """Updates of every second run, a second one that differs for some, a second one
+    that agrees for others, and keys without a run."""
+    k = F.col("log_no")
+    one = fx.job_log(spark, sf).where(k % 2 == 0).select(
+        "log_no", "job_nm", "dl_data_dt", F.when(k % 5 == 0, "").otherwise("FAILED").alias("job_sts"),
+        F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("seen "), "rmrk")).alias("rmrk"))
+    other = one.where(k % 11 == 0).withColumn("job_sts", F.lit("SUCCESS"))
+    same = one.where(k % 13 == 0)
+    lost = one.where(k % 17 == 0).withColumn("job_nm", F.when(k % 2 == 0, F.concat(F.lit("zz_"), "job_nm")))
+    return one.unionByName(other).unionByName(same).unionByName(lost).drop("log_no")
+
+
+def _keyed(spark, sf):
+    return ledger.keyed_updates(fx.job_log(spark, sf), _updates(spark, sf), _UPDATE_ON, _UPDATE_SET, TENANT)
+
+
+@query("ledger_update_report")
+def q_ledger_update_report(spark, sf):
+    return _keyed(spark, sf)
+
+
+_UPDATES_SQL = """
+select log_no, job_nm, dl_data_dt, case when log_no % 5 <> 0 then 'FAILED' else '' end as job_sts,
+       case when log_no % 7 <> 0 then concat('seen ', rmrk) end as rmrk
+from job_log where log_no % 2 = 0"""
+_KEYED_CTES = {
+    "one": _UPDATES_SQL,
+    "u": """
+select job_nm, dl_data_dt, nullif(job_sts, '') as job_sts, nullif(rmrk, '') as rmrk from (
+  select * from one union all select log_no, job_nm, dl_data_dt, 'SUCCESS', rmrk from one where log_no % 11 = 0
+  union all select * from one where log_no % 13 = 0
+  union all select log_no, case when log_no % 2 = 0 then concat('zz_', job_nm) end, dl_data_dt, job_sts, rmrk
+  from one where log_no % 17 = 0) x""",
+    "keyed": f"""
+select u.job_nm, u.dl_data_dt, count(*) as n_updates, max(coalesce(l.n, 0))::bigint as n_rows,
+       case when max(l.n) is null then 'NOT_FOUND'
+            when count(distinct job_sts) > 1 or count(distinct rmrk) > 1 then 'CONFLICTING_UPDATES'
+            when max(l.n) > 1 then 'DUPLICATE_ROWS' else 'OK' end as status,
+       max(job_sts) as job_sts, max(rmrk) as rmrk
+from u left join (select job_nm, dl_data_dt, count(*) as n from job_log where monoline = upper('{TENANT}')
+                  group by job_nm, dl_data_dt) l on l.job_nm = u.job_nm and l.dl_data_dt = u.dl_data_dt
+group by u.job_nm, u.dl_data_dt"""}
+
+SQL["ledger_update_report"] = W("select * from keyed", "job_log", extra=_KEYED_CTES)
+
+
+@query("ledger_bulk_update")
+def q_ledger_bulk_update(spark, sf):
+    return ledger.apply_updates(fx.job_log(spark, sf), _keyed(spark, sf), _UPDATE_ON, _UPDATE_SET, TENANT)
+
+
+SQL["ledger_bulk_update"] = W(f"""
+select l.log_no, l.job_nm, l.dl_data_dt, l.monoline,
+       case when l.monoline = upper('{TENANT}') then coalesce(k.job_sts, l.job_sts) else l.job_sts end as job_sts,
+       case when l.monoline = upper('{TENANT}') then coalesce(k.rmrk, l.rmrk) else l.rmrk end as rmrk
+from job_log l left join keyed k on k.job_nm = l.job_nm and k.dl_data_dt = l.dl_data_dt and k.status = 'OK'""",
+    "job_log", extra=_KEYED_CTES)
+
+
 @query("ledger_delete")
 def q_ledger_delete(spark, sf):
     log = ledger.delete_where(fx.job_log(spark, sf), F.col("job_sts") == ledger.STS_TRIGGER_RUNNING)
@@ -748,6 +885,29 @@ select db_nm, 'export', job_nm, cast(2 as bigint), hldy_type
 from job_config where actv_flag is not null and expt_data_type = 'cosmos_db'""", "job_config")
 
 
+@query("config_json_quarantine")
+def q_config_json_quarantine(spark, sf):
+    """How many objects each document gave; a document that cannot be read gives none
+    and does not end the job."""
+    good, bad = checked_documents(fx.area_doc(spark, sf), "doc", AREA_SCHEMA)
+    loaded = good.groupBy("k").agg(F.count(F.lit(1)).alias("n_objects"),
+                                   F.sum(F.coalesce(F.size("job"), F.lit(0))).alias("n_jobs"))
+    return loaded.withColumn("status", F.lit("LOADED")).unionByName(bad.select(
+        "k", F.lit(0).cast("bigint").alias("n_objects"), F.lit(0).cast("bigint").alias("n_jobs"),
+        F.lit("QUARANTINED").alias("status")))
+
+
+SQL["config_json_quarantine"] = W("""
+select k, case when ok then len(objs) else 0 end::bigint as n_objects,
+       case when ok then list_sum(list_transform(objs, lambda o: coalesce(json_array_length(o, '$.job'), 0))) else 0 end::bigint
+         as n_jobs, case when ok then 'LOADED' else 'QUARANTINED' end as status
+from (select k, objs, coalesce(len(objs) > 0 and len(list_filter(objs, lambda o: json_type(o) <> 'OBJECT')) = 0, false) as ok
+      from (select k, case when doc is null or not json_valid(doc) then null
+                           when json_type(doc) = 'ARRAY' then json_extract(doc, '$[*]')
+                           when json_type(doc) = 'OBJECT' then [doc::json] end as objs
+            from area_doc) p) q""", "area_doc")
+
+
 # ===================================================================== X11, X12
 @query("run_ids")
 def q_run_ids(spark, sf):
@@ -807,6 +967,32 @@ def q_rewrap_roundtrip(spark, sf):
 SQL["rewrap_roundtrip"] = _ENCRYPT_SQL
 
 
+@query("envelope_rotation")
+def q_envelope_rotation(spark, sf):
+    """Names under the data key of their nation; the ring is rotated, the names stay."""
+    old, new = secrets.token_bytes(32), secrets.token_bytes(32)
+    ring = create_key_ring(read_table(spark, sf, "nation"), old, "n_nationkey")
+    names = read_table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("key_id"))
+    # Ciphertexts have random nonces: they are drawn once and kept.
+    kept = cut_lineage(encrypt_with_ring(names.withColumn("enc", F.col("c_name")), ["enc"], ring, old))
+    rotated = cut_lineage(rotate_key_ring(ring, old, new))
+    shown = kept.withColumns({c: F.col("enc") for c in ("opened", "by_old_wrap", "by_old_ring")}).withColumn(
+        "is_changed", F.col("enc") != F.col("c_name"))
+    out = decrypt_with_ring(shown, ["opened"], rotated, new)
+    out = decrypt_with_ring(out, ["by_old_wrap"], rotated, old)
+    out = decrypt_with_ring(out, ["by_old_ring"], ring, new)
+    return out.select("c_custkey", "key_id", "c_name", "opened", "is_changed", F.length("enc").alias("cipher_len"),
+                      F.col("by_old_wrap").isNull().alias("shut_to_old_wrap"),
+                      F.col("by_old_ring").isNull().alias("old_ring_is_shut"))
+
+
+SQL["envelope_rotation"] = """
+select c_custkey, c_nationkey as key_id, c_name, c_name as opened, true as is_changed,
+       cast(4 * ((octet_length(encode(c_name)) + 28 + 2) // 3) as integer) as cipher_len,
+       true as shut_to_old_wrap, true as old_ring_is_shut
+from customer"""
+
+
 # ===================================================================== A2 + A3 as a stream
 @query("stream_run_status")
 def q_stream_run_status(spark, sf):
@@ -840,7 +1026,7 @@ def q_activity_last_copy_count(spark, sf):
     """Per run: files written by the last Copy (by sequence) against the
     number of files listed for the run; no Copy reporting counts -> NULL."""
     last = reconcile.copy_totals(_activities(spark, sf), ["run_id"], MAX_MISMATCH, with_data=False,
-                                 order=["activity_seq", "activity_id"]).select(
+                                 order=_activity_order()).select(
         "run_id", "last_files_written", "failed")
     blob = reconcile.listing_totals(_blob_by_run(spark, sf), ["run_id"], tag="blob").select(
         "run_id", "blob_files")
@@ -865,31 +1051,92 @@ full outer join (select cast(regexp_extract(file_nm, '^f_([0-9]+)\\.dat$', 1) as
 on l.run_id = b.run_id""", "activity_run", "manifest_sent", extra={"a": _ACT_SQL})
 
 
-# ===================================================================== J4 + J5 + U2: a verdict per run
+# ===================================================================== J4, J5 + U2: a verdict per run
+def _copied(spark, sf):
+    """Listed files of the runs (every 29th run lists none): data, control."""
+    listed = F.col("run_id") % 29 != 0
+    cols = ["run_id", "file_nm", "file_size"]
+    return (_blob_by_run(spark, sf).where(listed).select(*cols), fx.ctl_listing(spark, sf).where(listed).select(*cols))
+
+
+def _verdicts(spark, sf, rule):
+    data, control = _copied(spark, sf)
+    acts = reconcile.parse_reports(fx.copy_report(spark, sf))
+    facts = reconcile.copy_facts(acts, ["run_id"], META_ACTIVITY, "activity_seq", data, control)
+    return reconcile.run_verdicts(facts, ["run_id"], rule, MAX_MISMATCH)
+
+
+# The checks as they were written: Copies are counted up, a failing one is retried
+# MAX_MISMATCH times; a dictionary keeps the last size of each name; every listed
+# name is looked up in it.
+_CHECK_SQL = {
+    "r": _REPORTS_READ_SQL,
+    "a": _REPORT_SQL,
+    "data": f"""select run_id, file_nm, file_size from ({_LISTED_SQL}) l where file_nm like 'f%' and run_id % 29 <> 0""",
+    "control": "select run_id, file_nm, file_size from ctl_listing where run_id % 29 <> 0",
+    "both_lists": "select * from data union all select * from control",
+    "copies": """
+select run_id, activity_seq, files_read as fr, files_written as fw, data_read as dr, data_written as dw
+from a where activity_type = 'Copy'""",
+    "said": f"""
+select run_id, item_name, item_size from a
+where activity_type = 'GetMetadata' and activity_name = '{META_ACTIVITY}'
+qualify row_number() over (partition by run_id, item_name order by activity_seq desc) = 1""",
+    "faults": f"""
+select run_id, count(*) filter (where is_malformed or (activity_type = 'GetMetadata' and activity_name = '{META_ACTIVITY}'
+         and (item_name is null or item_size is null))) as n from a group by run_id""",
+    "runs": "select run_id from copy_report union select run_id from data union select run_id from control",
+}
+
+
+def _verdict_sql(bad: str, copied: str, listed: str, wrong: str, counted: str) -> str:
+    return W(f"""
+select runs.run_id, coalesce(faults.n, 0)::bigint as n_malformed,
+  (select count(*) from copies c where c.run_id = runs.run_id and ({bad}))::bigint as n_bad,
+  ({copied})::bigint as copied, ({listed})::bigint as listed, ({wrong})::bigint as n_wrong_files,
+  case when faults.n is null then 'NOT_REPORTED' when faults.n > 0 then 'MALFORMED'
+       when (select count(*) from copies c where c.run_id = runs.run_id and ({bad})) > {MAX_MISMATCH} then 'MISMATCH'
+       when ({copied}) is distinct from ({listed}) then '{counted}' when ({wrong}) > 0 then 'SIZE' else 'OK' end as verdict
+from runs left join faults on faults.run_id = runs.run_id""", "copy_report", "manifest_sent", "ctl_listing",
+             extra=_CHECK_SQL)
+
+
+def _wrong_sql(listing: str) -> str:
+    return (f"select count(*) from {listing} l left join said s on s.run_id = l.run_id and s.item_name = l.file_nm "
+            "where l.run_id = runs.run_id and s.item_size is distinct from l.file_size")
+
+
 @query("activity_run_verdict")
 def q_activity_run_verdict(spark, sf):
-    return reconcile.run_verdicts(_activities(spark, sf), _listed(spark, sf), ["run_id"], MAX_MISMATCH,
-                                  META_ACTIVITY, ["activity_seq", "activity_id"])
-
-
-SQL["activity_run_verdict"] = W(f"""
-select coalesce(t.run_id, f.run_id) as run_id, cast(0 as bigint) as n_malformed,
-       coalesce(t.n_bad, 0) as n_bad, t.last_files_written, coalesce(f.listed_files, 0) as listed_files,
-       coalesce(f.n_wrong, 0) as n_wrong_files,
-       case when t.run_id is null then 'NOT_REPORTED' when t.failed then 'MISMATCH'
-            when t.last_files_written is not null and t.last_files_written <> coalesce(f.listed_files, 0) then 'COUNT'
-            when coalesce(f.n_wrong, 0) > 0 then 'SIZE' else 'OK' end as verdict
-from totals t full outer join (
-  select run_id, cast(sum(n_tgt) as bigint) as listed_files,
-         count(*) filter (where n_src > 0 and status <> 'MATCH') as n_wrong
-  from cmp group by run_id) f on t.run_id = f.run_id""", "activity_run", "manifest_sent", "ctl_listing", extra={
-    "a": _ACT_SQL, "totals": _COPY_TOTALS_SQL, "listed": _LISTED_SQL,
-    "last_meta": f"""
-select run_id, item as file_nm,
-       arg_max(sz, struct_pack(s := activity_seq, i := activity_id, z := sz)) as file_size
-from a where t = 'GetMetadata' and nm = '{META_ACTIVITY}' and item is not null
-group by run_id, item""",
-    "cmp": _compare_sql("last_meta", "listed", ["run_id", "file_nm"])})
+    return _verdicts(spark, sf, reconcile.TOTAL_FILES)
+
+
+SQL["activity_run_verdict"] = _verdict_sql(
+    "fr is null or fw is null or fr <> fw",
+    "select coalesce(sum(fw), 0) from copies c where c.run_id = runs.run_id and fr is not null and fw is not null",
+    "select count(*) from both_lists l where l.run_id = runs.run_id", _wrong_sql("both_lists"), "COUNT")
+
+
+@query("activity_last_copy_verdict")
+def q_activity_last_copy_verdict(spark, sf):
+    return _verdicts(spark, sf, reconcile.LAST_COPY)
+
+
+SQL["activity_last_copy_verdict"] = _verdict_sql(
+    "fr is null or fw is null or fr <> fw",
+    "select arg_max(fw, activity_seq) from copies c where c.run_id = runs.run_id and fr is not null and fw is not null",
+    "select count(*) from data l where l.run_id = runs.run_id", _wrong_sql("data"), "COUNT")
+
+
+@query("activity_bytes_verdict")
+def q_activity_bytes_verdict(spark, sf):
+    return _verdicts(spark, sf, reconcile.TOTAL_BYTES)
+
+
+SQL["activity_bytes_verdict"] = _verdict_sql(
+    "fr is null or fw is null or fr <> fw or dr is null or dw is null or dr <> dw",
+    "select coalesce(sum(dw), 0) from copies c where c.run_id = runs.run_id and fr = fw and dr is not null",
+    "select coalesce(sum(file_size), 0) from both_lists l where l.run_id = runs.run_id", "0", "SIZE")
 
 
 # ===================================================================== S4: dependencies of job documents

@@ -93,6 +93,10 @@ def job_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("actv_flag"),
         F.when(k % 8 == 2, "cosmos_db").otherwise("file").alias("expt_data_type"),
         F.when(k % 16 == 10, "not json")
+        .when(k % 80 == 2, "{'trgt_container_nm':'quoted'}")
+        .when(k % 80 == 18, '{"trgt_container_nm": null}')
+        .when(k % 80 == 34, '{"trgt_container_nm":"two\nlines"}')
+        .when(k % 160 == 50, '{"container":"other"}')
         .when(
             k % 8 == 2,
             F.concat(F.lit('{"trgt_container_nm":"cont_'), k.cast("string"), F.lit('"}')),
@@ -126,6 +130,46 @@ def job_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cfg.unionByName(cfg.where(F.col("_k") % 100 == 0)).drop("_k")
 
 
+@_once
+def allowed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of allowed values as a table; the list of export names grows with the jobs."""
+    c = read_table(spark, sf_dir, "customer")
+    k, name = F.col("c_custkey"), F.concat(F.lit("OUT_"), F.col("c_custkey").cast("string"))
+    names = c.where(k % 3 != 0).select(
+        F.lit("expt_file_nm_fmt").alias("column_name"), F.concat(name, F.lit(".CSV")).alias("allowed_value"))
+    as_is = c.where(k % 6 == 1).select(F.lit("expt_file_nm_fmt").alias("column_name"),
+                                       F.concat(name, F.lit(".csv")).alias("allowed_value"))
+    segments = c.where(F.col("c_mktsegment") != "BUILDING").select(
+        F.lit("trgt_tbl_nm").alias("column_name"), F.col("c_mktsegment").alias("allowed_value")).distinct()
+    types = spark.createDataFrame([("hldy_type", "WEEKEND"), ("hldy_type", "HOLIDAY"), ("other", "x"), ("hldy_type", None)],
+                                  "column_name string, allowed_value string")
+    return names.unionByName(as_is).unionByName(segments).unionByName(types)
+
+
+# Area documents, most of them good: (k modulo, remainder, text with {k}).  First hit wins.
+AREA_DOCS = (
+    (31, 0, '{"area_nm":"a{k}","job":[{"job_nm":"pi_{k}"'),
+    (37, 0, "{'area_nm':'a{k}'}"),
+    (41, 0, '{"area_nm":"a{k}"} {"area_nm":"b{k}"}'),
+    (43, 0, '"a{k}"'),
+    (47, 0, '[{"area_nm":"a{k}"},"b{k}"]'),
+    (53, 0, None),
+    (59, 0, ""),
+    (3, 0, '[{"area_nm":"a{k}","job":[{"job_nm":"pi_{k}","job_seq":1},{"job_nm":"pt_{k}"}]},\n {"area_nm":"b{k}"}]'),
+    (1, 0, '{"area_nm":"a{k}",\n "job":[{"job_nm":"pi_{k}","job_seq":1}]}\n'),
+)
+
+
+@_once
+def area_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    doc = None
+    for mod, rest, text in AREA_DOCS:
+        value = F.replace(F.lit(text).cast("string"), F.lit("{k}"), k.cast("string"))
+        doc = F.when(k % mod == rest, value) if doc is None else doc.when(k % mod == rest, value)
+    return read_table(spark, sf_dir, "customer").select(k.alias("k"), doc.alias("doc"))
+
+
 @_once
 def hldy(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
@@ -206,6 +250,82 @@ def activity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_once
+def activity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activities of ``activity_run`` as the copy service sends them: one
+    document per run, the activities in order under ``value``."""
+    acts = F.array_sort(F.collect_list(F.struct("activity_seq", "activity_id", "doc")))
+    return activity_run(spark, sf_dir).groupBy("run_id").agg(acts.alias("a")).select(
+        "run_id", F.concat(F.lit('{"runId":"r","value":['), F.array_join(F.col("a.doc"), ","),
+                           F.lit("]}")).alias("doc"))
+
+
+# One whole report per run, with every fault that the copy checks tell apart:
+# (k modulo, remainder, text in place of the report).  First hit wins.
+BAD_REPORTS = (
+    (101, 0, '{"value":[{"activityType":"Copy"'),
+    (103, 0, '{"value":[]} trailing'),
+    (107, 0, "{'value':[]}"),
+    (109, 0, '{"value":[],"note":"two\nlines"}'),
+    (113, 0, '{"value":null}'),
+    (127, 0, '{"values":[]}'),
+    (131, 0, '[{"activityType":"Copy"}]'),
+    (137, 0, None),
+    (139, 0, '{"value":["text"]}'),
+    (149, 0, '{"value":[{"activityName":"Copy File"}]}'),
+    (151, 0, '{"value":[]}'),
+    (157, 0, '{"value":[{"activityType":"GetMetadata","activityName":"Get File","output":{"itemName":"f"}}]}'),
+)
+# Activities of a run's report in order: (SQL condition on k, JSON with {k} and {s}).
+REPORT_ACTIVITIES = (
+    ("true", '{"activityType":"Wait","activityName":"Get File"}'),
+    ("k % 11 not in (3, 5)", '{"activityType":"Copy","activityName":"A","output":{"filesRead":1,"filesWritten":1,'
+     '"dataRead":{s},"dataWritten":{s}}}'),
+    ("k % 11 = 3", '{"activityType":"Copy","activityName":"A","output":{"filesRead":1,"filesWritten":0,'
+     '"dataRead":{s},"dataWritten":{s}}}'),
+    ("k % 11 = 5", '{"activityType":"Copy","activityName":"A"}'),
+    ("k % 33 = 3", '{"activityType":"Copy","activityName":"A","output":{"filesRead":2,"filesWritten":null}}'),
+    ("k % 55 = 5", '{"activityType":"Copy","activityName":"A","output":"failed"}'),
+    ("k % 4 = 1 and k % 12 <> 1", '{"activityType":"Copy","activityName":"C","output":{"filesRead":"1",'
+     '"filesWritten":"1","dataRead":64,"dataWritten":64}}'),
+    ("k % 13 = 2", '{"activityType":"Copy","activityName":"B","output":{"filesRead":0,"filesWritten":0,'
+     '"dataRead":9,"dataWritten":8}}'),
+    ("k % 9 <> 0", '{"activityType":"GetMetadata","activityName":"Get File","output":{"itemName":"f_{k}.dat",'
+     '"size":{s}}}'),
+    ("k % 7 = 0", '{"activityType":"GetMetadata","activityName":"Get File","output":{"itemName":"f_{k}.dat",'
+     '"size":5}}'),
+    ("k % 14 = 0", '{"activityType":"GetMetadata","activityName":"Get File","output":{"itemName":"f_{k}.dat",'
+     '"size":{s}}}'),
+    ("k % 4 = 1 and k % 24 <> 1", '{"activityType":"GetMetadata","activityName":"Get File","output":'
+     '{"itemName":"c_{k}.ctl","size":64}}'),
+    ("k % 19 = 0", '{"activityType":"GetMetadata","activityName":"Get File","output":{"itemName":"x_{k}.dat",'
+     '"size":1}}'),
+    ("k % 3 = 0", '{"activityType":"GetMetadata","activityName":"Other","output":{"itemName":"f_{k}.dat",'
+     '"size":2}}'),
+)
+
+
+def _activity_text(text: str):
+    k, s = F.col("k").cast("string"), F.col("s").cast("string")
+    return F.replace(F.replace(F.lit(text), F.lit("{k}"), k), F.lit("{s}"), s)
+
+
+@_once
+def copy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole report for each run but every 23rd: what is right, each kind of
+    mismatch, and malformed documents."""
+    runs = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("bigint").alias("s")).where("k % 23 <> 0")
+    acts = [F.when(F.expr(cond), _activity_text(text)) for cond, text in REPORT_ACTIVITIES]
+    doc = F.concat(F.lit('{"value":['), F.concat_ws(",", *acts), F.lit("]}"))
+    bad = None
+    for mod, rest, text in BAD_REPORTS:
+        cond = F.col("k") % mod == rest
+        value = F.lit(text).cast("string")
+        bad = F.when(cond, value) if bad is None else bad.when(cond, value)
+    return runs.select(F.col("k").alias("run_id"), bad.otherwise(doc).alias("doc"))
+
+
 @_once
 def ctl_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
@@ -265,6 +385,10 @@ select concat({_PREFIX_SQL.format(k='c_custkey')}, '_', cast(c_custkey as string
        case c_custkey % 10 when 7 then 'N' when 8 then 'y' when 9 then null else 'Y' end as actv_flag,
        case when c_custkey % 8 = 2 then 'cosmos_db' else 'file' end as expt_data_type,
        case when c_custkey % 16 = 10 then 'not json'
+            when c_custkey % 80 = 2 then '{{''trgt_container_nm'':''quoted''}}'
+            when c_custkey % 80 = 18 then '{{"trgt_container_nm": null}}'
+            when c_custkey % 80 = 34 then concat('{{"trgt_container_nm":"two', chr(10), 'lines"}}')
+            when c_custkey % 160 = 50 then '{{"container":"other"}}'
             when c_custkey % 8 = 2 then concat('{{"trgt_container_nm":"cont_', cast(c_custkey as string), '"}}')
             else null end as expt_file_ppty,
        case when c_custkey % 12 = 6 then null
@@ -276,6 +400,16 @@ select concat({_PREFIX_SQL.format(k='c_custkey')}, '_', cast(c_custkey as string
        concat(case c_custkey % 5 when 0 then 'CardX' when 1 then 'card2' when 2 then 'AUTOX'
                                  when 3 then 'dl' else 'misc' end, '_db') as db_nm
 from customer{where}""" for where in ("", "\nwhere c_custkey % 100 = 0")),
+    "allowed_values": """
+select 'expt_file_nm_fmt' as column_name, concat('OUT_', cast(c_custkey as string), '.CSV') as allowed_value
+from customer where c_custkey % 3 <> 0
+union all select 'expt_file_nm_fmt', concat('OUT_', cast(c_custkey as string), '.csv') from customer where c_custkey % 6 = 1
+union all select distinct 'trgt_tbl_nm', c_mktsegment from customer where c_mktsegment <> 'BUILDING'
+union all select * from (values ('hldy_type', 'WEEKEND'), ('hldy_type', 'HOLIDAY'), ('other', 'x'), ('hldy_type', null)) t""",
+    "area_doc": "select c_custkey as k, case " + " ".join(
+        f"when c_custkey % {m} = {r} then "
+        + ("null" if t is None else "replace('" + t.replace("'", "''") + "', '{k}', cast(c_custkey as string))")
+        for m, r, t in AREA_DOCS) + " end as doc from customer",
     "hldy": """
 select distinct cast(cast(o_orderdate as date) as string) as dt_en
 from orders where o_orderkey % 40 = 0""",
@@ -307,6 +441,17 @@ select l_orderkey as run_id, l_linenumber as activity_seq, l_partkey as activity
                 cast(cast(floor(l_extendedprice) as bigint) - case when l_partkey % 50 = 2 then 1 else 0 end as string),
                 '}}') end as doc
 from lineitem""",
+    "activity_report": """
+select run_id, concat('{"runId":"r","value":[', string_agg(doc, ',' order by activity_seq, activity_id), ']}') as doc
+from activity_run group by run_id""",
+    "copy_report": "select k as run_id, case "
+    + " ".join(f"when k % {m} = {r} then " + ("null" if t is None else "'" + t.replace("'", "''") + "'")
+               for m, r, t in BAD_REPORTS)
+    + """ else concat('{"value":[', concat_ws(',', """
+    + ", ".join(f"case when {c} then replace(replace('{t}', '{{k}}', cast(k as string)), "
+                f"'{{s}}', cast(s as string)) end" for c, t in REPORT_ACTIVITIES)
+    + """), ']}') end as doc
+from (select o_orderkey as k, cast(floor(o_totalprice) as bigint) as s from orders) o where k % 23 <> 0""",
     "ctl_line": """
 select event_id as file_id,
        case when event_id % 25 = 0 then 'H|short'
@@ -327,11 +472,15 @@ from orders""",
 BUILDERS = {
     "job_log": job_log,
     "job_config": job_config,
+    "allowed_values": allowed_values,
+    "area_doc": area_doc,
     "hldy": hldy,
     "manifest_sent": manifest_sent,
     "manifest_recv": manifest_recv,
     "ctl_listing": ctl_listing,
     "activity_run": activity_run,
+    "activity_report": activity_report,
+    "copy_report": copy_report,
     "ctl_line": ctl_line,
     "dt_text": dt_text,
 }

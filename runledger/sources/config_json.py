@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runledger.functions.columns import STRICT_JSON, is_json
+from runledger.sources.control_files import plain_path
+from runledger.sources.manifests import list_files
+
 _S = T.StringType()
 
 AREA_JOB = T.StructType([
@@ -44,6 +48,35 @@ def read_config_json(spark: SparkSession, glob: str, schema: T.StructType | None
     return r.json(glob)
 
 
+def checked_documents(df: DataFrame, doc_col: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S2 with a quarantine: ``(good, bad)`` of a table with a JSON document per row.
+
+    A document is one JSON object or a list of them, strictly written and whole.
+    ``good`` has a row per object (the other columns and the fields of ``schema``);
+    ``bad`` the rows whose document is anything else (an empty or NULL one, a cut one,
+    one with more text after it, a list that holds something else), as they are.
+    """
+    keep = [c for c in df.columns if c != doc_col]
+    c = F.btrim(F.col(doc_col), F.lit(" \t\r\n"))
+    # An object is read as a list of one; what the reader cannot take at all is NULL.
+    objects = F.from_json(c, T.ArrayType(schema), STRICT_JSON)
+    parsed = df.withColumn("_objects", F.when(is_json(doc_col) & (c.startswith("{") | c.startswith("[")), objects))
+    fine = F.col("_objects").isNotNull() & ~F.exists("_objects", lambda o: o.isNull())
+    good = parsed.where(fine).select(*keep, F.inline("_objects"))
+    bad = parsed.where(~F.coalesce(fine, F.lit(False))).select(*df.columns)
+    return good, bad
+
+
+def read_config_checked(spark: SparkSession, glob: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """S2 with a quarantine over files: ``good`` has ``path`` and the fields of
+    ``schema``, ``bad`` the ``path`` and ``text`` of each file that cannot be read
+    (a file without a byte is among them).  One bad file does not end the job."""
+    files = spark.read.text(glob, wholetext=True).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    empty = list_files(spark, glob).where(F.col("file_size") == 0).select("path", F.lit("").alias("text"))
+    return checked_documents(files.unionByName(empty), "text", schema)
+
+
 def flatten_area(df: DataFrame) -> DataFrame:
     """S3: one row per job of an area."""
     return df.select("area_nm", F.explode("job").alias("j")).select(

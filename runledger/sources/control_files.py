@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.sources.manifests import list_files
+
 # Python's int() accepts surrounding blanks and a sign; nothing else here.
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
@@ -70,16 +72,20 @@ def control_counts_of_lines(df: DataFrame, line_col: str, spec: ControlSpec = Co
                      cnt.isNotNull().alias("is_valid"))
 
 
-def _plain_path(path: Column) -> Column:
+def plain_path(path: Column) -> Column:
     """The path as it was given: the metadata column holds it URL-encoded."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def read_control_files(spark: SparkSession, glob: str, spec: ControlSpec = ControlSpec()) -> DataFrame:
-    """S6 over files: one row per file with its count (NULL when not an integer)."""
+    """S6 over files: one row per file with its count (NULL when not an integer, or
+    when the file holds no byte: Spark's scan skips those, the listing has them)."""
     files = spark.read.text(glob, wholetext=True).select(
-        _plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
     # blank lines are skipped, as the CSV reader does
     lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda x: F.trim(x) != "")
     data_line = F.get(lines, F.lit(1 if spec.header else 0))
-    return control_counts_of_lines(files.withColumn("line", data_line), "line", spec, keep=("path",))
+    empty = list_files(spark, glob).where(F.col("file_size") == 0)
+    found = files.select("path", data_line.alias("line")).unionByName(
+        empty.select("path", F.lit(None).cast("string").alias("line")))
+    return control_counts_of_lines(found, "line", spec, keep=("path",))

@@ -115,3 +115,34 @@ def test_marker_hooks(env, spark):
     # A new run of the same job and date removes the marker.
     env.insert_log("tbl_log", {"log_no": "2", "job_nm": "pi_1", "dl_data_dt": "2024-01-02", "job_sts": "RUNNING"})
     assert spark.table(f"{env.db}.tbl_markers").count() == 0
+
+
+def test_job_configuration_log(env, spark):
+    spark.createDataFrame([], "job_nm string, actv_flag string, n string").write.saveAsTable(f"{env.db}.tbl_cfg_log")
+    env.insert_log_job_configuration("tbl_cfg_log", {"job_nm": "pi_1", "actv_flag": False, "n": 0})
+    env.insert_log_job_configuration("tbl_cfg_log", [{"job_nm": "it's", "actv_flag": True}, {"n": "5", "actv_flag": ""}],
+                                     multi_values=True)
+    got = sorted((tuple(r) for r in spark.table(f"{env.db}.tbl_cfg_log").collect()), key=str)
+    assert got == sorted([("pi_1", None, None), ('it"s', "True", None), (None, None, "5")], key=str)
+
+
+def test_bulk_update(env, spark):
+    for i, job in enumerate(["pi_1", "pi_2", "pi_2"]):
+        env.insert_log("tbl_log", {"log_no": str(i), "job_nm": job, "dl_data_dt": "2024-01-01", "job_sts": "RUNNING"})
+    new = spark.createDataFrame([("pi_1", "DONE"), ("pi_2", "DONE")], "job_nm string, job_sts string")
+    status = env.update_log_bulk("tbl_log", new, ["job_nm"], ["job_sts"], "Y")
+    assert {r.job_nm: r.status for r in status.collect()} == {"pi_1": "OK", "pi_2": "DUPLICATE_ROWS"}
+    assert {r.log_no: r.job_sts for r in spark.table(f"{env.db}.tbl_log").collect()} == {"0": "DONE", "1": "RUNNING", "2": "RUNNING"}
+
+
+def test_copy_check_counts_empty_and_hidden_files(env, tmp_dir):
+    for d, size in [("a", 5), ("b", 0)]:
+        os.makedirs(f"{tmp_dir}/{d}")
+        for name in ("f.dat", "_g.dat"):
+            with open(f"{tmp_dir}/{d}/{name}", "w") as fh:
+                fh.write("x" * (size if name == "f.dat" else 3))
+    env.vld_copy_file([f"{tmp_dir}/a/_g.dat"], [f"{tmp_dir}/b/_g.dat"])
+    with pytest.raises(RuntimeError) as e:
+        env.vld_copy_file([f"{tmp_dir}/a/f.dat", f"{tmp_dir}/a/_g.dat"], [f"{tmp_dir}/b/f.dat", f"{tmp_dir}/b/_g.dat"])
+    # The emptied copy is a difference of size, not a missing file.
+    assert [(r["file_nm"], r["src_size"], r["tgt_size"]) for r in e.value.args[1]] == [("f.dat", 5, 0)]

@@ -3,6 +3,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from runledger.sources import config_json as cj
 from runledger.sources.control_files import ControlSpec, read_control_files
 from runledger.sources.manifests import file_manifest
@@ -74,3 +76,52 @@ def test_control_lines_with_extra_and_missing_fields(spark):
     df = spark.createDataFrame([("H|a|b|c|d|42|x|y",), ("H|a",), ('H|"q|q"|b|c|d| 7 ',), ("",)], "line string")
     got = [r.ctl_count for r in control_counts_of_lines(df, "line").collect()]
     assert got == [42, None, 7, None]
+
+
+def test_listing_holds_empty_and_hidden_files(spark, tmp_dir):
+    from runledger.sources.manifests import list_files
+
+    for name, text in [("a.dat", "12345"), ("b.dat", ""), ("_c.dat", "1"), (".d.dat", "22"), ("sub/e.dat", "333"),
+                       ("sub/deep/f.dat", ""), ("sub two/g.dat", "1")]:
+        write(f"{tmp_dir}/in/{name}", text)
+
+    def found(paths, **kw):
+        return sorted((r.file_nm, r.file_size) for r in list_files(spark, paths, **kw).collect())
+
+    top = [(".d.dat", 2), ("_c.dat", 1), ("a.dat", 5), ("b.dat", 0)]
+    assert found(f"{tmp_dir}/in") == found(f"file://{tmp_dir}/in/") == sorted(top)
+    assert found(f"{tmp_dir}/in", recursive=True) == sorted(top + [("e.dat", 3), ("f.dat", 0), ("g.dat", 1)])
+    assert found(f"{tmp_dir}/in/*.dat") == sorted(top)
+    assert found(f"file://{tmp_dir}/in/?.dat") == [("a.dat", 5), ("b.dat", 0)]
+    assert found(f"{tmp_dir}/in/sub*/[eg].dat") == [("e.dat", 3), ("g.dat", 1)]
+    assert found(f"{tmp_dir}/in/none*") == [] == found([])
+    named = [f"{tmp_dir}/in/b.dat", f"{tmp_dir}/in/_c.dat", f"{tmp_dir}/in/b.dat"]
+    assert found(named) == [("_c.dat", 1), ("b.dat", 0), ("b.dat", 0)]
+    df = list_files(spark, f"{tmp_dir}/in", recursive=True)
+    assert df.rdd.getNumPartitions() == 3 and df.columns == ["path", "file_nm", "file_size"]
+    import pytest
+    with pytest.raises(Exception, match="missing"):
+        list_files(spark, f"{tmp_dir}/in/missing").collect()
+
+
+def test_empty_control_file_is_a_row(spark, tmp_dir):
+    write(f"{tmp_dir}/ctl3/a.ctl", "H|x|1|a|b|42\n")
+    write(f"{tmp_dir}/ctl3/b.ctl", "")
+    got = {os.path.basename(r.path): (r.ctl_count, r.is_valid) for r in read_control_files(spark, f"{tmp_dir}/ctl3/*.ctl").collect()}
+    assert got == {"a.ctl": (42, True), "b.ctl": (None, False)}
+
+
+def test_bad_config_files_are_kept_apart(spark, tmp_dir):
+    write(f"{tmp_dir}/q/a.json", json.dumps({"area_nm": "A", "job": [{"job_nm": "pi_1", "job_seq": 1}]}, indent=2))
+    write(f"{tmp_dir}/q/b.json", '{"area_nm": "B", "job": [')
+    write(f"{tmp_dir}/q/c.json", json.dumps([{"area_nm": "C1"}, {"area_nm": "C2", "job": []}], indent=2))
+    write(f"{tmp_dir}/q/d.json", "")
+    write(f"{tmp_dir}/q/e.json", "{'area_nm': 'E'}")
+    write(f"{tmp_dir}/q/f.json", '{"area_nm": "F"} {"area_nm": "G"}')
+    write(f"{tmp_dir}/q/g.json", '[{"area_nm": "G"}, 5]')
+    good, bad = cj.read_config_checked(spark, f"{tmp_dir}/q/*.json", cj.AREA_SCHEMA)
+    assert sorted((os.path.basename(r.path), r.area_nm) for r in good.collect()) == [
+        ("a.json", "A"), ("c.json", "C1"), ("c.json", "C2")]
+    assert [r.job_nm for r in cj.flatten_area(good).collect()] == ["pi_1"]
+    assert sorted(os.path.basename(r.path) for r in bad.collect()) == ["b.json", "d.json", "e.json", "f.json", "g.json"]
+    assert {r.text for r in bad.where(F.col("path").endswith("b.json")).collect()} == {'{"area_nm": "B", "job": ['}
