@@ -4,8 +4,8 @@ A document is its token ids and one end id; a document longer than the capacity
 is cut into full pieces, the first piece taking the remainder.  Pieces are
 dealt by hash into groups of bounded size.  Every group is packed on its own:
 best fit by decreasing length, then a local search that moves a piece, or
-exchanges one for one or one for two pieces, from an emptier bin to a fuller
-one.  Each step raises the sum of squared fills, so the emptiest bins drain
+exchanges one for one, one for two or two for one, from an emptier bin to a fuller
+one, until no underfull bin can give any more.  Each step raises the sum of squared fills, so the emptiest bins drain
 until they are gone.  What is left in loosely filled bins of all groups is
 dealt and packed once more, so the loss per group does not add up.
 
@@ -17,6 +17,7 @@ are ignored.  A document of any length is tokenised whole.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP = 4096            # pieces packed together
 LOOSE = 0.97            # bins filled less than this go to the second round
-DONORS = 12             # emptiest bins that the search takes pieces from
+DONORS = 12             # emptiest bins that give pieces before the next ones do
 CACHED_CHUNKS = 2_000_000  # chunks kept per worker before its cache begins anew
 
 RUN_BYTES = 1 << 23      # bytes of text encoded together
@@ -215,39 +216,86 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _pair_below(sizes: list[int], most: int) -> tuple[int, int, int] | None:
+    """The largest sum of two of ``sizes`` (ascending) that is at most ``most``."""
+    best, i, j = None, 0, len(sizes) - 1
+    while i < j:
+        total = sizes[i] + sizes[j]
+        if total > most:
+            j -= 1
+        else:
+            if best is None or total > best[0]:
+                best = (total, i, j)
+            i += 1
+    return best
+
+
+def _pair_above(sizes: list[int], least: int) -> tuple[int, int, int] | None:
+    """The smallest sum of two of ``sizes`` (ascending) that is at least ``least``."""
+    best, i, j = None, 0, len(sizes) - 1
+    while i < j:
+        total = sizes[i] + sizes[j]
+        if total < least:
+            i += 1
+        else:
+            if best is None or total < best[0]:
+                best = (total, i, j)
+            j -= 1
+    return best
+
+
 def _step(lengths, receiver, donor, gap):
-    """The best exchange that puts at most ``gap`` more into ``receiver``:
-    (gain, pieces given back, pieces taken)."""
+    """The best exchange that puts at most ``gap`` more into ``receiver``: (gain, pieces
+    given back, pieces taken).  A piece moves, or one is exchanged for one, one for
+    two of the donor's, or two for one of the donor's.  Both bins ascend by length."""
+    mine, theirs = [lengths[i] for i in receiver], [lengths[i] for i in donor]
     best = (0, None, None)
-    for i, b in enumerate(donor):
-        nb = lengths[b]
-        if best[0] < nb <= gap:                                  # move
-            best = (nb, (), (b,))
-        for a in receiver:
-            d = nb - lengths[a]
-            if best[0] < d <= gap:                               # one for one
-                best = (d, (a,), (b,))
-            for c in donor[i + 1:]:                              # one for two
-                if best[0] < d + lengths[c] <= gap:
-                    best = (d + lengths[c], (a,), (b, c))
+
+    def better(gain, back, taken):
+        nonlocal best
+        if best[0] < gain <= gap:
+            best = (gain, back, taken)
+
+    k = bisect_right(theirs, gap)
+    if k:                                                        # move
+        better(theirs[k - 1], (), (donor[k - 1],))
+    for i, a in enumerate(mine):
+        k = bisect_right(theirs, gap + a)
+        if k:                                                    # one for one
+            better(theirs[k - 1] - a, (receiver[i],), (donor[k - 1],))
+        if len(theirs) > 1 and (found := _pair_below(theirs, gap + a)):
+            total, x, y = found                                  # one for two
+            better(total - a, (receiver[i],), (donor[x], donor[y]))
         if best[0] == gap:
-            break
+            return best
+    if len(mine) > 1:
+        for j, b in enumerate(theirs):                           # two for one
+            if found := _pair_above(mine, b - gap):
+                total, x, y = found
+                better(b - total, (receiver[x], receiver[y]), (donor[j],))
     return best
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Drain the emptiest bins into the fuller ones while the sum of squared
-    fills rises; stop when no step helps or the count is the least possible."""
+    fills rises.  The ``DONORS`` emptiest underfull bins give first; when they are
+    stuck the next ones do, so the search ends when no underfull bin can give to a
+    fuller one (or the count is the least possible)."""
     size = lengths.tolist()
     least = -(-sum(size) // capacity)
     fill = [sum(size[i] for i in b) for b in bins]
     count = len(bins)
-    moved = True
-    while moved and count > least:
-        moved = False
+    bins = [sorted(b, key=size.__getitem__) for b in bins]
+    start, stuck = 0, 0                  # stuck: underfull bins that gave nothing since the last step
+    while count > least:
         under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity),
                        key=lambda k: -fill[k])
-        donors = under[-DONORS:][::-1]
+        if stuck >= len(under):
+            break
+        if start >= len(under):
+            start = 0
+        donors = under[::-1][start:start + DONORS]
+        moved = False
         for r in under:
             for d in donors:
                 gap = capacity - fill[r]
@@ -258,15 +306,15 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                 gain, back, taken = _step(size, bins[r], bins[d], gap)
                 if not gain:
                     continue
-                bins[r] = [i for i in bins[r] if i not in back] + list(taken)
-                bins[d] = [i for i in bins[d] if i not in taken] + list(back)
+                bins[r] = sorted([i for i in bins[r] if i not in back] + list(taken), key=size.__getitem__)
+                bins[d] = sorted([i for i in bins[d] if i not in taken] + list(back), key=size.__getitem__)
                 fill[r] += gain
                 fill[d] -= gain
                 moved = True
                 if not bins[d]:
                     count -= 1
-        if count <= least:
-            break
+        # A chunk that gave goes on giving; else the next emptiest ones do, round and round.
+        start, stuck = (start, 0) if moved else (start + DONORS, stuck + len(donors))
     return [b for b in bins if b]
 
 
