@@ -5,8 +5,12 @@
    node and its ancestors, depth, and what its siblings are like.
 2. ``learn`` fits gradient-boosted trees on labelled pages.  The tables hold no
    labels, so pages are composed for it: paragraphs of at most ``SAMPLE_PAGES``
-   pages of the input in varied article markup, with menus, headers, footers,
-   sidebars, notices, adverts, forms and reader comments around and inside.
+   whole pages of the input, those with the smallest hashes of page_id, in varied
+   article markup, with menus, headers, footers, sidebars, notices, adverts, forms
+   and reader comments around and inside.  Half of the pages name the article's
+   holder in no way (no holder, bare or arbitrarily named ones, layout tables,
+   names of other parts), and a share hides the names of the other parts too, so
+   the trees have to learn density and siblings and not the names alone.
 3. ``decode`` labels the nodes of a page together by dynamic programming: a
    node is outside, inside or cut; inside a cut node all is cut, and a cut can
    only be made inside.  No kept node has a cut ancestor.
@@ -36,9 +40,10 @@ from pyspark.sql import functions as F
 from runledger.llm.common import read
 
 SAMPLE_PAGES = 200      # pages whose paragraphs the labelled pages are made of
-LABELLED_PAGES = 900
-TREES = 30
-DEPTH = 5
+POOL = 4000             # paragraphs of them, at most
+LABELLED_PAGES = 1400
+TREES = 50
+DEPTH = 6
 RUN = 256               # pages whose nodes are scored in one call
 
 _TOKEN = re.compile(
@@ -87,7 +92,8 @@ _TAGS = ("p", "h1 h2 h3 h4 h5 h6", "li", "ul ol dl menu", "div section", "table
          "blockquote pre figure figcaption", "body html")
 _TAG = {t: k for k, ts in enumerate(_TAGS) for t in ts.split()}
 FEATURES = (["depth", "own", "text", "density", "links", "tags", "share", "place", "siblings",
-             "alike", "stops", "blocks", "prose_siblings", "self_other", "above_other"]
+             "alike", "stops", "blocks", "prose_siblings", "self_other", "above_other", "before",
+             "up_text", "up_links", "up_share"]
             + [f"tag{k}" for k in range(len(_TAGS))]
             + [f"self_{f}" for f in FAMILIES] + [f"above_{f}" for f in FAMILIES])
 
@@ -247,6 +253,7 @@ class Page:
         depth, above = [0] * n, [0] * n
         log = math.log1p
         total = text[0] or 1
+        before = self._before(own)
         out = []
         for i in range(n):
             p = parent[i]
@@ -262,7 +269,8 @@ class Page:
             row = [depth[i], log(own[i]), log(c), c / (self.end[i] - self.begin[i] + 1),
                    linked[i] / c if c else 0.0, log(tags[i]), c / total, place, log(many), same,
                    100.0 * stops[i] / (c + 1), log(blocks[i]), log(side),
-                   (family[i] >> 1).bit_count(), (above[i] >> 1).bit_count()]
+                   (family[i] >> 1).bit_count(), (above[i] >> 1).bit_count(), before[i] / total,
+                   log(text[max(p, 0)]), linked[p] / text[p] if p >= 0 and text[p] else 0.0, c / (text[max(p, 0)] or 1)]
             kind = _TAG.get(self.tag[i], -1)
             row += [1.0 if k == kind else 0.0 for k in range(len(_TAGS))]
             row += [float(family[i] >> k & 1) for k in range(_NF)]
@@ -271,6 +279,14 @@ class Page:
         self.own = own
         return np.array(out)
 
+    def _before(self, own: list[int]) -> list[int]:
+        """Characters of text before each node opens (nodes are in page order)."""
+        out, total = [0] * len(own), 0
+        for i, c in enumerate(own):
+            out[i] = total
+            total += c
+        return out
+
     def decode(self, odds: np.ndarray) -> list[bool]:
         """Which nodes are inside, by the best consistent labelling."""
         n = len(self.tag)
@@ -341,17 +357,32 @@ class Trees:
         return total
 
 
-def paragraphs(pages: list[str]) -> list[str]:
-    out = []
-    for s in pages:
-        page = Page(s or "")
-        nodes: dict[int, list[str]] = {}
-        for node, t, _ in page.parts:
-            if t and page.tag[node] in ("p", "td", "div", "blockquote"):
-                nodes.setdefault(node, []).append(html.unescape(t))
-        out += [x for x in (" ".join(" ".join(v).split()) for v in nodes.values()) if len(x) > 20]
-    return sorted(set(out)) or ["The harbour was quiet in the morning, and the boats lay still. "
-                                "Later the wind rose from the west."]
+def paragraphs(source: str) -> list[str]:
+    """The longer paragraphs of a page, whatever part of it they are in."""
+    page = Page(source)
+    nodes: dict[int, list[str]] = {}
+    for node, t, _ in page.parts:
+        if t and page.tag[node] in ("p", "td", "div", "blockquote"):
+            nodes.setdefault(node, []).append(html.unescape(t))
+    return [x for x in (" ".join(" ".join(v).split()) for v in nodes.values()) if len(x) > 20]
+
+
+def pool_of(pages: DataFrame, sample: int = SAMPLE_PAGES, size: int = POOL) -> list[str]:
+    """Paragraphs to compose pages of, in runs of at most 300 words (a "word" of over 100
+    characters is none): those of ``sample`` whole pages, picked and thinned by hashes,
+    so neither the order nor the layout of the table counts."""
+
+    def run(batches):
+        for b in batches:
+            found = [" ".join(w[i:i + 300]) for t in b.column(0) for x in paragraphs(t.as_py() or "")
+                     for w in [[v for v in x.split() if len(v) <= 100]] for i in range(0, len(w), 300)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
+
+    key = F.xxhash64(F.lit("pool"), "page_id", "html")
+    some = pages.select("html", key.alias("key")).orderBy("key").limit(sample).select("html")
+    texts = some.mapInArrow(run, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(size)
+    return [r.text for r in texts.collect()] or [
+        "The harbour was quiet in the morning, and the boats lay still. Later the wind rose from the west."]
 
 
 def compose(rng: random.Random, pool: list[str]) -> str:
@@ -382,20 +413,36 @@ def compose(rng: random.Random, pool: list[str]) -> str:
             a += f' {pick(["class", "class", "id"])}="{words}"'
         return f"<{name}{a}>{inner}</{name}>"
 
+    hidden = rng.random() < 0.3              # parts that their structure tells apart have no names
+
+    def odd_name():
+        return pick(["x1", "c-12", "u_7f", "inner", "outer", "wrap", "wrapper", "container", "row", "col", "col-8", "box",
+                     "b2", "grid", "center", "layout", "cell", "block", "node", "".join(rng.choices("abcdefghijklmnop", k=6))])
+
     def some(family):
+        if hidden and family in ("menu", "header", "footer", "form"):
+            return pick([None, odd_name()])
         w = pick(FAMILIES[family].split())
         return pick([w, w, f"{w}-{pick(['box', 'wrap', 'list', 'area', '1'])}", f"site-{w}"])
 
     def block(kind):
         if kind == "menu":
             inner = f"<ul>{links(rng.randint(2, 8))}</ul>"
-            return tag(*pick([("nav", inner), ("div", inner, some(kind)), ("ul", links(5), some(kind))]), gold=0)
+            if rng.random() < 0.2:
+                inner = " | ".join(f'<a href="/{k}">{few()}</a>' for k in range(rng.randint(2, 7)))
+            kinds = [("div", inner, some(kind)), ("ul", links(5), some(kind))] + [("nav", inner)] * (not hidden)
+            return tag(*pick(kinds), gold=0)
         if kind == "header":
             inner = pick([f"<h1>{few(5)}</h1>", f"<a href='/'>{few()}</a> {few(6)}", f"<p>{prose()}</p>"])
-            return tag(*pick([("header", inner), ("div", inner, some(kind))]), gold=0)
+            if hidden:
+                inner = f"<a href='/'>{few()}</a> " + few(3) * rng.randint(0, 1)
+            return tag(*pick([("header", inner)] * (not hidden) + [("div", inner, some(kind))]), gold=0)
         if kind == "footer":
             inner = pick(["&copy; ", ""]) + pick([prose(), f"<p>{prose()}</p>", f"<ul>{links(3)}</ul>{few(9)}"])
-            return tag(*pick([("footer", inner), ("footer", inner, some(kind)), ("div", inner, some(kind))]), gold=0)
+            named = [("footer", inner), ("footer", inner, some(kind))] * (not hidden)
+            if hidden:
+                inner = "&copy; " + few(9)
+            return tag(*pick(named + [("div", inner, some(kind))]), gold=0)
         if kind == "side":
             inner = pick([f"<h3>{few()}</h3><ul>{links(4)}</ul>", f"<p>{prose()}</p><p>{prose()}</p>", prose()])
             return tag(*pick([("aside", inner), ("aside", inner, some(kind)), ("div", inner, some(kind))]), gold=0)
@@ -408,7 +455,10 @@ def compose(rng: random.Random, pool: list[str]) -> str:
             inner = f"<label>{few()}</label><input name=q>{prose()}<button>{few(1)}</button>"
             return pick([tag("form", inner, gold=0), tag("div", f"<form>{inner}</form>", some(kind), gold=0)])
         inner = pick([prose(), f"<p>{prose()}</p>", f'<a href="/x">{few(8)}</a>', f"<h4>{few()}</h4><p>{prose()}</p>"])
-        return tag(pick(["div", "div", "section", "aside", "p"]), inner, some(kind), gold=0)
+        name = pick(["div", "div", "section", "aside", "p"])
+        if name == "p":                      # a paragraph holds no blocks
+            inner = pick([prose(), f'<a href="/x">{few(8)}</a>'])
+        return tag(name, inner, some(kind), gold=0)
 
     kinds = list(FAMILIES)[1:]
     body = []
@@ -424,30 +474,49 @@ def compose(rng: random.Random, pool: list[str]) -> str:
             body.append(block(pick(kinds)))
     if rng.random() < 0.3:
         body.append(block(pick(["comments", "share", "side", "footer", "form"])))
-    article = f"<h1>{few(9)}</h1>" * (rng.random() < 0.8) + "".join(body)
-    holder = pick(["article", "article", "article", "main", "div", "section"])
-    words = pick(FAMILIES["article"].split()) if holder in ("div", "section") else \
-        pick([None, None, pick(FAMILIES["article"].split())])
-    article = tag(holder, article, words, gold=1)
+    if rng.random() < 0.04:                  # one short paragraph over and over
+        body += [f"<p>{few(3)}.</p>"] * rng.randint(3, 80)
+    pieces = [f"<h1>{few(9)}</h1>"] * (rng.random() < 0.8) + body
     before = [block(pick(["menu", "menu", "header", "advert", "notice", "form", "side", "share"]))
               for _ in range(rng.randint(0, 4))]
     after = [block(pick(["comments", "comments", "footer", "footer", "side", "advert", "form", "share", "menu"]))
              for _ in range(rng.randint(0, 4))]
+    article = "".join(pieces)
+    if rng.random() < 0.5:
+        holder = pick(["article", "article", "article", "main", "div", "section"])
+        words = pick(FAMILIES["article"].split()) if holder in ("div", "section") else \
+            pick([None, None, pick(FAMILIES["article"].split())])
+        article = tag(holder, article, words, gold=1)
+    else:
+        kind = rng.random()
+        if kind < 0.3:                       # no holder: the pieces stand among the other parts
+            article = "".join(re.sub(r"^<([a-z0-9]+)(?=[ >])(?! data-gold)", r'<\1 data-gold="1"', x) for x in pieces)
+        elif kind < 0.45:                    # a layout table
+            cells = ([tag("td", "".join(before), gold=0)] * bool(before) + [tag("td", article, pick([None, odd_name()]), gold=1)]
+                     + [tag("td", "".join(after), gold=0)] * (bool(after) and rng.random() < 0.5))
+            if len(cells) < 2 + bool(before):
+                after = []
+            before, article = [], f"<table><tr>{''.join(cells)}</tr></table>"
+        elif kind < 0.93:
+            article = tag(pick(["div", "div", "div", "section"]), article, pick([None, odd_name(), odd_name()]), gold=1)
+            for _ in range(pick([0, 0, 1, 2])):
+                article = tag("div", article, pick([None, odd_name()]))
+        else:                                # a name of another part
+            article = tag("div", article, pick(FAMILIES[pick(["header", "side", "notice", "share", "menu"])].split()), gold=1)
     inner = "".join(before) + article + "".join(after)
     for _ in range(rng.randint(0, 2)):
-        inner = tag("div", inner, pick(["wrap", "container", "page", "site", None]))
+        inner = tag("div", inner, pick(["wrap", "container", "page", "site", None, odd_name()]))
     return (f"<!DOCTYPE html><html><head><title>{few(6)}</title><style>p{{}}</style></head><body>"
             f"{inner}</body></html>")
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LABELLED_PAGES) -> Trees:
-    """Fit on pages composed of the paragraphs of ``sample`` pages at most."""
+    """Fit on pages composed of the paragraphs of ``sample`` whole pages at most."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.linalg import Vectors
 
     spark = pages.sparkSession
-    some = pages.select(F.substring("html", 1, 1 << 16).alias("html")).limit(sample).collect()
-    pool = paragraphs([r["html"] for r in some])
+    pool = pool_of(pages, sample)
     rng = random.Random(5)
     rows = []
     for _ in range(labelled):
