@@ -123,8 +123,14 @@ class DropIn:
     def vld_path_config(self, df_conf: DataFrame, list_col: Sequence[str]) -> None:
         quality.assert_clean(quality.path_violations(df_conf, list_col))
 
-    def vld_val_config(self, df_conf: DataFrame, dict_col_list: Mapping[str, Sequence[str]]) -> None:
-        quality.assert_clean(quality.value_violations(df_conf, dict_col_list))
+    def vld_val_config(self, df_conf: DataFrame, dict_col_list: Mapping[str, Sequence[str]] | DataFrame) -> None:
+        """V4; the lists may also be a table of column_name and allowed_value."""
+        if isinstance(dict_col_list, DataFrame):
+            named = {r[0] for r in dict_col_list.select("column_name").distinct().collect()}  # columns of df_conf
+            report = quality.value_violations_from(df_conf, [c for c in df_conf.columns if c in named], dict_col_list)
+        else:
+            report = quality.value_violations(df_conf, dict_col_list)
+        quality.assert_clean(report)
 
     # ------------------------------------------------------------ D1-D9
     def insert_log(self, tbl_nm: str, dict_values, partition=None, multi_values: bool = False) -> None:
@@ -150,9 +156,17 @@ class DropIn:
 
     def update_log_bulk(self, tbl_nm: str, updates: DataFrame, on: Sequence[str], assign: Sequence[str],
                         vld_dup_flag: str = "N") -> DataFrame:
-        """D6 (+ A4) for a table of updates, own tenant only; the status of each key."""
-        return ledger.write_updates(self.spark, self._table(tbl_nm), updates, on, assign, self.tenant,
-                                    guard=str(vld_dup_flag).upper() == "Y")
+        """D6 (+ A4, D13) for a table of updates, own tenant only; the status of each key.
+        Rows that are set to SUCCESS get their markers."""
+        report = ledger.write_updates(self.spark, self._table(tbl_nm), updates, on, assign, self.tenant,
+                                      guard=str(vld_dup_flag).upper() == "Y")
+        if self._hooks_on() and "job_sts" in assign:
+            done = report.where((F.col("status") == ledger.UPDATE_OK) & (F.col("job_sts") == ledger.STS_SUCCESS))
+            table = self.spark.table(self._table(tbl_nm))
+            if self.tenant and "monoline" in table.columns:
+                table = table.where(ledger.tenant_predicate(self.tenant))
+            self._write_success_markers(table.join(done.select(*on), list(on), "left_semi"))
+        return report
 
     def insr_arch_nb_log(self, dict_values) -> None:
         """``expt_sts`` defaults to NOT STARTED."""
@@ -182,11 +196,14 @@ class DropIn:
                                   .select("job_nm", "dl_data_dt", *(["monoline"] if "monoline" in table.columns else [])))
         ledger.write_update(self.spark, self._table(tbl_nm), pred, self._assignments(dict_upd))
         if touched is not None:
-            tenant = self._tenant_of(touched)
-            ts = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
-            new = markers.markers_after_update(self._routed(touched), F.lit(True), dict(dict_upd),
-                                               self.marker_root, ts, tenant)
-            markers.write_markers(self.spark, self._table(self.marker_table), new)
+            self._write_success_markers(touched)
+
+    def _write_success_markers(self, touched: DataFrame) -> None:
+        """Markers of runs that an update has set to SUCCESS."""
+        ts = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
+        new = markers.markers_after_update(self._routed(touched), F.lit(True), {"job_sts": ledger.STS_SUCCESS},
+                                           self.marker_root, ts, self._tenant_of(touched))
+        markers.write_markers(self.spark, self._table(self.marker_table), new)
 
     def update_dsr_log(self, tbl_nm: str, where_cond: str, dict_upd: Mapping[str, object],
                        vld_dup_flag: str = "N") -> None:
@@ -230,3 +247,29 @@ class DropIn:
         if bad:
             raise RuntimeError(EXCEPTION + "files differ between the sides",
                                [r.asDict() for r in bad])
+
+    # ------------------------------------------------------------ J4, J5, A5
+    def _vld_copy(self, report: str, adf_actv_nm: str, data: Sequence[str], control: Sequence[str], rule: str) -> None:
+        def listed(paths):
+            return list_files(self.spark, list(paths)).select(F.lit(1).alias("run_id"), "file_nm", "file_size")
+
+        acts = reconcile.parse_reports(self.spark.createDataFrame([(1, report)], "run_id int, doc string"))
+        facts = reconcile.copy_facts(acts, ["run_id"], adf_actv_nm, "activity_seq", listed(data), listed(control))
+        found = reconcile.run_verdicts(facts, ["run_id"], rule, self.max_copy_mismatch).collect()[0]
+        if found.verdict != "OK":
+            raise RuntimeError(EXCEPTION + f"copy check: {found.verdict}", found.asDict())
+
+    def vld_adf_copy_file(self, report: str, adf_actv_nm: str, list_blob_file: Sequence[str]) -> None:
+        """The run's report (the document that the copy service returns, in place of
+        the id it was fetched by) against the data files, by the last Copy."""
+        self._vld_copy(report, adf_actv_nm, list_blob_file, [], reconcile.LAST_COPY)
+
+    def vld_adf_copy_file_outbnd(self, report: str, adf_actv_nm: str, list_blob_file: Sequence[str],
+                                 list_blob_ctl_file: Sequence[str]) -> None:
+        """All Copies of the report against data and control files."""
+        self._vld_copy(report, adf_actv_nm, list_blob_file, list_blob_ctl_file, reconcile.TOTAL_FILES)
+
+    def vld_adf_copy_file_outbnd_total(self, report: str, adf_actv_nm: str, list_blob_file: Sequence[str],
+                                       list_blob_ctl_file: Sequence[str]) -> None:
+        """A5 + A6: the bytes of all Copies against those of data and control files."""
+        self._vld_copy(report, adf_actv_nm, list_blob_file, list_blob_ctl_file, reconcile.TOTAL_BYTES)

@@ -231,20 +231,19 @@ from (select k, bsns_dt,
 # ===================================================================== J2, V6, X1
 @query("holiday_flags")
 def q_holiday_flags(spark, sf):
-    runs = fx.job_log(spark, sf).select("log_no", "dl_data_dt")
     return calendar.holiday_flags(
-        runs, "dl_data_dt", fx.hldy(spark, sf),
+        fx.run_date(spark, sf), "dl_data_dt", fx.hldy(spark, sf),
         {"is_hldy_weekend": F.lit(calendar.TYPE_WEEKEND),
          "is_hldy_holiday": F.lit(calendar.TYPE_HOLIDAY)})
 
 
 SQL["holiday_flags"] = W("""
-select l.log_no, l.dl_data_dt, true as is_date, dayname(cast(l.dl_data_dt as date)) as wkdy_nm,
-       case when isodow(cast(l.dl_data_dt as date)) >= 6 then true end as is_hldy_weekend,
-       case when isodow(cast(l.dl_data_dt as date)) >= 6 or h.dt_en is not null then true end
-         as is_hldy_holiday
-from job_log l left join (select distinct dt_en from hldy) h on l.dl_data_dt = h.dt_en""",
-    "job_log", "hldy")
+select l.log_no, l.dl_data_dt, d is not null as is_date, dayname(d) as wkdy_nm,
+       case when isodow(d) >= 6 then true end as is_hldy_weekend,
+       case when isodow(d) >= 6 or h.dt_en is not null then true end as is_hldy_holiday
+from (select log_no, dl_data_dt, try_cast(dl_data_dt as date) as d from run_date) l
+left join (select distinct dt_en from hldy) h on l.dl_data_dt = h.dt_en""",
+    "job_log", "run_date", "hldy")
 
 
 # ===================================================================== R1, J1, R2, J6

@@ -180,6 +180,14 @@ def hldy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_once
+def run_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of the job log as they may arrive: some that no calendar has."""
+    k, d = F.col("log_no"), F.col("dl_data_dt")
+    return job_log(spark, sf_dir).select("log_no", F.when(k % 41 == 0, "1998-02-30").when(k % 43 == 0, "")
+        .when(k % 47 == 0, F.lit(None).cast("string")).when(k % 53 == 0, "someday").otherwise(d).alias("dl_data_dt"))
+
+
 @_once
 def manifest_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
@@ -413,6 +421,10 @@ union all select * from (values ('hldy_type', 'WEEKEND'), ('hldy_type', 'HOLIDAY
     "hldy": """
 select distinct cast(cast(o_orderdate as date) as string) as dt_en
 from orders where o_orderkey % 40 = 0""",
+    "run_date": """
+select log_no, case when log_no % 41 = 0 then '1998-02-30' when log_no % 43 = 0 then '' when log_no % 47 = 0 then null
+                    when log_no % 53 = 0 then 'someday' else dl_data_dt end as dl_data_dt
+from job_log""",
     "manifest_sent": """
 select o_custkey as batch_id,
        concat('f_', cast(o_orderkey as string), '.dat') as file_nm,
@@ -475,6 +487,7 @@ BUILDERS = {
     "allowed_values": allowed_values,
     "area_doc": area_doc,
     "hldy": hldy,
+    "run_date": run_date,
     "manifest_sent": manifest_sent,
     "manifest_recv": manifest_recv,
     "ctl_listing": ctl_listing,

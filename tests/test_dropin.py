@@ -146,3 +146,49 @@ def test_copy_check_counts_empty_and_hidden_files(env, tmp_dir):
         env.vld_copy_file([f"{tmp_dir}/a/f.dat", f"{tmp_dir}/a/_g.dat"], [f"{tmp_dir}/b/f.dat", f"{tmp_dir}/b/_g.dat"])
     # The emptied copy is a difference of size, not a missing file.
     assert [(r["file_nm"], r["src_size"], r["tgt_size"]) for r in e.value.args[1]] == [("f.dat", 5, 0)]
+
+
+def test_copy_reports_against_files(env, tmp_dir):
+    import json
+    for name, size in [("f.dat", 5), ("c.ctl", 2)]:
+        with open(f"{tmp_dir}/{name}", "w") as fh:
+            fh.write("x" * size)
+
+    def copy(n, size):
+        return {"activityType": "Copy", "activityName": "C",
+                "output": {"filesRead": n, "filesWritten": n, "dataRead": size, "dataWritten": size}}
+
+    def meta(name, size):
+        return {"activityType": "GetMetadata", "activityName": "G", "output": {"itemName": name, "size": size}}
+
+    data, control = [f"{tmp_dir}/f.dat"], [f"{tmp_dir}/c.ctl"]
+    both = json.dumps({"value": [copy(1, 5), copy(1, 2), meta("f.dat", 5), meta("c.ctl", 2)]})
+    env.vld_adf_copy_file(both, "G", data)
+    env.vld_adf_copy_file_outbnd(both, "G", data, control)
+    env.vld_adf_copy_file_outbnd_total(both, "G", data, control)
+    for check, args, verdict in [(env.vld_adf_copy_file_outbnd, (both, "G", data, []), "COUNT"),
+                                 (env.vld_adf_copy_file_outbnd, (both, "Other", data, control), "SIZE"),
+                                 (env.vld_adf_copy_file_outbnd_total, (both, "G", data, []), "SIZE"),
+                                 (env.vld_adf_copy_file, (both[:-1], "G", data), "MALFORMED")]:
+        with pytest.raises(RuntimeError, match=verdict):
+            check(*args)
+
+
+def test_bulk_update_writes_markers(env, spark):
+    from runledger.operators import markers
+    env.marker_table, env.route_tables, env.marker_root = "tbl_markers", {"pi": "tbl_ingt_job"}, "/r"
+    markers.create_marker_table(spark, f"{env.db}.tbl_markers")
+    for i, job in enumerate(["pi_1", "pi_3"]):
+        env.insert_log("tbl_log", {"log_no": str(i), "job_nm": job, "dl_data_dt": "2024-01-02", "job_sts": "RUNNING"})
+    new = spark.createDataFrame([("pi_1", "SUCCESS"), ("pi_3", "FAILED")], "job_nm string, job_sts string")
+    env.update_log_bulk("tbl_log", new, ["job_nm"], ["job_sts"])
+    assert [r.job_nm for r in spark.table(f"{env.db}.tbl_markers").collect()] == ["pi_1"]
+
+
+def test_allowed_values_as_a_table(env, spark):
+    df = spark.createDataFrame([("A", "x"), ("b", "y")], "v string, w string")
+    lists = spark.createDataFrame([("v", "A"), ("v", "B")], "column_name string, allowed_value string")
+    with pytest.raises(ValueError) as e:
+        env.vld_val_config(df, lists)
+    assert [(r["column_name"], r["bad_value"]) for r in e.value.args[1]] == [("v", "b")]
+    env.vld_val_config(df.where("v = 'A'"), lists)
