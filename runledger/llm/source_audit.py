@@ -41,7 +41,7 @@ TOP = 50
 PRIOR = 5
 SCALE = 1_000_000_000
 SHARD_BYTES = 1 << 24
-CELLS = 1 << 20
+CELLS = 1 << 16
 BLOCK = 512
 
 #: Terms hold no digits: for the word splitter these bytes are blanks.
