@@ -162,11 +162,12 @@ def value_violations_from(df: DataFrame, columns: Sequence[str], allowed: DataFr
     lists = allowed.where(F.col("column_name").isin(*columns)).select(
         "column_name", F.col("allowed_value").cast("string").alias("_value")).distinct()
     lists = bounded_broadcast(lists, bound_by=[allowed], bound_columns=["column_name", "allowed_value"])
-    exact = lists.select("column_name", F.col("_value").alias("bad_value"), F.lit(True).alias("_as_is"))
-    upper = lists.select("column_name", F.col("_value").alias("_upper"), F.lit(True).alias("_in_upper"))
-    out = (found.withColumn("_upper", F.upper("bad_value"))
-           .join(upper, ["column_name", "_upper"], "left").join(exact, ["column_name", "bad_value"], "left"))
-    reason = (F.when(F.col("_in_upper").isNull(), REASON_NOT_IN_LIST).when(F.col("_as_is").isNull(), REASON_UPPER))
+    # Both look-ups join the same list by the same columns, so Spark broadcasts it once.
+    out = found.withColumn("_upper", F.upper("bad_value"))
+    for at, value in (("_up", "_upper"), ("_as", "bad_value")):
+        named = lists.select(F.col("column_name").alias(f"{at}_c"), F.col("_value").alias(f"{at}_v"))
+        out = out.join(named, (out["column_name"] == named[f"{at}_c"]) & (out[value] == named[f"{at}_v"]), "left")
+    reason = F.when(F.col("_up_v").isNull(), REASON_NOT_IN_LIST).when(F.col("_as_v").isNull(), REASON_UPPER)
     return out.select("column_name", "bad_value", reason.alias("reason"), "n_rows").where(F.col("reason").isNotNull())
 
 

@@ -201,3 +201,13 @@ def test_no_key_in_a_ring_plan(spark, capsys):
     df = spark.createDataFrame([(1, "x")], "key_id int, v string")
     encrypt_with_ring(df, ["v"], ring, wrap).explain(extended=True)
     assert "WWWWWWWW" not in capsys.readouterr().out
+
+
+def test_updates_of_a_table_without_partitions(spark):
+    name = f"flat_{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame([("1", "RUNNING", "a"), ("2", None, "b")], "log_no string, job_sts string, job_nm string").write.saveAsTable(name)
+    up = spark.createDataFrame([("b", "DONE"), ("c", "DONE")], "job_nm string, job_sts string")
+    report = ledger.write_updates(spark, name, up, ["job_nm"], ["job_sts"])
+    assert {r.job_nm: r.status for r in report.collect()} == {"b": "OK", "c": "NOT_FOUND"}
+    assert {r.log_no: r.job_sts for r in spark.table(name).collect()} == {"1": "RUNNING", "2": "DONE"}
+    spark.sql(f"DROP TABLE {name}")
