@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,18 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """At most so many rows in an Arrow batch, for the jobs that run within the block."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    spark.conf.set(option, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string array (null: empty) as its bytes and n + 1 offsets from 0."""
     if isinstance(array, pa.ChunkedArray):

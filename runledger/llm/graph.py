@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.llm.common import written
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, compression: str = "zstd") -> DataFrame:
     """(u, v): each linked node with the smallest node of its component, by
     alternating large-star and small-star steps until nothing changes."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
             F.struct("u", F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").where("u <> v").distinct()
-        edges = written(small, "edges")
+        edges = written(small, "edges", compression)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges

@@ -12,20 +12,22 @@ nothing moved, the Jaccard index of the multisets).  The band is as wide as the
 pair's similarity bound allows, so it loses no alignment that counts.
 
 Documents with the same words are one class from the start, found by a 128-bit
-digest and pre-aggregated in every task.  Classes are linked in rounds, each of
-a size in proportion to the buckets:
+digest and pre-aggregated in every task.  Classes are linked in rounds:
 
 1. every class of a bucket with the bucket's smallest class;
 2. in buckets that still hold several components, with the member that has the
    fewest k-mers of its own;
-3. there, every class outside the bucket's largest component with all classes
-   of other components, so no link between components is left unseen.
+3. the classes of those buckets that could still link components, by an exact
+   prefix filter: a class's k-mers are ordered by rarity, and similar classes
+   must share one of the first of them.  How many count follows from both lengths
+   (lengths go by bands of ``BAND``), and the places where the shared k-mer
+   stands bound what the classes can share at all.  K-mers that only one component
+   holds pair nothing, and of the others the largest component meets the rest only.
 
 Classes that are connected already are not compared again: their component
 would not change.  Before rounds 2 and 3 the k-mers of the classes still open
-are counted: one that shares too few of them with all the others together
-cannot be similar to any, so copies with many edits, or texts that share a
-passage only, are not compared pair by pair.
+are counted: one that shares fewer of them with all the others together than the
+bar asks of it cannot be similar to any.
 
 Defined cases: a document of fewer than five words has all of them as its one
 k-mer; texts without words are equal if their characters are; a null text is
@@ -36,21 +38,25 @@ stays (nulls last, then any one row); an empty table gives no row.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.llm import words
-from runledger.llm.common import carried, pieces, read, utf8, with_fields, written
+from runledger.llm.common import batch_rows, carried, pieces, read, utf8, with_fields, written
 from runledger.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 DEPTH = 3
+BAND = 1.05
+PIECE = 1 << 20          # bytes of text worked on together
+VERIFY_ROWS = 500
 
 _rng = np.random.default_rng(77)
 _STEP = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -139,7 +145,7 @@ def sketch(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             m = batch.num_rows
             a, b, n = np.zeros(m, np.uint64), np.zeros(m, np.uint64), np.zeros(m, np.int64)
             keys = np.zeros((m, SKETCHES), np.uint64)
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, PIECE):
                 part = data[offsets[i] : offsets[j]]
                 low, s, e, row = words.split(part, offsets[i : j + 1] - offsets[i])
                 h = words.hashes(low, s, e)
@@ -216,7 +222,9 @@ def verify(pairs: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("right"))
     # a hot v is on the left, large side, which a skew join splits
     both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "left", "right")
-    return both.mapInArrow(run, "u long, v long")
+    # Two whole texts a row: few rows in a batch, so long texts do not add up.
+    with batch_rows(pairs.sparkSession, VERIFY_ROWS):
+        return small(both.mapInArrow(run, "u long, v long"), "links")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -224,7 +232,7 @@ def _members(classes: DataFrame) -> DataFrame:
     entries = classes.select("node", "n", F.explode("keys").alias("key"))
     buckets = (entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("m"))
                .where("m > 1").select("key", F.col("c.node").alias("center"), F.col("c.n").alias("center_n")))
-    return written(entries.join(buckets, "key"), "members")
+    return small(entries.join(buckets, "key"), "members")
 
 
 def _fits(n, other, bar: float):
@@ -242,23 +250,92 @@ def _mixed(members: DataFrame, star: DataFrame) -> DataFrame:
     return m.join(split.select("key", "main"), "key")
 
 
-def shared_kmers(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, s): how many of its labelled k-mers a node shares with others of
-    the nodes.  No two of them can match more than the smaller s."""
+def small(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for tables of numbers: cheap to compress, and many in number."""
+    return written(df, name, "snappy")
+
+
+def _least(x: F.Column) -> F.Column:
+    """The smallest whole number that is at least x, up to rounding in doubles."""
+    return F.ceil(x - F.lit(1e-9))
+
+
+def prefixes(texts: DataFrame, nodes: DataFrame, bar: float) -> DataFrame:
+    """The k-mers that can show a link between the nodes: (node, n, s, kmer, pos).
+
+    s counts the labelled k-mers that a node shares with others of the nodes; nodes
+    with fewer than ``bar`` * n are similar to none and left out.  ``pos`` is the place
+    of a k-mer in the order of rarity (those of one node alone come first).  Two
+    similar nodes share a k-mer among the first n - ceil(bar * n) + 1 of either.
+    """
 
     def run(batches):
         for b in batches:
-            kmers = [_kmers(t.as_py()) for t in b.column(1)]
-            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(k) for k in kmers])
-            kmer = np.concatenate(kmers) if kmers else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(kmer.view(np.int64))],
-                                             ["node", "kmer"])
+            data, offsets = utf8(b.column(1))
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            for i, j in pieces(offsets, PIECE):
+                low, begin, end, row = words.split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                kmer, bounds = labelled(words.hashes(low, begin, end), row)
+                size = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(node[i:j], size), pa.int64()), pa.array(np.repeat(size, size)),
+                     pa.array(kmer.view(np.int64))], ["node", "n", "kmer"])
 
     rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(
-        run, "node long, kmer long")
-    several = (rows.groupBy("kmer").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-               .where("lo < hi").select("kmer"))
-    return rows.join(several, "kmer", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+        run, "node long, n long, kmer long")
+    # K-mers that the same nodes hold (one edit changes several) are one token: of those
+    # only the first is kept, at its place among all.
+    holder = F.xxhash64("node")
+    shared = rows.groupBy("kmer").agg(
+        F.count(F.lit(1)).alias("df"), F.bit_xor(holder).alias("x"),
+        F.sum(holder.bitwiseAND(F.lit(0xFFFFFFFF))).alias("y")).where("df > 1")
+    by_node = Window.partitionBy("node")
+    in_order = by_node.orderBy("df", "x", "y", "kmer")
+    token = F.struct("df", "x", "y")
+    ranked = rows.join(shared, "kmer").select(
+        "node", "n", "kmer", F.count(F.lit(1)).over(by_node).alias("s"), F.row_number().over(in_order).alias("r"),
+        F.coalesce(F.lag(token).over(in_order) != token, F.lit(True)).alias("first"))
+    n, s = F.col("n"), F.col("s")
+    ranked = ranked.where("first").withColumn("pos", n - s + F.col("r") - 1).drop("r", "first")
+    return small(ranked.where((s >= F.lit(bar) * n) & (F.col("pos") <= n - _least(F.lit(bar) * n))), "prefixes")
+
+
+def prefix_pairs(entries: DataFrame, star: DataFrame, bar: float) -> DataFrame:
+    """(u, v): all pairs of nodes of different components that the rarity-ordered
+    prefixes, the lengths and the places allow to be similar."""
+    of = star.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    e = entries.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    need, n, pos = F.lit(bar / (1 + bar)), F.col("n"), F.col("pos")
+
+    def band(x):
+        return F.floor(F.log(x) / F.lit(math.log(BAND)) + F.lit(1e-9))
+
+    # The shorter of a pair is looked up by the longer one, in the band of its length.
+    index = e.where(pos <= n - _least(need * 2 * n)).select("kmer", band(n).alias("band"), F.lit(False).alias("probe"),
+                                                            "node", "n", "pos", "label")
+    low = _least(F.lit(bar) * n)
+    probe = e.withColumn("band", F.explode(F.sequence(band(low), band(n))))
+    low = F.greatest(low, F.ceil(F.pow(F.lit(BAND), F.col("band")) - F.lit(1e-6)))
+    probe = probe.where(pos <= n - _least(need * (n + low))).select("kmer", "band", F.lit(True).alias("probe"),
+                                                                    "node", "n", "pos", "label")
+    both = index.unionByName(probe)
+    at = ["kmer", "band"]
+    per = both.groupBy(*at, "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = (per.groupBy(*at).agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("parts"))
+             .where("parts > 1").drop("parts"))
+    both = small(both.join(mixed, at).withColumn("rest", F.col("label") != F.col("main")).drop("main"), "prefix-entries")
+
+    def side(df, name):
+        return df.select(*at, F.struct("node", "n", "pos", "label").alias(name))
+
+    longer, shorter = both.where("probe"), both.where("not probe")
+    meet = (side(longer.where("rest"), "x").join(side(shorter, "y"), at)
+            .unionByName(side(longer.where("not rest"), "x").join(side(shorter.where("rest"), "y"), at)))
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    fits = ((F.col("x.label") != F.col("y.label")) & (F.col("x.n") >= F.col("y.n"))
+            & (F.col("y.n") >= F.lit(bar) * F.col("x.n") - F.lit(1e-9))
+            & (room >= _least(need * (F.col("x.n") + F.col("y.n")))))
+    return meet.where(fits).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
 
 
 def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
@@ -267,35 +344,33 @@ def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
     nodes = members.select("node").distinct()
     # the same plan at every size: texts are dealt by node, nodes never broadcast
     texts = written(texts.join(nodes.hint("merge"), "node", "left_semi"), "texts")
-    tried = written(members.where(F.col("node") != F.col("center"))
+    tried = small(members.where(F.col("node") != F.col("center"))
                     .where(_fits(F.col("n"), F.col("center_n"), bar))
                     .select(F.col("node").alias("u"), F.col("center").alias("v")).distinct(), "pairs")
-    star = components(written(verify(tried, texts, bar), "links"))
-    # Similar texts match at least this share of their k-mers, so a class that
-    # shares fewer with all the others together is similar to none of them.
-    need = bar / (1 + bar)
-    open_ = written(_mixed(members.select("key", "node", "n"), star).drop("label", "main"), "open")
-    s = shared_kmers(texts, open_.select("node").distinct())
-    open_ = written(open_.join(s, "node").where(F.col("s") >= F.lit(bar) * F.col("n")), "open")
+    star = components(verify(tried, texts, bar), "snappy")
+    open_ = _mixed(members.select("key", "node", "n"), star).select("key", "node", "n")
+    entries = prefixes(texts, open_.select("node").distinct(), bar)
+    # The rarest shared k-mer of an open node is in its prefix: one row for each.
+    held = entries.groupBy("node").agg(F.max("s").alias("s"))
+    members = small(open_.join(held, "node"), "open")
     for step in (2, 3):
-        m = written(_mixed(open_, star), "mixed")
         if step == 2:                # the member with the fewest k-mers of its own
+            m = small(_mixed(members, star), "mixed")
             other = m.groupBy("key").agg(F.max(F.struct(
                 (F.col("s") / F.col("n")).alias("share"), "node", "n", "s", "label")).alias("o"))
+            least = F.lit(bar / (1 + bar)) * (F.col("n") + F.col("o.n"))
+            pairs = (m.join(other, "key").where(F.col("label") != F.col("o.label"))
+                     .where((F.col("s") >= least) & (F.col("o.s") >= least))
+                     .select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v")).distinct())
         else:
-            other = m.where("label <> main").select("key", F.struct("node", "n", "s", "label").alias("o"))
-        least = F.lit(need) * (F.col("n") + F.col("o.n"))
-        pairs = (m.join(other, "key").where(F.col("label") != F.col("o.label"))
-                 .where((F.col("s") >= least) & (F.col("o.s") >= least))
-                 .select(F.greatest("node", "o.node").alias("u"), F.least("node", "o.node").alias("v"))
-                 .distinct().join(tried, ["u", "v"], "left_anti"))
-        pairs = written(pairs, "pairs")
+            pairs = prefix_pairs(entries, star, bar)
+        pairs = small(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = written(verify(pairs, texts, bar), "links")
+        found = verify(pairs, texts, bar)
         tried = tried.unionByName(pairs)
         if not found.isEmpty():
-            star = components(star.unionByName(found))
+            star = components(star.unionByName(found), "snappy")
     return star
 
 
