@@ -8,9 +8,11 @@ that word alone; a hit fixes where the window would have to start, which the
 length and positional bounds check against the document's ends; then the words
 are compared one by one at their exact places.
 
-The windows are the query side.  They are read in blocks whose text is bounded
-by ``block_bytes``; each block is one more pass over the batches in the same
-stage, and documents are never shuffled.
+The windows are the query side.  They come in blocks whose text is bounded by
+``block_bytes`` (one longer item is a block of its own) and are held as arrays of
+word hashes, places and owners, about ten bytes for each byte of text.  Only one block
+is on the driver and in a plan at a time: what it marks is written before the next
+one is read.  Documents are never shuffled.
 
 Defined cases: null, empty and wordless texts have no words and no hits; an
 item without words has no window; items with one id and several rows count
@@ -21,6 +23,7 @@ row each; an empty benchmark hits nothing; other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import words
-from runledger.llm.common import carried, pieces, read, sha256_of_list, utf8, with_fields
+from runledger.llm.common import carried, pieces, read, sha256_of_list, utf8, with_fields, written
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _TABLE_BITS = 20
 
 
-def _words(text: str) -> list[bytes]:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    low, s, e, _ = words.split(data, np.array([0, len(data)]))
-    raw = low.tobytes()
-    return [raw[a:b] for a, b in zip(s.tolist(), e.tolist())]
-
-
-def _hash(vocabulary: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(w) + 1 for w in vocabulary])
-    data = np.frombuffer(b" ".join(vocabulary) + b" ", np.uint8)
-    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-    return words.hashes(data, starts, (ends - 1).astype(np.int64))
-
-
 class Lookup:
     """Places of a sorted set of hashes, behind a table of their low bits."""
 
@@ -72,39 +61,64 @@ class Windows:
     """The windows of a block of items, filed under their rarest word."""
 
     def __init__(self, items: list[tuple[str | None, str]], size: int):
-        owners = defaultdict(set)
-        for item, text in items:
-            w = _words(text)
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                owners[tuple(w[i : i + size])].add(item)
-        self.windows = sorted(owners)
-        self.owners = [sorted(x for x in owners[w] if x is not None) for w in self.windows]
-        self.vocabulary = sorted({x for w in self.windows for x in w})
-        h = _hash(self.vocabulary) if self.vocabulary else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        self.vocabulary = [self.vocabulary[i] for i in order]
-        self.words = Lookup(h[order])
+        raw = [(text or "").encode() for _, text in items]
+        bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        self.low, self.starts, self.ends, row = words.split(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        self.h = words.hashes(self.low, self.starts, self.ends)
+        n = np.diff(row)
+        many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+        item = np.repeat(np.arange(len(n)), many)
+        begin = np.repeat(row[:-1], many) + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(n, size)[item]
+        self.size = int(length.max(initial=0))
+        keys, number = np.unique(self.h, return_inverse=True)
+        self.words, self.number = Lookup(keys), number
+        begin, length, owner = self._merged(begin, length)
+        self.begin, self.length = begin, length
+        named = [k for k, (x, _) in enumerate(items) if x is not None]
+        self.names = [x for x, _ in items]
+        # (window, item) pairs, one of each, in the order of windows
+        pair = np.unique(np.stack([owner, item], axis=1)[np.isin(item, named)], axis=0)
+        self.items = pair[:, 1]
+        self.items_from = np.searchsorted(pair[:, 0], np.arange(len(begin) + 1))
+
+    def _merged(self, begin, length):
+        """Equal windows as one: their places and lengths, and each window's number."""
+        digest = length.astype(np.uint64)
+        for o in range(self.size):
+            inside = o < length
+            digest[inside] = words.mix(digest[inside] ^ self.h[begin[inside] + o])
+        _, first, owner = np.unique(digest, return_index=True, return_inverse=True)
+        same = length == length[first[owner]]
+        for o in range(self.size):       # a digest that stands for two windows parts them
+            inside = np.flatnonzero(same & (o < length))
+            same[inside] = self.h[begin[inside] + o] == self.h[begin[first[owner[inside]]] + o]
+        other = np.flatnonzero(~same)
+        owner[other] = len(first) + np.arange(len(other))
+        keep = np.concatenate((first, other))
+        return begin[keep], length[keep], owner
+
+    def owners(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.items[self.items_from[window]:self.items_from[window + 1]].tolist()]
 
     def file(self, frequency: dict[int, int]) -> None:
         """Set each window's prefix word; ``frequency`` is by word number."""
-        number = {w: i for i, w in enumerate(self.vocabulary)}
-        key, offset = [], []
-        for w in self.windows:
-            n, o = min((frequency.get(number[x], 0), o) for o, x in enumerate(w))
-            key.append(number[w[o]])
-            offset.append(o)
-        key, offset = np.array(key, np.int64), np.array(offset, np.int64)
+        in_docs = np.zeros(len(self.words.keys), np.int64)
+        in_docs[list(frequency)] = list(frequency.values())
+        least = np.full(len(self.begin), np.iinfo(np.int64).max)
+        key, offset = np.zeros(len(self.begin), np.int64), np.zeros(len(self.begin), np.int64)
+        for o in range(self.size):
+            inside = np.flatnonzero(o < self.length)
+            word = self.number[self.begin[inside] + o]
+            rarer = in_docs[word] < least[inside]
+            at = inside[rarer]
+            least[at], key[at], offset[at] = in_docs[word[rarer]], word[rarer], o
         self.order = np.argsort(key, kind="stable")
         self.offset = offset[self.order]
         used = np.unique(key)
         self.first = np.searchsorted(key[self.order], used)
         self.last = np.searchsorted(key[self.order], used, "right")
         self.prefix = Lookup(self.words.keys[used])
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        longest = int(self.length.max(initial=0))
-        self.spelled = np.zeros((len(self.windows), longest), np.uint64)
-        for k, w in enumerate(self.windows):
-            self.spelled[k, : len(w)] = self.words.keys[[number[x] for x in w]]
 
     def find(self, low, starts, ends, row, h):
         """(word position, window number) of every occurrence of a window."""
@@ -120,15 +134,15 @@ class Windows:
         doc = np.searchsorted(row, at, "right") - 1
         fits = (begin >= row[doc]) & (begin + self.length[window] <= row[doc + 1])
         begin, window = begin[fits], window[fits]
-        for o in range(self.spelled.shape[1]):
+        for o in range(self.size):
             inside = o < self.length[window]
-            place = np.minimum(begin + o, len(h) - 1)
-            same = ~inside | (h[place] == self.spelled[window, o])
+            there = np.minimum(begin + o, len(h) - 1)
+            here = np.minimum(self.begin[window] + o, len(self.h) - 1)
+            same = ~inside | (h[there] == self.h[here])
             begin, window = begin[same], window[same]
-        raw = low.tobytes() if len(begin) else b""
-        exact = [all(raw[starts[b + o] : ends[b + o]] == x
-                     for o, x in enumerate(self.windows[w]))
-                 for b, w in zip(begin.tolist(), window.tolist())]
+        exact = [all(low[starts[b + o]:ends[b + o]].tobytes() == self.low[self.starts[w + o]:self.ends[w + o]].tobytes()
+                     for o in range(n))
+                 for b, w, n in zip(begin.tolist(), self.begin[window].tolist(), self.length[window].tolist())]
         return begin[exact], window[exact]
 
 
@@ -192,7 +206,7 @@ def _mark(docs: DataFrame, block: Windows) -> DataFrame:
                     old = [(x["first"], x["end"]) for x in spans[i + d]]
                     spans[i + d] = _merge(old + [(a, a + int(block.length[w])) for a, w in hits])
                     items[i + d] = sorted({*items[i + d], *(x for _, w in hits
-                                                            for x in block.owners[w])})
+                                                            for x in block.owners(w))})
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_words), pa.array(spans, _SPANS),
                  pa.array(items, pa.list_(pa.string()))],
@@ -201,17 +215,15 @@ def _mark(docs: DataFrame, block: Windows) -> DataFrame:
     return docs.mapInArrow(run, with_fields(docs.schema["rec"], _STATE))
 
 
-def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> list[Windows]:
-    """The items in blocks of bounded text, each a broadcast of its own."""
+def blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[Windows]:
+    """The items in blocks of bounded text, each read when the one before is done."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    found = []
     for k in range(n):
         rows = benchmark.where(dealt == k).select(
             F.col("item_id").cast("string"), "text").collect()   # at most about block_bytes
-        found.append(Windows([(r[0], r[1]) for r in rows], size))
-    return found
+        yield Windows([(r[0], r[1]) for r in rows], size)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
@@ -222,9 +234,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     out = out.select("rec", "text", F.lit(0).cast("long").alias("n_words"),
                       F.array().cast("array<struct<first:long,end:long>>").alias("spans"),
                       F.array().cast("array<string>").alias("items"))
+    marked = False
     for block in blocks(benchmark, size, block_bytes):
+        if marked:                       # only the last block's marks are still a plan
+            out = written(out, "marked")
         block.file(_frequencies(docs, block))
-        out = _mark(out, block)
+        out, marked = _mark(out, block), True
     return out.drop("text")
 
 
