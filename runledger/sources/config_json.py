@@ -67,14 +67,18 @@ def checked_documents(df: DataFrame, doc_col: str, schema: T.StructType) -> tupl
     return good, bad
 
 
-def read_config_checked(spark: SparkSession, glob: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_config_checked(spark: SparkSession, glob: str, schema: T.StructType,
+                        empty_files: bool = True) -> tuple[DataFrame, DataFrame]:
     """S2 with a quarantine over files: ``good`` has ``path`` and the fields of
     ``schema``, ``bad`` the ``path`` and ``text`` of each file that cannot be read
-    (a file without a byte is among them).  One bad file does not end the job."""
+    (with ``empty_files`` also those without a byte, see ``list_files`` for the stores).
+    One bad file does not end the job."""
     files = spark.read.text(glob, wholetext=True).select(
         plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
-    empty = list_files(spark, glob).where(F.col("file_size") == 0).select("path", F.lit("").alias("text"))
-    return checked_documents(files.unionByName(empty), "text", schema)
+    if empty_files:
+        files = files.unionByName(list_files(spark, glob).where(F.col("file_size") == 0)
+                                  .select("path", F.lit("").alias("text")))
+    return checked_documents(files, "text", schema)
 
 
 def flatten_area(df: DataFrame) -> DataFrame:

@@ -77,15 +77,18 @@ def plain_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def read_control_files(spark: SparkSession, glob: str, spec: ControlSpec = ControlSpec()) -> DataFrame:
+def read_control_files(spark: SparkSession, glob: str, spec: ControlSpec = ControlSpec(),
+                       empty_files: bool = True) -> DataFrame:
     """S6 over files: one row per file with its count (NULL when not an integer, or
-    when the file holds no byte: Spark's scan skips those, the listing has them)."""
+    when the file holds no byte: Spark's scan skips those, ``list_files`` has them;
+    without ``empty_files`` they are left out, for stores that it cannot open)."""
     files = spark.read.text(glob, wholetext=True).select(
         plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
     # blank lines are skipped, as the CSV reader does
     lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda x: F.trim(x) != "")
     data_line = F.get(lines, F.lit(1 if spec.header else 0))
-    empty = list_files(spark, glob).where(F.col("file_size") == 0)
-    found = files.select("path", data_line.alias("line")).unionByName(
-        empty.select("path", F.lit(None).cast("string").alias("line")))
+    found = files.select("path", data_line.alias("line"))
+    if empty_files:
+        empty = list_files(spark, glob).where(F.col("file_size") == 0)
+        found = found.unionByName(empty.select("path", F.lit(None).cast("string").alias("line")))
     return control_counts_of_lines(found, "line", spec, keep=("path",))

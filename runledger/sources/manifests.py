@@ -47,16 +47,26 @@ def _listing_source() -> type[DataSource]:
     import fnmatch
     import re
 
+    wildcard = re.compile(r"[*?\[{]")
+
     def filesystem(uri: str):
-        """The store of a path and the path as the store has it, wildcards included."""
+        """The store of a path, the path as the store has it (wildcards included), and
+        what stands before such a path in a full one (as Spark writes it)."""
         from pyarrow import fs
 
         if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", uri):
-            return fs.LocalFileSystem(), uri
-        wild = re.search(r"[*?\[]", uri)
+            return fs.LocalFileSystem(), uri, "file:"
+        wild = wildcard.search(uri)
         plain = uri[:wild.start()].rpartition("/")[0] if wild else uri.rstrip("/")
         store, path = fs.FileSystem.from_uri(plain)
-        return store, path + uri[len(plain):] if wild else path
+        before = plain[:-len(path)] if path and plain.endswith(path) and not uri.startswith("file:") else "file:"
+        return store, path + uri[len(plain):] if wild else path, before
+
+    def alternatives(part: str) -> list[str]:
+        braces = re.search(r"\{([^{}]*)\}", part)
+        if not braces:
+            return [part]
+        return [y for x in braces[1].split(",") for y in alternatives(part[:braces.start()] + x + part[braces.end():])]
 
     def names(store, folder):
         from pyarrow import fs
@@ -83,7 +93,7 @@ def _listing_source() -> type[DataSource]:
     def matching(store, folder, parts, recursive):
         """Files that a pattern names, level by level; a folder that it names gives its files."""
         for info in names(store, folder or "/"):
-            if fnmatch.fnmatchcase(info.base_name, parts[0]):
+            if any(fnmatch.fnmatchcase(info.base_name, x) for x in alternatives(parts[0])):
                 if len(parts) > 1:
                     if is_folder(info):
                         yield from matching(store, info.path, parts[1:], recursive)
@@ -107,8 +117,8 @@ def _listing_source() -> type[DataSource]:
 
             out, given = [], {}
             for uri in self.paths:
-                store, path = filesystem(uri)
-                if wild := re.search(r"[*?\[]", path):
+                store, path, _ = filesystem(uri)
+                if wild := wildcard.search(path):
                     folder = path[:wild.start()].rpartition("/")[0]
                     out.append(Folder(uri, folder, path[len(folder) + 1:], self.recursive))
                     continue
@@ -129,7 +139,7 @@ def _listing_source() -> type[DataSource]:
             return out or [Folder("/", None, None, False, [])]
 
         def read(self, partition):
-            store, _ = filesystem(partition.uri)
+            store, _, before = filesystem(partition.uri)
             if partition.path is None:
                 found = [i for i in store.get_file_info(list(partition.given)) if is_file(i)]
             elif partition.pattern is None:
@@ -137,7 +147,7 @@ def _listing_source() -> type[DataSource]:
             else:
                 found = matching(store, partition.path, partition.pattern.split("/"), partition.recursive)
             for info in found:
-                yield (info.path, info.base_name, info.size)
+                yield (before + info.path, info.base_name, info.size)
 
     class FileListing(DataSource):
         @classmethod
@@ -157,7 +167,7 @@ def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     """Path, name and size of every file, zero-byte and hidden ones included.
 
     ``paths`` are files, folders (their files; with ``recursive`` those below too) or
-    patterns with ``*``, ``?`` and ``[]``.  A named path that does not exist raises; a
+    patterns with ``*``, ``?``, ``[]`` and ``{a,b}`` (within a name).  A named path that does not exist raises; a
     pattern may match nothing.  A file named twice is listed twice.  Stores: local
     paths and what ``pyarrow.fs`` opens (``s3``, ``gs``, ``hdfs``, ``abfs``); for others
     there is ``file_manifest``.

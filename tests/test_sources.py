@@ -94,7 +94,11 @@ def test_listing_holds_empty_and_hidden_files(spark, tmp_dir):
     assert found(f"{tmp_dir}/in/*.dat") == sorted(top)
     assert found(f"file://{tmp_dir}/in/?.dat") == [("a.dat", 5), ("b.dat", 0)]
     assert found(f"{tmp_dir}/in/sub*/[eg].dat") == [("e.dat", 3), ("g.dat", 1)]
+    assert found(f"{tmp_dir}/in/{{a,b,z}}.dat") == [("a.dat", 5), ("b.dat", 0)]
     assert found(f"{tmp_dir}/in/none*") == [] == found([])
+    paths = {r.path for p in (f"{tmp_dir}/in/a.dat", f"file:{tmp_dir}/in/a.dat", f"file://{tmp_dir}/in/a*")
+             for r in list_files(spark, p).collect()}
+    assert paths == {f"file:{tmp_dir}/in/a.dat"}
     named = [f"{tmp_dir}/in/b.dat", f"{tmp_dir}/in/_c.dat", f"{tmp_dir}/in/b.dat"]
     assert found(named) == [("_c.dat", 1), ("b.dat", 0), ("b.dat", 0)]
     df = list_files(spark, f"{tmp_dir}/in", recursive=True)
@@ -107,8 +111,8 @@ def test_listing_holds_empty_and_hidden_files(spark, tmp_dir):
 def test_empty_control_file_is_a_row(spark, tmp_dir):
     write(f"{tmp_dir}/ctl3/a.ctl", "H|x|1|a|b|42\n")
     write(f"{tmp_dir}/ctl3/b.ctl", "")
-    got = {os.path.basename(r.path): (r.ctl_count, r.is_valid) for r in read_control_files(spark, f"{tmp_dir}/ctl3/*.ctl").collect()}
-    assert got == {"a.ctl": (42, True), "b.ctl": (None, False)}
+    got = {r.path: (r.ctl_count, r.is_valid) for r in read_control_files(spark, f"{tmp_dir}/ctl3/{{a,b}}.ctl").collect()}
+    assert got == {f"file:{tmp_dir}/ctl3/a.ctl": (42, True), f"file:{tmp_dir}/ctl3/b.ctl": (None, False)}
 
 
 def test_bad_config_files_are_kept_apart(spark, tmp_dir):
