@@ -378,8 +378,12 @@ def pool_of(pages: DataFrame, sample: int = SAMPLE_PAGES, size: int = POOL) -> l
                      for w in [[v for v in x.split() if len(v) <= 100]] for i in range(0, len(w), 300)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
 
-    key = F.xxhash64(F.lit("pool"), "page_id", "html")
-    some = pages.select("html", key.alias("key")).orderBy("key").limit(sample).select("html")
+    # Only a few times ``sample`` pages leave the scan, whatever the size of the table;
+    # repeated pages have one hash and are one page.
+    key = F.xxhash64(F.lit("pool"), "page_id", "html").bitwiseAND(F.lit(2**63 - 1))
+    top = min(2**63 - 1, (2**63 - 1) * 8 * sample // max(1, pages.count()))
+    few = pages.select("html", key.alias("key")).where(F.col("key") <= F.lit(top))
+    some = few.dropDuplicates(["key"]).orderBy("key").limit(sample).select("html")
     texts = some.mapInArrow(run, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(size)
     return [r.text for r in texts.collect()] or [
         "The harbour was quiet in the morning, and the boats lay still. Later the wind rose from the west."]
