@@ -417,9 +417,13 @@ def spelled(spans: str) -> F.Column:
         ":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+def _count(spans: str, kind: int) -> F.Column:
+    # Spark would pass the place in the array as a second argument, even one with a default
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op1_pii_bootstrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_spans(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}")
-         for k, name in enumerate(KINDS)]
+    n = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("rec.doc_id", *n, F.sha2(spelled("base"), 256).alias("base_sha256"),
                       spelled("spans").alias("spans"))

@@ -138,6 +138,22 @@ def test_bootstrapping_reaches_unseen_shapes(docs_of):
     assert {out[d] for d in range(300, 305)} == {""}
 
 
+def test_query_counts_each_kind(spark, docs_of, odd_rows, tmp_dir):
+    rows = odd_rows + [(20, "10.0.0.1 and 10.0.0.2"), (21, "a@b.org"), (21, "a@b.org"),
+                       (22, "+1 (555) 123-4567, " + luhn("4" * 15) + ", x@y.z, 1.2.3.4, p@q.r"),
+                       (23, "999.1.1.1 b@c.d 1.2.3.4")]
+    docs_of(rows).write.parquet(f"{tmp_dir}/documents.parquet")
+
+    def wanted(t):
+        spans = brute_spans(t)
+        return (*(sum(x.startswith(k + ":") for x in spans) for k in pii.KINDS),
+                hashlib.sha256(",".join(spans).encode()).hexdigest())
+
+    got = pii.op1_pii_bootstrapping(spark, tmp_dir).select(
+        "doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, *wanted(t))) for d, t in rows)
+
+
 def test_redaction_and_odd_rows(docs_of, odd_rows):
     df = docs_of(odd_rows)
     out = pii.redact(pii.find_spans(df))
