@@ -40,7 +40,7 @@ MIN_DOCS = 30
 TOP = 50
 PRIOR = 5
 SCALE = 1_000_000_000
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 21  # the arrays of a shard take some 30 times as much
 CELLS = 1 << 16
 BLOCK = 512
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runledger.llm import source_audit as A
@@ -69,6 +71,19 @@ def test_empty_table(spark):
     assert rows_of(A.divergences(frame(spark, []))) == []
 
 
+def test_a_batch_is_counted_in_small_shards():
+    texts = [prose(i % 20, 1500) for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 1500, "source": ["a"] * 1500, "text": texts})
+    tracemalloc.start()
+    found = Counter()
+    for b in A._count_terms(iter([batch])):
+        found.update({t: n for t, n in zip(b["term"].to_pylist(), b["n"].to_pylist()) if t})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == Counter(x for t in texts for x in term_list(t))
+    assert peak < 5 * batch.nbytes
+
+
 def test_pointers_are_sorted():
     rng = random.Random(1)
     terms = ["".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 40]))) for _ in range(500)]
