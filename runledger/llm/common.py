@@ -16,6 +16,7 @@ from runledger.session import checkpoint_dir, table_path
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TEXT_ROWS = 1000         # rows in an Arrow batch that carries whole texts
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

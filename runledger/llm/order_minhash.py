@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.llm import words
-from runledger.llm.common import batch_rows, carried, pieces, read, utf8, with_fields, written
+from runledger.llm.common import TEXT_ROWS, batch_rows, carried, pieces, read, utf8, with_fields, written
 from runledger.llm.graph import components
 
 SHINGLE = 5
@@ -297,7 +297,8 @@ def prefixes(texts: DataFrame, nodes: DataFrame, bar: float) -> DataFrame:
         F.coalesce(F.lag(token).over(in_order) != token, F.lit(True)).alias("first"))
     n, s = F.col("n"), F.col("s")
     ranked = ranked.where("first").withColumn("pos", n - s + F.col("r") - 1).drop("r", "first")
-    return small(ranked.where((s >= F.lit(bar) * n) & (F.col("pos") <= n - _least(F.lit(bar) * n))), "prefixes")
+    with batch_rows(texts.sparkSession, TEXT_ROWS):
+        return small(ranked.where((s >= F.lit(bar) * n) & (F.col("pos") <= n - _least(F.lit(bar) * n))), "prefixes")
 
 
 def prefix_pairs(entries: DataFrame, star: DataFrame, bar: float) -> DataFrame:
@@ -383,7 +384,8 @@ def near_duplicates(docs: DataFrame, bar: float = SIMILARITY, carry: list[str] |
         text = "rec.text"
     else:
         text = "text"
-    found = written(found, "sketched")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        found = written(found, "sketched")
     classes = written(
         found.groupBy("a", "b").agg(
             F.min(F.struct(F.col("rec.doc_id").isNull(), "rec.doc_id", "row")).alias("first"),

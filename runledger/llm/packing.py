@@ -25,16 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm.common import pieces, read, utf8, written
+from runledger.llm.common import TEXT_ROWS, batch_rows, pieces, read, utf8, written
 
 CAPACITY = 2048
 END_ID = 0
 GROUP = 4096            # pieces packed together
 LOOSE = 0.97            # bins filled less than this go to the second round
 DONORS = 12             # emptiest bins that give pieces before the next ones do
-CACHED_CHUNKS = 2_000_000  # chunks kept per worker before its cache begins anew
+CACHED_CHUNKS = 200_000  # chunks kept per worker before its cache begins anew; workers outlive the stage
 
-RUN_BYTES = 1 << 23      # bytes of text encoded together
+RUN_BYTES = 1 << 21      # bytes of text encoded together
 
 # Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -339,7 +339,8 @@ def pack(found: DataFrame, group: Column, capacity: int, base: int) -> DataFrame
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    found = written(tokenise(docs, tokenizer_path, capacity), "pieces")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        found = written(tokenise(docs, tokenizer_path, capacity), "pieces")
     dealt = F.xxhash64("doc_id", "piece", "ids_crc32", "start")
 
     def groups(n: int) -> Column:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm.common import carried, read, utf8, with_fields, written
+from runledger.llm.common import TEXT_ROWS, batch_rows, carried, read, utf8, with_fields, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -357,7 +357,8 @@ def find_spans(docs: DataFrame, rounds: int = ROUNDS, carry: list[str] | None =
     """``rec``, base and spans: arrays of struct<kind, start, end>, by kind and start.
 
     ``spans`` holds the base spans and the discovered ones."""
-    found = written(inspect(docs, carry), "inspected")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        found = written(inspect(docs, carry), "inspected")
     seen = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
     # a string that is a base entity elsewhere is known there; it is no new instance
     seeds = seen.where(F.col("kind") >= 0).groupBy("value").agg(F.min("kind").alias("kind"))

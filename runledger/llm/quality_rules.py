@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import words
-from runledger.llm.common import carried, pieces, read, utf8, with_fields, written
+from runledger.llm.common import TEXT_ROWS, batch_rows, carried, pieces, read, utf8, with_fields, written
 
 THRESHOLD = 0.3
 MAX_LABELLED = 20_000
 TREES = 12
 DEPTH = 3
 PENALTY = 0.002
+PIECE = 1 << 20          # bytes of text worked on together
 
 STATISTICS = [
     "log_words", "word_length", "upper", "marks_per_word", "stops_per_word", "distinct",
@@ -96,7 +97,7 @@ def statistics(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         for b in batches:
             data, offsets = utf8(b.column(1))
             out = np.zeros((b.num_rows, len(STATISTICS)))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, PIECE):
                 out[i:j] = _describe(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in out.T)],
@@ -191,7 +192,8 @@ def learn(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) ->
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
              carry: list[str] | None = None) -> DataFrame:
     """``rec``, held_out, score, predicted; one row per document row."""
-    stats = written(statistics(docs, carry), "statistics")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        stats = written(statistics(docs, carry), "statistics")
     model = learn(stats.select("rec.doc_id", *STATISTICS), labels)
     return stats.select("rec", held_out("rec.doc_id").alias("held_out"), model.score().alias("score")
                         ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
