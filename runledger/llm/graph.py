@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.common import written
@@ -10,22 +10,26 @@ from runledger.llm.common import written
 
 def components(links: DataFrame, compression: str = "zstd") -> DataFrame:
     """(u, v): each linked node with the smallest node of its component, by
-    alternating large-star and small-star steps until nothing changes."""
+    alternating large-star and small-star steps until nothing changes.
+
+    An edge (u, v), u > v, moves to v's own smallest neighbour (large star); then the
+    ends of u's edges move to the smallest of them (small star).  Each step leaves one
+    edge for an edge, equal ones of a node are dropped with the sort that finds the
+    smallest: two shuffles a round."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    before = None
+    of_u = Window.partitionBy("u").orderBy("v")
     while True:
-        both = edges.select("u", "v").unionByName(
-            edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct("u", F.col("m").alias("v")),
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.*").where("u <> v").distinct()
-        edges = written(small, "edges", compression)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(low, "v", "left").select(
+            "u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        small = large.select(
+            "u", "v", "moved", F.first("v").over(of_u).alias("m"),
+            F.coalesce(F.lag("v").over(of_u) != F.col("v"), F.lit(True)).alias("once"),
+            F.max("moved").over(of_u.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("any"))
+        other = F.col("v") != F.col("m")
+        moved = written(small.where("once").select(
+            F.when(other, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"),
+            (other | F.col("any")).alias("moved")), "edges", compression)
+        edges = moved.select("u", "v")
+        if moved.where("moved").isEmpty():
             return edges
-        before = tuple(now)

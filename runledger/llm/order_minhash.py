@@ -173,10 +173,19 @@ def sketch(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         rec, "row long, text string, a long, b long, n long, keys array<long>"))
 
 
+def _labelled(texts: pa.Array) -> list[np.ndarray]:
+    """The labelled k-mers of each text, in text order."""
+    data, offsets = utf8(texts)
+    out = []
+    for i, j in pieces(offsets, PIECE):
+        low, s, e, row = words.split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        kmers, bounds = labelled(words.hashes(low, s, e), row)
+        out += np.split(kmers, bounds[1:-1])
+    return out
+
+
 def _kmers(text: str) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    low, s, e, row = words.split(data, np.array([0, len(data)]))
-    return labelled(words.hashes(low, s, e), row)[0]
+    return _labelled(pa.array([text], pa.string()))[0]
 
 
 def aligned(x: np.ndarray, y: np.ndarray, bar: float = SIMILARITY) -> float:
@@ -208,14 +217,14 @@ def verify(pairs: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
 
     def run(batches):
-        last, kmers = None, None
         for b in batches:
-            v, left, right = b.column(1).to_pylist(), b.column(2), b.column(3)
-            keep = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                if v[k] != last:                      # rows come sorted by v
-                    last, kmers = v[k], _kmers(right[k].as_py())
-                keep[k] = aligned(_kmers(left[k].as_py()), kmers, bar) >= bar
+            v = b.column(1).to_numpy(zero_copy_only=False)
+            begins = np.ones(len(v), bool)
+            begins[1:] = v[1:] != v[:-1]              # rows come sorted by v
+            left = _labelled(b.column(2))
+            right = _labelled(b.column(3).filter(pa.array(begins)))
+            at = (np.cumsum(begins) - 1).tolist()
+            keep = np.array([aligned(x, right[k], bar) >= bar for x, k in zip(left, at)], bool)
             yield b.select([0, 1]).filter(pa.array(keep))
 
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("left"))
@@ -240,14 +249,12 @@ def _fits(n, other, bar: float):
 
 
 def _mixed(members: DataFrame, star: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with their label
-    and the bucket's largest component, main."""
+    """The members of buckets that hold several components, with their label."""
     of = star.select(F.col("u").alias("node"), F.col("v").alias("label"))
     m = members.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    split = (per.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"),
-                                    F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    return m.join(split.select("key", "main"), "key")
+    split = (m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("low < high").select("key"))
+    return m.join(split, "key")
 
 
 def small(df: DataFrame, name: str) -> DataFrame:
@@ -349,14 +356,13 @@ def link(classes: DataFrame, texts: DataFrame, bar: float) -> DataFrame:
                     .where(_fits(F.col("n"), F.col("center_n"), bar))
                     .select(F.col("node").alias("u"), F.col("center").alias("v")).distinct(), "pairs")
     star = components(verify(tried, texts, bar), "snappy")
-    open_ = _mixed(members.select("key", "node", "n"), star).select("key", "node", "n")
+    open_ = small(_mixed(members.select("key", "node", "n"), star), "open")
     entries = prefixes(texts, open_.select("node").distinct(), bar)
     # The rarest shared k-mer of an open node is in its prefix: one row for each.
     held = entries.groupBy("node").agg(F.max("s").alias("s"))
-    members = small(open_.join(held, "node"), "open")
     for step in (2, 3):
         if step == 2:                # the member with the fewest k-mers of its own
-            m = small(_mixed(members, star), "mixed")
+            m = small(open_.join(held, "node"), "held")
             other = m.groupBy("key").agg(F.max(F.struct(
                 (F.col("s") / F.col("n")).alias("share"), "node", "n", "s", "label")).alias("o"))
             least = F.lit(bar / (1 + bar)) * (F.col("n") + F.col("o.n"))
