@@ -15,7 +15,8 @@ def components(links: DataFrame, compression: str = "zstd") -> DataFrame:
     An edge (u, v), u > v, moves to v's own smallest neighbour (large star); then the
     ends of u's edges move to the smallest of them (small star).  Each step leaves one
     edge for an edge, equal ones of a node are dropped with the sort that finds the
-    smallest: two shuffles a round."""
+    smallest: three shuffles a round.  The edges of one node as u, numbers only, are
+    sorted in one task."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     of_u = Window.partitionBy("u").orderBy("v")
     while True:
